@@ -12,6 +12,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import lexicon
 
@@ -81,10 +82,14 @@ def default_pos_lookup(term: Column) -> Column:
     return found
 
 
-def pos_of(surface: Column, from_lexicon: Column | None = None) -> Column:
-    """Lexicon first, then shape, then suffix, then NOUN."""
+def pos_of(surface: Column) -> Column:
+    """N4 with the default lexicon. One argument, so it can be a lambda itself."""
+    return pos_given(surface, default_pos_lookup(F.lower(surface)))
+
+
+def pos_given(surface: Column, known: Column) -> Column:
+    """The lexicon's answer first, then shape, then suffix, then NOUN."""
     term = F.lower(surface)
-    known = default_pos_lookup(term) if from_lexicon is None else from_lexicon
     shape = (
         F.when(surface.rlike(r"^[0-9]"), F.lit("NUM"))
         .when(surface.rlike(rf"^(?:{URL}|{EMAIL}|[#@][A-Za-z0-9_])"), F.lit("X"))
@@ -107,10 +112,14 @@ def default_lemma_lookup(term: Column) -> Column:
     return found
 
 
-def lemma_of(surface: Column, from_lexicon: Column | None = None) -> Column:
-    """Irregular forms from the lexicon, then one inflection suffix off."""
+def lemma_of(surface: Column) -> Column:
+    """N5 with the default lexicon. One argument, so it can be a lambda itself."""
+    return lemma_given(surface, default_lemma_lookup(F.lower(surface)))
+
+
+def lemma_given(surface: Column, known: Column) -> Column:
+    """The lexicon's irregular form first, then one inflection suffix off."""
     term = F.lower(surface)
-    known = default_lemma_lookup(term) if from_lexicon is None else from_lexicon
     inflected = (
         F.when(term.rlike(r"...ies$"), F.regexp_replace(term, "ies$", "y"))
         .when(term.rlike(r"..(?:ss|sh|ch|x|z)es$"), F.regexp_replace(term, "es$", ""))
@@ -225,6 +234,6 @@ def porter_stem(word: str) -> str:
     return word
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def porter_stem_udf(terms: pd.Series) -> pd.Series:
     return terms.map(porter_stem, na_action="ignore")

@@ -7,7 +7,10 @@ come in as tables (``term, pos, lemma`` or ``term, valence``) and are joined.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import types as T
+
+from .operators.scale import local_frame
 
 # Part of speech by lower-cased word.
 POS_TERMS: dict[str, list[str]] = {
@@ -49,4 +52,6 @@ def pos_by_term() -> dict[str, str]:
 
 def sentiment_lexicon(spark: SparkSession) -> DataFrame:
     """The default ``(term, valence)`` table."""
-    return spark.createDataFrame(sorted(VALENCES.items()), "term string, valence int")
+    return local_frame(
+        spark, [Row(term=t, valence=v) for t, v in sorted(VALENCES.items())],
+        T.StructType([T.StructField("term", T.StringType()), T.StructField("valence", T.IntegerType())]))

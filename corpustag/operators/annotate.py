@@ -57,7 +57,7 @@ def tokens(docs: DataFrame, lexicon: DataFrame | None = None, partitioned: bool
         known = lexicon.select(
             F.lower("term").alias("_term"), F.col("pos").alias("_pos"), F.col("lemma").alias("_lemma"))
         placed = lookup_join(placed.withColumn("_term", F.lower("surface")), known, ["_term"], "left")
-        pos, lemma = lang.pos_of(surface, F.col("_pos")), lang.lemma_of(surface, F.col("_lemma"))
+        pos, lemma = lang.pos_given(surface, F.col("_pos")), lang.lemma_given(surface, F.col("_lemma"))
     return placed.select(
         "doc_id", "sent_no", "tok_no", "begin", "end", "surface",
         pos.alias("pos"), lemma.alias("lemma"), "piece")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import language as lang
 from ..functions.text import let
-from .scale import lookup_join
+from .scale import BROADCAST_ROWS, lookup_join, settled
 
 # What counts as a content word, and the usual list length.
 CONTENT_POS = ["NOUN", "VERB", "ADJ", "PROPN"]
@@ -179,10 +179,11 @@ def rule_preview(matches: DataFrame, docs: DataFrame, samples: int = 5) -> DataF
         "sample_no", F.row_number().over(w)).where(F.col("sample_no") <= samples)
     path = F.col("path") if "path" in docs.columns else F.col("doc_id").cast("string")
     texts = docs.select("doc_id", path.alias("path"), "text")
-    joined = lookup_join(texts, first, ["doc_id"])
+    # At most rules x samples rows: read once, then looked up from the texts.
+    joined = lookup_join(texts, settled(first, BROADCAST_ROWS), ["doc_id"])
     head = F.substring("text", F.lit(1), F.col("begin"))
     newlines = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
     shown = joined.withColumn("line", newlines + 1).select(
         "rule_id", "sample_no", "path", "match_text", "line",
         F.element_at(F.split("text", "\n", -1), F.col("line")).alias("context"))
-    return lookup_join(shown, counts, ["rule_id"])
+    return lookup_join(shown, settled(counts), ["rule_id"])

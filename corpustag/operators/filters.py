@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import language as lang
 from . import annotate
-from .scale import lookup_join
+from .scale import lookup_join, settled, values_of
 
 
 def _absent(values: Column) -> Column:
@@ -78,9 +78,9 @@ def filter_entities_in_scope(
         F.explode_outer("f.types").alias("type"))
     asked = lookup_join(matches, listed, ["rule_no"])
     parts = [asked.where("type is null")]
-    scopes = {r["_scope"] for r in listed.where("type is not null").select("_scope").distinct().collect()}
+    scopes = values_of(listed.where("type is not null"), "_scope")
     in_document = ents.select("doc_id", "type").distinct()
-    for scope in sorted(scopes):
+    for scope in scopes:
         mine = asked.where((F.col("_scope") == scope) & F.col("type").isNotNull())
         if scope == "document":
             parts.append(mine.join(in_document, ["doc_id", "type"], "left_semi"))
@@ -122,12 +122,12 @@ def filter_sentiment(
         F.coalesce("filters.sentiment.scope", F.lit("sentence")).alias("_scope"))
     asked = lookup_join(matches, bounds, ["rule_no"])
     parts = [asked.where("not _bound")]
-    scopes = {r["_scope"] for r in bounds.where("_bound").select("_scope").distinct().collect()}
+    scopes = values_of(bounds.where("_bound"), "_scope")
     in_range = (
         F.coalesce(F.col("_score") >= F.col("_min"), F.lit(True))
         & F.coalesce(F.col("_score") <= F.col("_max"), F.lit(True)))
     whole = annotate.document_sentiment(toks, lexicon, "document").withColumnRenamed("score", "_doc_score")
-    for scope in sorted(scopes):
+    for scope in scopes:
         mine = asked.where(F.col("_bound") & (F.col("_scope") == scope))
         if scope == "document":
             scored = mine.join(whole, "doc_id", "left").withColumn(
@@ -156,11 +156,11 @@ def filter_sentiment(
 
 def filter_profile(rules: DataFrame) -> dict[str, bool]:
     """Which kinds of filter occur in the rule set."""
-    row = rules.agg(
-        F.bool_or(~_absent(F.col("filters.pos"))).alias("pos"),
-        F.bool_or(~_absent(required_types())).alias("entity"),
-        F.bool_or(F.col("filters.sentiment").isNotNull()).alias("sentiment")).first()
-    return {k: bool(v) for k, v in row.asDict().items()}
+    return {
+        "pos": True in values_of(rules, ~_absent(F.col("filters.pos"))),
+        "entity": True in values_of(rules, ~_absent(required_types())),
+        "sentiment": True in values_of(rules, F.col("filters.sentiment").isNotNull()),
+    }
 
 
 def apply_filters(
@@ -173,6 +173,7 @@ def apply_filters(
     ``entity_scope='honor'`` looks for required entities in the scope a rule names;
     the default tests the document as a whole.
     """
+    rules = settled(rules)
     profile = filter_profile(rules)
     if profile["pos"]:
         matches = filter_pos(matches, rules)

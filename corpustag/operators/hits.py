@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 
 from ..functions import language as lang
 from ..functions.text import let, no_strings
-from . import annotate
 from .filters import filter_profile, required_types
-from .match import keyword_keys, needs_vocabulary, pattern_rules, phrase_pairs, phrase_rules
-from .scale import bounded_rows, lookup_join
+from .match import keyword_keys, of_type, pattern_rules, phrase_pairs, phrase_rules, stem_candidates
+from .scale import bounded_rows, lookup_join, settled, values_of
 
 _RULES_TYPE = "array<struct<no:int,id:string,keys:array<string>,need:array<string>,tags:array<string>>>"
 
@@ -33,6 +32,7 @@ class InlineSet:
     specs: list[dict] = field(default_factory=list)
     positional: list[int] = field(default_factory=list)
     terms: dict[str, set[str]] = field(default_factory=dict)
+    candidates: InlineSet | None = None
 
     def wants(self, part: str) -> list[str]:
         return sorted(self.terms.get(part, ()))
@@ -65,10 +65,24 @@ def compile_inline(
 ) -> InlineSet:
     """Turn rule rows (with ``lowered``, the lower-cased match) into keys per rule.
 
+    Rules that need positions get no keys in the set; ``candidates`` holds them with the
+    keys their matches would have, to find the documents worth looking at closely.
+
     A part-of-speech filter is settled here where it can be: literal and entity hits
     carry no label and fail it, a pattern's labels are known beforehand.
     """
-    out = InlineSet()
+    positional = [r for r in rows if _is_positional(r, entity_scope)]
+    out = InlineSet(positional=[r["rule_no"] for r in positional])
+    if positional:
+        out.candidates = InlineSet()
+        _add_keys(out.candidates, positional, stem_terms)
+        for spec in out.candidates.specs:
+            spec["need"] = []
+    _add_keys(out, rows, stem_terms)
+    return out
+
+
+def _add_keys(out: InlineSet, rows: Sequence[Row], stem_terms: dict[int, list[str]]) -> None:
     for row in rows:
         pos = list(row["filters"]["pos"] or []) if row["filters"] else []
         keys: list[str] = []
@@ -77,8 +91,8 @@ def compile_inline(
             out.terms.setdefault(part, set()).add(term)
             keys.append(f"{part}:{term}")
 
-        if _is_positional(row, entity_scope):
-            out.positional.append(row["rule_no"])
+        if row["rule_no"] in out.positional:
+            pass
         elif row["type"] == "keyword":
             stemmed = row["stem"] and not row["lemma"]
             base = "lemma" if row["lemma"] else "surface"
@@ -97,7 +111,6 @@ def compile_inline(
         out.specs.append({
             "no": row["rule_no"], "id": row["id"], "keys": keys, "need": _need(row),
             "tags": list(row["tags"])})
-    return out
 
 
 def prepare_inline(
@@ -109,10 +122,10 @@ def prepare_inline(
         return None
     rows = sorted(rows, key=lambda r: r["rule_no"])
     stem_terms: dict[int, list[str]] = {}
-    if any(r["type"] == "keyword" and r["stem"] and not r["lemma"] for r in rows):
-        stem_rules = rules.where("type = 'keyword' and coalesce(stem, false)")
-        keys = bounded_rows(
-            keyword_keys(stem_rules, annotate.vocabulary(docs)).where("kind = 'surface'"), 50 * limit)
+    candidates = stem_candidates(docs, rules)
+    if candidates is not None:
+        stem_rules = of_type(rules, "keyword").where("coalesce(stem, false) and not coalesce(lemma, false)")
+        keys = bounded_rows(keyword_keys(stem_rules, candidates), 50 * limit)
         if keys is None:
             return None
         for r in keys:
@@ -193,68 +206,80 @@ def inline_hits(rules: InlineSet, text: Column, extra: Column | None = None) ->
 
 # --- Rule sets too large to fold into the plan ------------------------------------
 
+def _keys_of_rules(docs: DataFrame, rules: DataFrame) -> DataFrame:
+    """``(rule_no, need, key)`` with the same keys per document as ``document_keys``."""
+    allowed, need = F.col("filters.pos"), F.coalesce(required_types(), no_strings())
+    restricted = F.coalesce(F.size(allowed) > 0, F.lit(False))
+    details = rules.select("rule_no", F.when(restricted, allowed).alias("allowed"), need.alias("need"))
+    terms = lookup_join(keyword_keys(rules, stem_candidates(docs, rules)), details, ["rule_no"]).select(
+        "rule_no", "need", "kind", "key", F.explode_outer("allowed").alias("label"))
+    keyword = terms.select("rule_no", "need", F.when(
+        F.col("label").isNull(), F.concat_ws(":", "kind", "key")).otherwise(
+        F.concat("kind", F.lit("_pos:"), "key", F.lit(" "), "label")).alias("key"))
+    pattern = lookup_join(pattern_rules(rules), details, ["rule_no"]).where(
+        F.col("allowed").isNull() | F.arrays_overlap(F.split("gram", " "), "allowed")).select(
+        "rule_no", "need", F.concat(F.lit("pattern:"), "gram").alias("key"))
+    entity = of_type(rules, "entity").where(~restricted).select(
+        "rule_no", need.alias("need"), F.concat(F.lit("entity:"), "match").alias("key"))
+    return keyword.unionByName(pattern).unionByName(entity)
+
+
+def _gram_keys(labels: Column, n: int) -> Column:
+    starts = F.when(F.size(labels) >= n, F.sequence(F.lit(1), F.size(labels) - n + 1)).otherwise(
+        F.array().cast("array<int>"))
+    return _labelled("pattern", F.array_distinct(F.transform(
+        starts, lambda i: F.array_join(F.slice(labels, i, F.lit(n)), " "))))
+
+
 def joined_hits(docs: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct ``(doc_id, rule_no)`` for rules without sentiment or scoped filters.
 
     Each document is reduced to its distinct keys in the row, the keys are joined with
     the rules' keys, and required entity types are checked on the joined rows.
     """
-    present = {r["type"] for r in rules.select("type").distinct().collect()}
-    pos, need = F.col("filters.pos"), F.coalesce(required_types(), no_strings())
-    has_pos = F.coalesce(F.size(pos) > 0, F.lit(False))
-    details = rules.select("rule_no", F.when(has_pos, pos).alias("_pos"), need.alias("_need"))
-    keys: list[DataFrame] = []
-    columns: list[Column] = []
-    surfaces = F.col("_tokens")
-    if "keyword" in present:
-        vocab = annotate.vocabulary(docs) if needs_vocabulary(rules) else None
-        terms = lookup_join(keyword_keys(rules, vocab), details, ["rule_no"])
-        keys.append(terms.select("rule_no", "_need", F.col("kind").alias("part"), "key", F.explode_outer("_pos").alias("label")))
-        for kind, reduce in (("surface", F.lower), ("lemma", lang.lemma_of)):
-            columns.append(F.transform(F.array_distinct(surfaces), lambda s: F.struct(
-                F.lit(kind).alias("part"), reduce(s).alias("key"), lang.pos_of(s).alias("label"))))
-    if "pattern" in present:
-        grams = pattern_rules(rules)
-        keys.append(lookup_join(grams, details, ["rule_no"]).where(
-            F.col("_pos").isNull() | F.arrays_overlap(F.split("gram", " "), "_pos")
-        ).select("rule_no", "_need", F.lit("pattern").alias("part"), F.col("gram").alias("key"), F.lit(None).cast("string").alias("label")))
-        labels = F.transform(surfaces, lang.pos_of)
-        for n in sorted(r["n"] for r in grams.select("n").distinct().collect()):
-            def runs(all_labels: Column, n: int = n) -> Column:
-                starts = F.when(F.size(all_labels) >= n, F.sequence(F.lit(1), F.size(all_labels) - n + 1)).otherwise(
-                    F.array().cast("array<int>"))
-                return F.transform(F.array_distinct(F.transform(
-                    starts, lambda i: F.array_join(F.slice(all_labels, i, F.lit(n)), " "))),
-                    lambda g: F.struct(F.lit("pattern").alias("part"), g.alias("key"), F.lit("").alias("label")))
-            columns.append(let(labels, runs))
+    rules = settled(rules)
+    present = set(values_of(rules, "type"))
+    profile = filter_profile(rules)
+
+    def keys_of_tokens(tokens: Column) -> Column:
+        parts = []
+        if "keyword" in present:
+            distinct = F.array_distinct(tokens)
+            parts += [
+                let(F.array_distinct(F.transform(distinct, F.lower)), lambda terms: F.concat(
+                    _labelled("surface", terms),
+                    _labelled("lemma", F.array_distinct(F.transform(terms, lang.lemma_of)))))]
+            if profile["pos"]:
+                parts.append(F.flatten(F.transform(distinct, lambda s: let(lang.pos_of(s), lambda label: F.array(
+                    F.concat(F.lit("surface_pos:"), F.lower(s), F.lit(" "), label),
+                    F.concat(F.lit("lemma_pos:"), lang.lemma_of(s), F.lit(" "), label))))))
+        if "pattern" in present:
+            lengths = values_of(pattern_rules(rules), "n")
+            parts.append(let(F.transform(tokens, lang.pos_of), lambda labels: F.concat(
+                *[_gram_keys(labels, n) for n in lengths])))
+        return F.concat(*parts)
+
+    columns = []
+    if present & {"keyword", "pattern"}:
+        columns.append(let(lang.token_surfaces(F.col("text")), keys_of_tokens))
     if "entity" in present:
-        keys.append(rules.where("type = 'entity'").where(~has_pos).select(
-            "rule_no", need.alias("_need"), F.lit("entity").alias("part"), F.col("match").alias("key"),
-            F.lit(None).cast("string").alias("label")))
-        columns.append(F.transform(lang.entity_types(F.col("text")), lambda t: F.struct(
-            F.lit("entity").alias("part"), t.alias("key"), F.lit("").alias("label"))))
-    needs_types = filter_profile(rules)["entity"]
-    types = lang.entity_types(F.col("text")) if needs_types else no_strings()
-    passes = (F.size("_need") == 0) | F.arrays_overlap("_need", "_types")
-    found: list[DataFrame] = []
+        columns.append(_labelled("entity", lang.entity_types(F.col("text"))))
+    types = (lang.entity_types(F.col("text")) if profile["entity"] else no_strings()).alias("types")
+    passes = (F.size("need") == 0) | F.arrays_overlap("need", "types")
+    found = []
     if columns:
-        table = keys[0]
-        for more in keys[1:]:
-            table = table.unionByName(more)
-        exposed = docs.select("doc_id", "text", lang.token_surfaces(F.col("text")).alias("_tokens")).select(
-            "doc_id", types.alias("_types"), F.explode(F.array_distinct(F.concat(*columns))).alias("k")
-        ).select("doc_id", "_types", "k.part", "k.key", F.col("k.label").alias("_label"))
-        found.append(lookup_join(exposed, table, ["part", "key"]).where(
-            (F.col("label").isNull() | (F.col("label") == F.col("_label"))) & passes).select("doc_id", "rule_no"))
+        # Two steps: what stands beside explode() is evaluated once per exploded row.
+        keyed = docs.select("doc_id", types, F.array_distinct(F.concat(*columns)).alias("keys"))
+        exposed = keyed.select("doc_id", "types", F.explode("keys").alias("key"))
+        found.append(lookup_join(exposed, _keys_of_rules(docs, rules), ["key"]).where(passes))
     if "literal" in present:
-        open_rules = rules.where(~has_pos)
-        pairs = phrase_pairs(docs, phrase_rules(open_rules)).select(
-            "doc_id", "rule_no", types.alias("_types"))
-        found.append(lookup_join(pairs, details.select("rule_no", "_need"), ["rule_no"]).where(passes).select(
-            "doc_id", "rule_no"))
+        need = F.coalesce(required_types(), no_strings())
+        open_rules = rules.where(F.coalesce(F.size("filters.pos"), F.lit(0)) <= 0)
+        pairs = phrase_pairs(docs, phrase_rules(open_rules)).select("doc_id", "rule_no", types)
+        found.append(lookup_join(pairs, open_rules.select("rule_no", need.alias("need")), ["rule_no"]).where(passes))
     if not found:
         return docs.where("false").select("doc_id", F.lit(0).alias("rule_no"))
-    out = found[0]
+    out = found[0].select("doc_id", "rule_no")
     for more in found[1:]:
-        out = out.unionByName(more)
+        out = out.unionByName(more.select("doc_id", "rule_no"))
     return out.distinct()

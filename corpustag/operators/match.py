@@ -15,7 +15,7 @@ from ..functions import markdown as md
 from ..functions.text import let, regex_escape
 from ..schema import MATCH_COLUMNS
 from . import annotate
-from .scale import BROADCAST_ROWS, INLINE_RULES, bounded_rows, is_small, lookup_join
+from .scale import BROADCAST_ROWS, INLINE_RULES, bounded_rows, is_small, lookup_join, settled, values_of
 
 
 def _no_labels() -> Column:
@@ -39,10 +39,8 @@ def pattern_rules(rules: DataFrame) -> DataFrame:
 
 def match_patterns(toks: DataFrame, rules: DataFrame) -> DataFrame:
     """M1: runs of tokens whose parts of speech spell the pattern; overlaps are kept."""
-    patterns = pattern_rules(rules)
-    lengths = sorted(r["n"] for r in patterns.select("n").distinct().collect())
-    if not lengths:
-        lengths = [1]
+    patterns = pattern_rules(settled(rules))
+    lengths = values_of(patterns, "n") or [1]
     w = Window.partitionBy("doc_id").orderBy("tok_no")
 
     def ahead(column: str, n: int) -> list[Column]:
@@ -65,9 +63,9 @@ def match_patterns(toks: DataFrame, rules: DataFrame) -> DataFrame:
     surfaces = F.array(*[F.col(f"_surface{i}") for i in range(longest)])
     exploded = wide.select("doc_id", "begin", surfaces.alias("_surfaces"), F.explode(grams).alias("g"))
     exploded = exploded.select("doc_id", "begin", "_surfaces", "g.*").where("gram is not null")
-    known = bounded_rows(patterns.select("gram").distinct(), INLINE_RULES)
+    known = bounded_rows(patterns.select("gram"), INLINE_RULES)
     if known is not None:
-        exploded = exploded.where(F.col("gram").isin([r["gram"] for r in known]))
+        exploded = exploded.where(F.col("gram").isin(sorted({r["gram"] for r in known})))
     hits = lookup_join(exploded, patterns, ["n", "gram"])
     return hits.select(
         "doc_id", "rule_no", "rule_id",
@@ -92,24 +90,39 @@ def keyword_keys(rules: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
     if vocab is None:
         return plain
     wanted = terms.where("kind = 'stem'").select("rule_no", "rule_id", F.col("key").alias("stem"))
-    # Stemming never changes a term's first character: skip terms that cannot fit.
-    initials = wanted.select(F.substring("stem", 1, 1).alias("_initial")).distinct()
-    candidates = lookup_join(
-        vocab.withColumn("_initial", F.substring("term", 1, 1)), initials, ["_initial"], "left_semi")
-    stemmed = lookup_join(annotate.stems(candidates), wanted, ["stem"]).select(
+    stemmed = lookup_join(annotate.stems(vocab), wanted, ["stem"]).select(
         "rule_no", "rule_id", F.lit("surface").alias("kind"), F.col("term").alias("key"))
     # Few terms share the wanted stems: keep them, so that later uses do not stem again.
-    rows = bounded_rows(stemmed, BROADCAST_ROWS)
-    if rows is not None:
-        stemmed = rules.sparkSession.createDataFrame(rows, stemmed.schema)
-    return plain.unionByName(stemmed)
+    return settled(plain.unionByName(settled(stemmed, BROADCAST_ROWS)), BROADCAST_ROWS)
+
+
+def stem_candidates(docs: DataFrame, rules: DataFrame) -> DataFrame | None:
+    """The vocabulary that can matter to the stem rules; None if there are none.
+
+    A stem less its last character begins every term it stems from. Documents are
+    tested for those beginnings as plain substrings before they are tokenized.
+    """
+    stem_rules = of_type(rules, "keyword").where("coalesce(stem, false) and not coalesce(lemma, false)")
+    rows = bounded_rows(stem_rules.select(F.lower("match").alias("stem")), INLINE_RULES)
+    if rows is None:
+        return annotate.vocabulary(docs)
+    heads = sorted({r["stem"][:-1] for r in rows})
+    if not heads:
+        return None
+    if "" in heads:
+        return annotate.vocabulary(docs)
+    heads = F.lit(heads)
+    holding = docs.where(let(F.lower("text"), lambda low: F.exists(heads, lambda h: F.contains(low, h))))
+    return annotate.vocabulary(holding).where(
+        F.exists(heads, lambda h: F.startswith(F.col("term"), h)))
 
 
 def match_keywords(toks: DataFrame, rules: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
     """M2: whole tokens equal to a rule term, by surface, lemma or stem."""
+    rules = settled(rules)
     keys = keyword_keys(rules, vocab)
-    kinds = sorted({"lemma" if r[0] else "surface" for r in of_type(rules, "keyword").select(
-        F.coalesce("lemma", F.lit(False))).distinct().collect()})
+    lemma_rules = values_of(of_type(rules, "keyword"), F.coalesce("lemma", F.lit(False)))
+    kinds = ["lemma" if is_lemma else "surface" for is_lemma in lemma_rules]
     columns = {"surface": F.lower("surface"), "lemma": F.lower("lemma")}
     exposed = toks.select(
         "doc_id", "begin", "end", F.col("surface").alias("text"), "pos",
@@ -242,11 +255,6 @@ def match_entities(ents: DataFrame, rules: DataFrame) -> DataFrame:
         _no_labels())
 
 
-def needs_vocabulary(rules: DataFrame) -> bool:
-    return bool(of_type(rules, "keyword").where(
-        "coalesce(stem, false) and not coalesce(lemma, false)").take(1))
-
-
 def match_rules(
     docs: DataFrame, rules: DataFrame, toks: DataFrame | None = None, ents: DataFrame | None = None,
     partitioned: bool = False,
@@ -256,7 +264,8 @@ def match_rules(
     ``toks`` and ``ents`` default to this library's annotators; pass tables to use
     other ones. Types without a rule cost nothing.
     """
-    present = {r["type"] for r in rules.select("type").distinct().collect()}
+    rules = settled(rules)
+    present = set(values_of(rules, "type"))
     parts = []
     own_tokens = toks is None
     if present & {"pattern", "keyword"} and own_tokens:
@@ -264,10 +273,9 @@ def match_rules(
     if "pattern" in present:
         parts.append(match_patterns(toks, rules))
     if "keyword" in present:
-        vocab = None
-        if needs_vocabulary(rules):
-            vocab = annotate.vocabulary(docs) if own_tokens else toks.select(
-                F.lower("surface").alias("term")).distinct()
+        vocab = stem_candidates(docs, rules)
+        if vocab is not None and not own_tokens:
+            vocab = toks.select(F.lower("surface").alias("term")).distinct()
         parts.append(match_keywords(toks, rules, vocab))
     if "literal" in present:
         parts.append(match_literals(docs, rules))
@@ -325,6 +333,6 @@ def match_legacy_keywords(docs: DataFrame, keywords: DataFrame, inline_limit: in
     pairs = phrase_pairs(prose, table.select(
         F.col("keyword_no").alias("rule_no"), F.col("_pattern").alias("rule_id"),
         F.lower("phrase").alias("phrase")).distinct(), inline_limit)
-    hits = pairs.where(F.col("text").rlike(F.col("rule_id"))).select(
+    hits = pairs.where(F.rlike("text", "rule_id")).select(
         "doc_id", F.col("rule_no").alias("keyword_no")).distinct()
     return lookup_join(hits, keywords.select("keyword_no", "keyword"), ["keyword_no"])

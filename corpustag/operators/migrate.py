@@ -19,7 +19,7 @@ def _holds_any(text: Column, tags: Sequence[str], compat: bool) -> Column:
     """Whether any of the tags occurs, fenced blocks and front matter included."""
     names = F.array_join(F.transform(_strings(tags), regex_escape), "|")
     if not compat:
-        return text.rlike(F.concat(F.lit("#(?:"), names, F.lit(")" + md.NO_TAG_CHAR_AHEAD)))
+        return F.rlike(text, F.concat(F.lit("#(?:"), names, F.lit(")" + md.NO_TAG_CHAR_AHEAD)))
     return F.length(md.delete_tags(text, _strings(tags), compat=True)) < F.length(text)
 
 

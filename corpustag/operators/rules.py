@@ -110,7 +110,7 @@ def with_unique_ids(rules: DataFrame, taken: DataFrame | None = None, rows_per_s
     bases = based.select("_base").distinct()
     suffixed = used.where(F.col("id").rlike(r"-[1-9][0-9]{0,8}\z")).select(
         F.regexp_replace("id", r"-[0-9]+\z", "").alias("_base"),
-        F.regexp_extract("id", r"-([0-9]+)\z", 1).cast("long").alias("_number"),
+        F.regexp_extract("id", r"-([0-9]+)\z", 1).try_cast("long").alias("_number"),
     ).where("_number >= 2").unionByName(
         used.where(~F.col("_new")).select(F.col("id").alias("_base"), F.lit(1).cast("long").alias("_number"))
     ).join(bases, "_base", "left_semi").distinct()

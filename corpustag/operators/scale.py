@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 BROADCAST_ROWS = 200_000
 INLINE_RULES = 1_000
@@ -23,8 +26,37 @@ def bounded_rows(df: DataFrame, limit: int) -> list[Row] | None:
     return rows if len(rows) <= limit else None
 
 
+def local_frame(spark: SparkSession, rows: Sequence[Row], schema: T.StructType) -> DataFrame:
+    """Rows as a local relation: selecting from it, or collecting it, starts no job."""
+    records = [r.asDict(recursive=True) for r in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(records, to_arrow_schema(schema)), schema)
+
+
+def settled(df: DataFrame, limit: int = INLINE_RULES) -> DataFrame:
+    """A configuration-sized frame read once and held locally; a larger one as it is."""
+    rows = bounded_rows(df, limit)
+    return df if rows is None else local_frame(df.sparkSession, rows, df.schema)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """The frame computed once, where the session names a shared checkpoint folder."""
+    spark = df.sparkSession
+    return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else df
+
+
+def values_of(df: DataFrame, value: str | Column) -> list:
+    """The distinct values of a column that has few of them, sorted, nulls left out."""
+    column = df.select(value)
+    rows = bounded_rows(column, INLINE_RULES)
+    if rows is None:
+        rows = column.distinct().collect()
+    return sorted({r[0] for r in rows if r[0] is not None})
+
+
 def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    return df.limit(limit + 1).count() <= limit
+    first = df.select(df.columns[0])
+    few = min(limit, INLINE_RULES)
+    return bounded_rows(first, few) is not None or (few < limit and first.limit(limit + 1).count() <= limit)
 
 
 def lookup_join(
@@ -60,10 +92,10 @@ def numbered_within(
         *keys, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
     within = Window.partitionBy(*keys, "_slice").orderBy(*order)
     return (
-        sliced.withColumn("_rank", F.row_number().over(within))
+        sliced.withColumn("_within", F.row_number().over(within))
         .join(shifts, [*keys, "_slice"])
-        .withColumn(name, F.col("_rank") + F.col("_shift"))
-        .drop("_slice", "_rank", "_shift")
+        .withColumn(name, F.col("_within") + F.col("_shift"))
+        .drop("_slice", "_within", "_shift")
     )
 
 

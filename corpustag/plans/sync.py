@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
-from ..functions.text import no_strings
+from ..functions.text import let, no_strings
+from ..lexicon import sentiment_lexicon
 from ..operators import annotate
 from ..operators.filters import apply_filters
 from ..operators.hits import InlineSet, inline_hits, joined_hits, prepare_inline
 from ..operators.match import match_rules
 from ..operators.reconcile import expected_tags, managed_tags, reconciled_text, with_changes, with_managed
 from ..operators.rules import active_rules
-from ..operators.scale import INLINE_RULES
+from ..operators.scale import (
+    BROADCAST_ROWS, INLINE_RULES, bounded_rows, held, is_small, settled, values_of,
+)
 
 
 def rule_hits(
@@ -35,10 +38,25 @@ def spread(docs: DataFrame) -> DataFrame:
 def _positional_hits(
     docs: DataFrame, rules: DataFrame, inline: InlineSet, lexicon: DataFrame | None, entity_scope: str,
 ) -> DataFrame:
-    """``(doc_id, extra)``: rule numbers found by the rules whose filters need positions."""
-    chosen = rules.where(F.col("rule_no").isin(inline.positional))
-    hits = rule_hits(docs, chosen, None, None, lexicon, entity_scope, partitioned=True)
-    return hits.groupBy("doc_id").agg(F.collect_set("rule_no").alias("extra"))
+    """``(doc_id, extra)``: rule numbers found by the rules whose filters need positions.
+
+    Only documents with some match of these rules are shuffled and taken apart, and of
+    those, if no rule's range holds 0, only the ones with an opinion word.
+    """
+    chosen = settled(rules.where(F.col("rule_no").isin(inline.positional)))
+    if lexicon is None:
+        lexicon = sentiment_lexicon(docs.sparkSession)
+    text = F.col("text")
+    worth = F.size(inline_hits(inline.candidates, text)) > 0
+    low, high = F.col("filters.sentiment.min"), F.col("filters.sentiment.max")
+    holds_zero = F.coalesce(low <= 0, F.lit(True)) & F.coalesce(high >= 0, F.lit(True))
+    opinions = bounded_rows(lexicon.select(F.lower("term").alias("term")), INLINE_RULES)
+    if opinions and True not in values_of(chosen, holds_zero):
+        words = F.lit(sorted({r["term"] for r in opinions}))
+        worth = let(F.lower(text), lambda low: F.exists(words, lambda w: F.contains(low, w))) & worth
+    near = annotate.by_document(docs.where(worth))
+    hits = rule_hits(near, chosen, None, None, lexicon, entity_scope, partitioned=True)
+    return held(hits.groupBy("doc_id").agg(F.collect_set("rule_no").alias("extra")))
 
 
 def expected_and_existing(
@@ -50,8 +68,8 @@ def expected_and_existing(
     ``rules`` must be active ones. Three plans, by what the rules need:
 
     * up to ``inline_limit`` rules without positions: one map-only stage;
-    * some with sentiment or scoped filters: documents are shuffled once by ``doc_id``,
-      and both the match tables and the final join use that partitioning;
+    * some with sentiment or scoped filters: the documents those can concern go through
+      the match tables first, and their hits join the same stage;
     * larger rule sets: key joins, then the documents join in on ``doc_id``.
     """
     kept = [c for c in docs.columns if c not in ("doc_id", "text")]
@@ -60,9 +78,11 @@ def expected_and_existing(
         return _by_joins(docs, rules, lexicon, entity_scope)
     text = F.col("text")
     if inline.positional:
-        base = docs.repartition("doc_id")
-        found = _positional_hits(annotate.by_document(docs), rules, inline, lexicon, entity_scope)
-        base = base.join(found, "doc_id", "left").withColumn(
+        # Few documents found: broadcast them, and the texts stay where they are.
+        found = settled(_positional_hits(
+            spread(docs), rules, inline, lexicon, entity_scope), BROADCAST_ROWS)
+        side = F.broadcast(found) if is_small(found) else found
+        base = spread(docs).join(side, "doc_id", "left").withColumn(
             "extra", F.coalesce("extra", F.array().cast("array<int>")))
         hits = inline_hits(inline, text, F.col("extra"))
     else:
@@ -102,7 +122,7 @@ def tag_diff(
     Returns the document's columns other than ``text`` plus ``matched_rules, removed,
     added, modified``.
     """
-    active = active_rules(rules, groups, honor_groups)
+    active = settled(active_rules(rules, groups, honor_groups))
     return with_changes(expected_and_existing(
         docs, active, lexicon, entity_scope, inline_limit)).drop("text")
 
@@ -113,7 +133,7 @@ def reconcile(
     compat: bool = False,
 ) -> DataFrame:
     """The diff together with the rewritten ``text`` of every document."""
-    active = active_rules(rules, groups, honor_groups)
+    active = settled(active_rules(rules, groups, honor_groups))
     diff = with_changes(expected_and_existing(docs, active, lexicon, entity_scope, inline_limit))
     return diff.withColumn(
         "text", reconciled_text(F.col("text"), F.col("removed"), F.col("added"), compat))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpustag.operators.scale import settled
 from corpustag.schema import RULE_SCHEMA
 
 
@@ -84,7 +85,7 @@ NUMBERED_SCHEMA = T.StructType([T.StructField("rule_no", T.IntegerType()), *RULE
 
 
 def rules_frame(spark: SparkSession, rules: list[dict] = RULES) -> DataFrame:
-    return spark.createDataFrame([{"rule_no": i} | r for i, r in enumerate(rules)], NUMBERED_SCHEMA)
+    return settled(spark.createDataFrame([{"rule_no": i} | r for i, r in enumerate(rules)], NUMBERED_SCHEMA))
 
 
 LEGACY_KEYWORDS: list[tuple] = [

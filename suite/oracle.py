@@ -161,7 +161,7 @@ def rule_values(rules: list[dict]) -> str:
             f"({i}, {q(r['id'])}, {q(r['type'])}, {q(r['match'])}, {bool(r['lemma'])}, {bool(r['stem'])}, "
             f"{r['enabled'] is not False}, {sql_list(f.get('pos') or [])}, {sql_list(need)}, {bool(s)}, "
             f"{num(s.get('min'))}, {num(s.get('max'))}, {q(s.get('scope') or 'sentence')}, {sql_list(r['tags'])})")
-    return ("R(rule_no, id, type, m, is_lemma, is_stem, enabled, pos, need, has_sent, smin, smax, scope, tags) AS "
+    return ("R(rule_no, id, type, m, is_lemma, is_stem, enabled, rpos, need, has_sent, smin, smax, scope, tags) AS "
             "(VALUES " + ",\n  ".join(rows) + ")")
 
 
@@ -218,7 +218,7 @@ K AS (
   LEFT JOIN dtypes ON dtypes.doc_id = M.doc_id
   LEFT JOIN scored ON scored.doc_id = M.doc_id AND scored.rule_no = M.rule_no AND scored.b = M.b AND scored.e = M.e
   WHERE enabled
-    AND (len(R.pos) = 0 OR (tags_ IS NOT NULL AND list_has_any(tags_, R.pos)))
+    AND (len(rpos) = 0 OR (tags_ IS NOT NULL AND list_has_any(tags_, rpos)))
     AND (len(need) = 0 OR coalesce(list_has_any(need, types), false))
     AND (NOT has_sent OR (coalesce(score >= smin, true) AND coalesce(score <= smax, true)))),
 H AS (SELECT DISTINCT doc_id, rule_no FROM K)"""
