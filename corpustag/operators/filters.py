@@ -51,11 +51,13 @@ def filter_entities(
     """The document holds an entity of any required type, wherever it stands."""
     needed = rules.select("rule_no", required_types().alias("_need"))
     asked = lookup_join(matches, needed, ["rule_no"])
-    free = asked.where(_absent(F.col("_need")))
     bound = asked.where(~_absent(F.col("_need")))
     types = document_entity_types(docs, ents)
-    passed = bound.join(types, "doc_id").where(F.arrays_overlap("_need", "types"))
-    return free.select(*matches.columns).unionByName(passed.select(*matches.columns))
+    passed = bound.join(types, "doc_id").where(F.arrays_overlap("_need", "types")).select(*matches.columns)
+    if True not in values_of(needed, _absent(F.col("_need"))):
+        return passed
+    free = asked.where(_absent(F.col("_need")))
+    return free.select(*matches.columns).unionByName(passed)
 
 
 def scope_units(docs: DataFrame, toks: DataFrame, scope: str, partitioned: bool = False) -> tuple[DataFrame, str]:
@@ -77,7 +79,7 @@ def filter_entities_in_scope(
         "rule_no", F.coalesce("f.scope", F.lit("sentence")).alias("_scope"),
         F.explode_outer("f.types").alias("type"))
     asked = lookup_join(matches, listed, ["rule_no"])
-    parts = [asked.where("type is null")]
+    parts = [asked.where("type is null")] if True in values_of(listed, F.col("type").isNull()) else []
     scopes = values_of(listed.where("type is not null"), "_scope")
     in_document = ents.select("doc_id", "type").distinct()
     for scope in scopes:
@@ -121,7 +123,7 @@ def filter_sentiment(
         F.col("filters.sentiment.min").alias("_min"), F.col("filters.sentiment.max").alias("_max"),
         F.coalesce("filters.sentiment.scope", F.lit("sentence")).alias("_scope"))
     asked = lookup_join(matches, bounds, ["rule_no"])
-    parts = [asked.where("not _bound")]
+    parts = [asked.where("not _bound")] if False in values_of(bounds, "_bound") else []
     scopes = values_of(bounds.where("_bound"), "_scope")
     in_range = (
         F.coalesce(F.col("_score") >= F.col("_min"), F.lit(True))

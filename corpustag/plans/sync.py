@@ -24,11 +24,33 @@ def rule_hits(
     lexicon: DataFrame | None = None, entity_scope: str = "document", partitioned: bool = False,
 ) -> DataFrame:
     """M6 over the match tables: distinct ``(doc_id, rule_no)`` after all filters."""
-    matches = match_rules(docs, rules, toks, ents, partitioned)
-    kept = apply_filters(matches, rules, docs, toks, ents, lexicon, entity_scope, partitioned)
+    kept = filtered_matches(docs, rules, toks, ents, lexicon, entity_scope, partitioned)
     return kept.select("doc_id", "rule_no").distinct()
 
 
+def filtered_matches(
+    docs: DataFrame, rules: DataFrame, toks: DataFrame | None = None, ents: DataFrame | None = None,
+    lexicon: DataFrame | None = None, entity_scope: str = "document", partitioned: bool = False,
+) -> DataFrame:
+    """M6 with P6: all matches that pass their rule's filters.
+
+    The rules are split by filter first, so that matches of plain rules meet no join and
+    a filter's tables are built for its own rules only.
+    """
+    rules = settled(rules)
+    asks_sentiment = F.coalesce(F.col("filters.sentiment").isNotNull(), F.lit(False))
+    asks_entity = F.coalesce(F.size("filters.requireEntity") > 0, F.lit(False))
+    kinds = values_of(rules, F.when(asks_sentiment, 2).when(asks_entity, 1).otherwise(0))
+    split = {0: ~asks_sentiment & ~asks_entity, 1: ~asks_sentiment & asks_entity, 2: asks_sentiment}
+    out = None
+    for kind in kinds or [0]:
+        mine = settled(rules.where(split[kind]))
+        matches = match_rules(docs, mine, toks, ents, partitioned)
+        kept = apply_filters(matches, mine, docs, toks, ents, lexicon, entity_scope, partitioned)
+        out = kept if out is None else out.unionByName(kept)
+    return out
+
+
 def spread(docs: DataFrame) -> DataFrame:
     """Use every core on inputs of a few file splits; larger inputs stay as they are."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
@@ -139,6 +161,23 @@ def reconcile(
         "text", reconciled_text(F.col("text"), F.col("removed"), F.col("added"), compat))
 
 
+def document_tags(
+    docs: DataFrame, rules: DataFrame, lexicon: DataFrame | None = None,
+    entity_scope: str = "document", inline_limit: int = INLINE_RULES,
+) -> DataFrame:
+    """Matched rules and expected tags of the documents some rule hits."""
+    tagged = expected_and_existing(
+        docs, settled(active_rules(rules)), lexicon, entity_scope, inline_limit)
+    return tagged.select("doc_id", "matched_rules", "expected").where(F.size("matched_rules") > 0)
+
+
+def rule_coverage(docs: DataFrame, rules: DataFrame, **options) -> DataFrame:
+    """G11 for one run: ``(rule_id, match_count, last_triggered)``."""
+    hits = document_tags(docs, rules, **options).select(F.explode("matched_rules").alias("rule_id"))
+    return hits.groupBy("rule_id").agg(
+        F.count("*").alias("match_count"), F.current_timestamp().alias("last_triggered"))
+
+
 def only_unseen(docs: DataFrame, seen: DataFrame, version: str) -> DataFrame:
     """Documents whose text changed since ``seen(doc_id, hash, version)`` was written.
 

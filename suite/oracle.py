@@ -480,6 +480,8 @@ _SQL["q24_expected_tags"] = with_blocks(*_ON_DOCUMENTS, EXPECTED, select="""
 SELECT doc_id, matched_rules, string_agg(tag, ' ' ORDER BY ord) AS expected
 FROM hit_rules JOIN hit_tags USING (doc_id) GROUP BY ALL""")
 
+_SQL["q24b_expected_tags_by_matches"] = _SQL["q24_expected_tags"]
+
 _DIFF_ROWS = "SELECT doc_id, modified, added, removed, matched_rules FROM D"
 _SQL["q25_tag_diff"] = with_blocks(*_ON_NOTES, select=_DIFF_ROWS)
 _SQL["q25c_tag_diff_by_joins"] = _SQL["q25_tag_diff"]
@@ -569,7 +571,7 @@ checked AS (
     CASE WHEN m = '  ' THEN 'match is blank' END,
     CASE WHEN no_tags THEN 'no tags' END,
     CASE WHEN type = 'keyword' AND lemma AND stem THEN 'lemma and stem' END,
-    CASE WHEN smin IS NULL OR smin < -1 OR smin > 1 THEN 'sentiment min outside [-1, 1]' END], x -> x IS NOT NULL) AS errors
+    CASE WHEN smin IS NULL OR smin < -1 OR smin > 1 THEN 'sentiment min outside [-1, 1]' END], lambda x: x IS NOT NULL) AS errors
   FROM src)"""
 _SQL["q35_rule_import"] = with_blocks(_IMPORTED, """
 based AS (

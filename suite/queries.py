@@ -263,8 +263,7 @@ def q19b_legacy_reconcile(spark, sf_dir):
 @query
 def q20_pos_filter(spark, sf_dir):
     chosen = _pick(spark, "r02", "r09", "r12")
-    matches = match.match_rules(fx.documents(spark, sf_dir), chosen)
-    return _per_document(filters.filter_pos(matches, chosen))
+    return _per_document(filters.filter_pos(match.match_rules(fx.documents(spark, sf_dir), chosen), chosen))
 
 
 @query
@@ -300,6 +299,13 @@ def q23b_sentiment_scopes(spark, sf_dir):
 
 @query
 def q24_expected_tags(spark, sf_dir):
+    return sync.document_tags(fx.documents(spark, sf_dir), _pick(spark)).select(
+        "doc_id", _words(F.col("matched_rules")).alias("matched_rules"), _words(F.col("expected")).alias("expected"))
+
+
+@query
+def q24b_expected_tags_by_matches(spark, sf_dir):
+    """The same answer from the match tables, as with annotations of one's own."""
     active = rules.active_rules(_pick(spark))
     hits = sync.rule_hits(fx.documents(spark, sf_dir), active)
     return reconcile.expected_tags(hits, active).select(
@@ -359,9 +365,7 @@ def q29_bulk_remove(spark, sf_dir):
 
 @query
 def q30_rule_coverage(spark, sf_dir):
-    active = rules.active_rules(_pick(spark))
-    hits = sync.rule_hits(fx.documents(spark, sf_dir), active)
-    return reconcile.rule_statistics(hits, active, F.current_timestamp()).select("rule_id", "match_count")
+    return sync.rule_coverage(fx.documents(spark, sf_dir), _pick(spark)).select("rule_id", "match_count")
 
 
 # --- Discovery --------------------------------------------------------------------
