@@ -27,6 +27,8 @@ WORD = r"\p{L}[\p{L}\p{M}]*(?:['’]\p{L}+)?"
 NUMBER = r"[0-9]+(?:[.,][0-9]+)*+"
 
 TOKEN = "|".join([URL, EMAIL, HASHTAG, MENTION, WORD, NUMBER + "%?", r"[^\s]"])
+# The same tokens for a text without an at sign, where every word is tried once less.
+TOKEN_NO_AT = "|".join([URL, HASHTAG, WORD, NUMBER + "%?", r"[^\s]"])
 
 _MONTH = ("(?:January|February|March|April|May|June|July|August|September|October|"
           "November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec)")
@@ -53,6 +55,8 @@ ENTITY_SHAPES = [
     ("EMOTICON", EMOTICON), ("EMOJI", EMOJI),
 ]
 ENTITY_OR_WORD = "|".join([shape for _, shape in ENTITY_SHAPES] + [WORD])
+ENTITY_OR_WORD_NO_AT = "|".join(
+    [shape for name, shape in ENTITY_SHAPES if name not in ("EMAIL", "MENTION")] + [WORD])
 
 # A text without any of these holds no entity, so it skips the entity scan.
 MAY_HOLD_ENTITY = (
@@ -64,19 +68,42 @@ MAY_HOLD_ENTITY = (
 ASCII_WS = " \t\n\x0b\f\r"
 
 
+def _extract(text: Column, pattern: str, pattern_no_at: str) -> Column:
+    """All matches; texts without an at sign take the shorter, equivalent pattern."""
+    return F.when(F.contains(text, F.lit("@")), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(
+        F.regexp_extract_all(text, F.lit(pattern_no_at), F.lit(0)))
+
+
 def token_surfaces(text: Column) -> Column:
     """All token surfaces of a text, in order."""
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    return _extract(text, TOKEN, TOKEN_NO_AT)
 
 
 def token_pieces(text: Column) -> Column:
     """Tokens with the whitespace around them; joined, the pieces give the text back."""
-    return F.regexp_extract_all(text, F.lit(rf"\s*(?:{TOKEN})\s*"), F.lit(0))
+    return _extract(text, rf"\s*(?:{TOKEN})\s*", rf"\s*(?:{TOKEN_NO_AT})\s*")
+
+
+def entity_pieces(text: Column) -> Column:
+    """Entities, words and other characters with the whitespace around them."""
+    return _extract(text, rf"\s*(?:{ENTITY_OR_WORD}|[^\s])\s*", rf"\s*(?:{ENTITY_OR_WORD_NO_AT}|[^\s])\s*")
+
+
+def _ends(term: Column, least: int, *suffixes: str) -> Column:
+    """Whether a term of at least ``least`` characters ends in one of the suffixes."""
+    test = F.endswith(term, F.lit(suffixes[0]))
+    for suffix in suffixes[1:]:
+        test = test | F.endswith(term, F.lit(suffix))
+    return test & (F.length(term) >= least)
+
+
+def _cut(term: Column, n: int) -> Column:
+    return F.substring(term, F.lit(1), F.length(term) - n)
 
 
 def default_pos_lookup(term: Column) -> Column:
     """Part of speech of a lower-cased term in the default lexicon, else null."""
-    found = F.when(F.lit(False), F.lit(None).cast("string"))
+    found = F.when(~term.isin(sorted(lexicon.pos_by_term())), F.lit(None).cast("string"))
     for pos, terms in lexicon.POS_TERMS.items():
         found = found.when(term.isin(terms), F.lit(pos))
     return found
@@ -90,17 +117,21 @@ def pos_of(surface: Column) -> Column:
 def pos_given(surface: Column, known: Column) -> Column:
     """The lexicon's answer first, then shape, then suffix, then NOUN."""
     term = F.lower(surface)
-    shape = (
+    word = (
+        F.when(surface.rlike(r"^\p{Lu}"), F.lit("PROPN"))
+        .when(_ends(term, 5, "ing") | _ends(term, 4, "ed"), F.lit("VERB"))
+        .when(_ends(term, 4, "ly"), F.lit("ADV"))
+        .when(_ends(term, 5, "ble", "ful", "ous"), F.lit("ADJ"))
+        .otherwise(F.lit("NOUN"))
+    )
+    other = (
         F.when(surface.rlike(r"^[0-9]"), F.lit("NUM"))
         .when(surface.rlike(rf"^(?:{URL}|{EMAIL}|[#@][A-Za-z0-9_])"), F.lit("X"))
         .when(surface.rlike(r"^\p{P}"), F.lit("PUNCT"))
         .when(~surface.rlike(r"^\p{L}"), F.lit("SYM"))
-        .when(surface.rlike(r"^\p{Lu}"), F.lit("PROPN"))
-        .when(term.rlike(r"..(?:ing|ed)$"), F.lit("VERB"))
-        .when(term.rlike(r"..ly$"), F.lit("ADV"))
-        .when(term.rlike(r"..(?:ble|ful|ous)$"), F.lit("ADJ"))
-        .otherwise(F.lit("NOUN"))
+        .otherwise(word)
     )
+    shape = F.when(surface.rlike(r"^\p{L}[\p{L}\p{M}]*\z"), word).otherwise(other)
     return F.coalesce(known, shape)
 
 
@@ -121,12 +152,12 @@ def lemma_given(surface: Column, known: Column) -> Column:
     """The lexicon's irregular form first, then one inflection suffix off."""
     term = F.lower(surface)
     inflected = (
-        F.when(term.rlike(r"...ies$"), F.regexp_replace(term, "ies$", "y"))
-        .when(term.rlike(r"..(?:ss|sh|ch|x|z)es$"), F.regexp_replace(term, "es$", ""))
-        .when(term.rlike(r"(?:ss|us|is)$"), term)
-        .when(term.rlike(r"...s$"), F.regexp_replace(term, "s$", ""))
-        .when(term.rlike(r"....ing$"), F.regexp_replace(term, "ing$", ""))
-        .when(term.rlike(r"....ed$"), F.regexp_replace(term, "ed$", ""))
+        F.when(_ends(term, 6, "ies"), F.concat(_cut(term, 3), F.lit("y")))
+        .when(_ends(term, 6, "sses", "shes", "ches") | _ends(term, 5, "xes", "zes"), _cut(term, 2))
+        .when(_ends(term, 2, "ss", "us", "is"), term)
+        .when(_ends(term, 4, "s"), _cut(term, 1))
+        .when(_ends(term, 7, "ing"), _cut(term, 3))
+        .when(_ends(term, 6, "ed"), _cut(term, 2))
         .otherwise(term)
     )
     return F.coalesce(known, inflected)
@@ -145,7 +176,7 @@ def entity_type_of(piece: Column) -> Column:
 
 def entity_types(text: Column) -> Column:
     """The distinct entity types of a text, computed within the row."""
-    pieces = F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY_OR_WORD), F.lit(0)))
+    pieces = F.array_distinct(_extract(text, ENTITY_OR_WORD, ENTITY_OR_WORD_NO_AT))
     types = F.array_compact(F.array_distinct(F.transform(pieces, entity_type_of)))
     return F.when(text.rlike(MAY_HOLD_ENTITY), types).otherwise(F.array().cast("array<string>"))
 

@@ -16,6 +16,8 @@ WS_CHARS = (
     r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 )
 WS = f"[{WS_CHARS}]"
+# The same set as a plain string, for trimming without a regular expression.
+WS_TEXT = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -30,7 +32,7 @@ def no_strings() -> Column:
 
 def trim_ws(text: Column) -> Column:
     """Drop leading and trailing whitespace, newlines and Unicode spaces included."""
-    return F.regexp_replace(text, rf"^{WS}++|(?<!{WS}){WS}++\z", "")
+    return F.btrim(text, F.lit(WS_TEXT))
 
 
 def regex_escape(text: Column) -> Column:

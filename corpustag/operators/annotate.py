@@ -103,8 +103,7 @@ def entities(docs: DataFrame, partitioned: bool = False) -> DataFrame:
         F.col("text").rlike(lang.MAY_HOLD_ENTITY))
     if not partitioned:
         source = source.repartition("doc_id")
-    pieces = source.select("doc_id", F.posexplode(F.regexp_extract_all(
-        "text", F.lit(rf"\s*(?:{lang.ENTITY_OR_WORD}|[^\s])\s*"), F.lit(0))).alias("_i", "_piece"))
+    pieces = source.select("doc_id", F.posexplode(lang.entity_pieces(F.col("text"))).alias("_i", "_piece"))
     ws = F.lit(lang.ASCII_WS)
     w = Window.partitionBy("doc_id").orderBy("_i")
     before = w.rowsBetween(Window.unboundedPreceding, -1)

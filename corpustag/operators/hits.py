@@ -171,8 +171,8 @@ def _token_keys(rules: InlineSet, text: Column) -> list[Column]:
     return [let(lang.token_surfaces(text), found)]
 
 
-def document_keys(rules: InlineSet, text: Column) -> Column:
-    """The rule keys a text has: ``part:term``."""
+def document_keys(rules: InlineSet, text: Column, types: Column) -> Column:
+    """The rule keys a text with these entity types has: ``part:term``."""
     parts = _token_keys(rules, text)
     if rules.wants("literal"):
         phrases = F.lit(rules.wants("literal"))
@@ -180,7 +180,7 @@ def document_keys(rules: InlineSet, text: Column) -> Column:
             phrases, lambda p: F.contains(low, p)))))
     if rules.wants("entity"):
         parts.append(_labelled("entity", F.array_intersect(
-            lang.entity_types(text), F.lit(rules.wants("entity")))))
+            types, F.lit(rules.wants("entity")))))
     return F.concat(*parts) if parts else no_strings()
 
 
@@ -190,18 +190,18 @@ def inline_hits(rules: InlineSet, text: Column, extra: Column | None = None) ->
     ``extra`` is an array of rule numbers already known to hit by other means.
     """
     needed = sorted({t for spec in rules.specs for t in spec["need"]})
-    types = F.array_intersect(lang.entity_types(text), F.lit(needed)) if needed else no_strings()
+    types = lang.entity_types(text) if needed or rules.wants("entity") else no_strings()
 
-    def hits(keys: Column) -> Column:
-        def by_types(held: Column) -> Column:
+    def by_types(held: Column) -> Column:
+        def by_keys(keys: Column) -> Column:
             def is_hit(rule: Column) -> Column:
                 own = F.arrays_overlap(rule["keys"], keys) & (
                     (F.size(rule["need"]) == 0) | F.arrays_overlap(rule["need"], held))
                 return own if extra is None else own | F.array_contains(extra, rule["no"])
             return F.filter(rules.constant(), is_hit)
-        return let(types, by_types)
+        return let(document_keys(rules, text, held), by_keys)
 
-    return let(document_keys(rules, text), hits)
+    return let(types, by_types)
 
 
 # --- Rule sets too large to fold into the plan ------------------------------------

@@ -512,7 +512,7 @@ def q39b_stream_debounce(spark, sf_dir):
 
 @query
 def q40_note_collisions(spark, sf_dir):
-    saved = sinks.note_frame(fx.documents(spark, sf_dir, F.col("source").alias("alias")))
+    saved = sinks.note_frame(sync.spread(fx.documents(spark, sf_dir, F.col("source").alias("alias"))))
     return saved.select("alias", "slug", "filename", tx.content_hash(F.col("text")).alias("text_hash"),
                         "collisions", "doc_id")
 
