@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import language as lang
 from ..functions.text import let
-from .scale import BROADCAST_ROWS, lookup_join, settled
+from .scale import BROADCAST_ROWS, INLINE_RULES, bounded_rows, lookup_join, settled
 
 # What counts as a content word, and the usual list length.
 CONTENT_POS = ["NOUN", "VERB", "ADJ", "PROPN"]
@@ -28,31 +28,37 @@ def _content_lemmas(tokens: Column) -> Column:
 
 
 def keyword_counts(docs: DataFrame) -> DataFrame:
-    """D1 before the cut: ``(keyword, n, file_count)`` for every content lemma.
+    """D1 before the cut: ``(keyword, n)`` for every content lemma.
 
-    Occurrences are counted per surface form first, so part of speech and lemma are
-    worked out once per form. Documents per lemma are counted from each row's distinct
-    lemmas; both kinds of count ride in one aggregation.
+    Surface forms are counted first, so part of speech and lemma are worked out once per
+    form of the vocabulary and not once per token.
     """
-    def listed(tokens: Column) -> Column:
-        lemmas = F.array_distinct(_content_lemmas(F.array_distinct(tokens)))
-        return F.concat(
-            F.transform(tokens, lambda s: F.struct(F.lit(False).alias("is_lemma"), s.alias("value"))),
-            F.transform(lemmas, lambda l: F.struct(F.lit(True).alias("is_lemma"), l.alias("value"))))
+    forms = docs.select(F.explode(lang.token_surfaces(F.col("text"))).alias("form")).groupBy("form").agg(
+        F.count("*").alias("n"))
+    lemma = F.lower(lang.lemma_of(F.col("form")))
+    content = lang.pos_of(F.col("form")).isin(CONTENT_POS) & (F.length(lemma) > 2)
+    return forms.where(content).groupBy(lemma.alias("keyword")).agg(F.sum("n").alias("n"))
+
 
-    tallied = docs.select(F.explode(let(lang.token_surfaces(F.col("text")), listed)).alias("t")).groupBy(
-        "t.is_lemma", "t.value").agg(F.count("*").alias("n"))
-    value = F.col("value")
-    lemma = F.when(F.col("is_lemma"), value).otherwise(F.lower(lang.lemma_of(value)))
-    content = F.col("is_lemma") | (lang.pos_of(value).isin(CONTENT_POS) & (F.length(lemma) > 2))
-    return tallied.where(content).groupBy(lemma.alias("keyword")).agg(
-        F.sum(F.when(~F.col("is_lemma"), F.col("n")).otherwise(0)).alias("n"),
-        F.sum(F.when(F.col("is_lemma"), F.col("n")).otherwise(0)).alias("file_count"))
+def _holding(docs: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Distinct ``(doc_id, keyword)`` for the given keywords, cut down within the row."""
+    lemmas = _content_lemmas(F.array_distinct(lang.token_surfaces(F.col("text"))))
+    wanted = bounded_rows(keywords.select("keyword"), INLINE_RULES)
+    if wanted is not None:
+        lemmas = F.array_intersect(lemmas, F.lit(sorted({r["keyword"] for r in wanted}) or [""]))
+        return docs.select("doc_id", F.explode(lemmas).alias("keyword"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(lemmas)).alias("keyword"))
+    return lookup_join(held, keywords.select("keyword"), ["keyword"], "left_semi")
 
 
 def top_keywords(docs: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """The most frequent content lemmas, ties by lemma."""
-    return keyword_counts(docs).orderBy(F.desc("n"), "keyword").limit(limit)
+    """The most frequent content lemmas with occurrences and documents, ties by lemma.
+
+    Documents are counted for the winners only, in a second look at the corpus.
+    """
+    top = settled(keyword_counts(docs).orderBy(F.desc("n"), "keyword").limit(limit), BROADCAST_ROWS)
+    files = _holding(docs, top).groupBy("keyword").agg(F.count("*").alias("file_count"))
+    return files.join(top, "keyword").select("keyword", "n", "file_count").orderBy(F.desc("n"), "keyword")
 
 
 def top_keywords_of_tokens(toks: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
@@ -69,9 +75,7 @@ def keyword_samples(docs: DataFrame, keywords: DataFrame, samples: int = 5) -> D
 
     Ranking keeps at most ``samples`` rows per keyword in each task before the shuffle.
     """
-    lemmas = F.array_distinct(_content_lemmas(F.array_distinct(lang.token_surfaces(F.col("text")))))
-    held = docs.select("doc_id", F.explode(lemmas).alias("keyword"))
-    found = lookup_join(held, keywords.select("keyword"), ["keyword"], "left_semi")
+    found = _holding(docs, keywords)
     w = Window.partitionBy("keyword").orderBy("doc_id")
     first = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= samples)
     return first.groupBy("keyword").agg(F.sort_array(F.collect_list("doc_id")).alias("sample_files"))

@@ -51,12 +51,6 @@ def filtered_matches(
     return out
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """Use every core on inputs of a few file splits; larger inputs stay as they are."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
-
-
 def _positional_hits(
     docs: DataFrame, rules: DataFrame, inline: InlineSet, lexicon: DataFrame | None, entity_scope: str,
 ) -> DataFrame:
@@ -101,14 +95,13 @@ def expected_and_existing(
     text = F.col("text")
     if inline.positional:
         # Few documents found: broadcast them, and the texts stay where they are.
-        found = settled(_positional_hits(
-            spread(docs), rules, inline, lexicon, entity_scope), BROADCAST_ROWS)
+        found = settled(_positional_hits(docs, rules, inline, lexicon, entity_scope), BROADCAST_ROWS)
         side = F.broadcast(found) if is_small(found) else found
-        base = spread(docs).join(side, "doc_id", "left").withColumn(
+        base = docs.join(side, "doc_id", "left").withColumn(
             "extra", F.coalesce("extra", F.array().cast("array<int>")))
         hits = inline_hits(inline, text, F.col("extra"))
     else:
-        base, hits = spread(docs), inline_hits(inline, text)
+        base, hits = docs, inline_hits(inline, text)
     listed = base.select("doc_id", "text", *kept, hits.alias("_hits"))
     return listed.select(
         "doc_id", "text", *kept,

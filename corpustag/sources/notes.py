@@ -45,6 +45,16 @@ def read_roots(spark: SparkSession, roots: Mapping[str, str], alias: str | None
     return notes.select(content_hash(F.col("path")).alias("doc_id"), "alias", "path", "text")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain file scan of fewer splits than cores, dealt out to all cores.
+
+    Row-local text work follows the scan's splits, so a small single-file input would
+    keep one core busy. Scans with enough splits are returned as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_table(
     spark: SparkSession, source: str, doc_id: str = "doc_id", text: str = "text", *keep: str,
 ) -> DataFrame:

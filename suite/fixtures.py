@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from corpustag.operators.scale import settled
 from corpustag.schema import RULE_SCHEMA
+from corpustag.sources.notes import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,12 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", *extra)
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *extra))
 
 
 def notes(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     """Documents dressed as notes: front matter, a fenced block, tag lines, an open fence."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality"))
     lang_tags = F.concat(F.lit("#lang/"), "lang", F.lit(" #stale\n"))
     quality = F.concat(F.lit("#quality/"), F.col("quality").cast("string"), F.lit("\n"))

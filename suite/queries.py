@@ -114,7 +114,7 @@ def q37_content_hash(spark, sf_dir):
 @query
 def q07_token_counts(spark, sf_dir):
     tokens = lang.token_surfaces(F.col("text"))
-    return sync.spread(fx.documents(spark, sf_dir)).select(
+    return fx.documents(spark, sf_dir).select(
         "doc_id", F.size(tokens).cast("long").alias("n_tokens"),
         F.size(F.array_distinct(tokens)).cast("long").alias("n_distinct"))
 
@@ -144,7 +144,7 @@ def q09_paragraphs(spark, sf_dir):
 
 @query
 def q10_pos_histogram(spark, sf_dir):
-    surfaces = sync.spread(fx.documents(spark, sf_dir)).select(
+    surfaces = fx.documents(spark, sf_dir).select(
         F.explode(lang.token_surfaces(F.col("text"))).alias("surface"))
     # Label each distinct form once, weighted by its count.
     forms = surfaces.groupBy("surface").agg(F.count("*").alias("n"))
@@ -153,7 +153,7 @@ def q10_pos_histogram(spark, sf_dir):
 
 @query
 def q11_lemma_counts(spark, sf_dir):
-    surfaces = sync.spread(fx.documents(spark, sf_dir)).select(
+    surfaces = fx.documents(spark, sf_dir).select(
         F.explode(lang.token_surfaces(F.col("text"))).alias("surface"))
     forms = surfaces.groupBy("surface").agg(F.count("*").alias("n"))
     return forms.groupBy(lang.lemma_of(F.col("surface")).alias("lemma")).agg(F.sum("n").alias("n"))
@@ -161,7 +161,7 @@ def q11_lemma_counts(spark, sf_dir):
 
 @query
 def q12_stem_vocab(spark, sf_dir):
-    return annotate.stems(annotate.vocabulary(sync.spread(fx.documents(spark, sf_dir))))
+    return annotate.stems(annotate.vocabulary(fx.documents(spark, sf_dir)))
 
 
 @query
@@ -217,17 +217,17 @@ def q16_keyword_matches(spark, sf_dir):
     docs = fx.documents(spark, sf_dir)
     active = rules.active_rules(_pick(spark))
     return _match_rows(match.match_keywords(
-        annotate.tokens(docs), active, annotate.vocabulary(sync.spread(docs))))
+        annotate.tokens(docs), active, annotate.vocabulary(docs)))
 
 
 @query
 def q17_literal_matches(spark, sf_dir):
-    return _match_rows(match.match_literals(sync.spread(fx.documents(spark, sf_dir)), _pick(spark)))
+    return _match_rows(match.match_literals(fx.documents(spark, sf_dir), _pick(spark)))
 
 
 @query
 def q17b_literal_counts(spark, sf_dir):
-    return match.count_phrases(sync.spread(fx.documents(spark, sf_dir)), _pick(spark)).select("doc_id", "rule_id", "n")
+    return match.count_phrases(fx.documents(spark, sf_dir), _pick(spark)).select("doc_id", "rule_id", "n")
 
 
 @query
@@ -236,7 +236,7 @@ def q17c_many_phrases(spark, sf_dir):
     phrases = fx.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("rule_no"), F.col("item_id").cast("string").alias("rule_id"),
         F.lower(F.substring("text", 1, 20)).alias("phrase"))
-    return match.phrase_pairs(sync.spread(fx.documents(spark, sf_dir)), phrases, inline_limit=0).select(
+    return match.phrase_pairs(fx.documents(spark, sf_dir), phrases, inline_limit=0).select(
         "doc_id", "rule_no", "phrase")
 
 
@@ -247,13 +247,13 @@ def q18_entity_matches(spark, sf_dir):
 
 @query
 def q19_legacy_keywords(spark, sf_dir):
-    return match.match_legacy_keywords(sync.spread(fx.notes(spark, sf_dir)), fx.legacy_keywords(spark)).select(
+    return match.match_legacy_keywords(fx.notes(spark, sf_dir), fx.legacy_keywords(spark)).select(
         "doc_id", "keyword")
 
 
 @query
 def q19b_legacy_reconcile(spark, sf_dir):
-    out = reconcile.legacy_reconcile(sync.spread(fx.notes(spark, sf_dir)), fx.legacy_keywords(spark))
+    out = reconcile.legacy_reconcile(fx.notes(spark, sf_dir), fx.legacy_keywords(spark))
     return out.select("doc_id", "modified", _words(F.col("added")).alias("added"),
                       _words(F.col("matched_keywords")).alias("matched_keywords"))
 
@@ -331,7 +331,7 @@ def q25b_tag_diff_map_only(spark, sf_dir):
 @query
 def q25c_tag_diff_by_joins(spark, sf_dir):
     """The plan for rule sets too large to fold in, forced on the fixture rules."""
-    return _diff_rows(sync.tag_diff(sync.spread(fx.notes(spark, sf_dir)), _pick(spark), inline_limit=0))
+    return _diff_rows(sync.tag_diff(fx.notes(spark, sf_dir), _pick(spark), inline_limit=0))
 
 
 @query
@@ -372,12 +372,12 @@ def q30_rule_coverage(spark, sf_dir):
 
 @query
 def q31_top_keywords(spark, sf_dir):
-    return discover.top_keywords(sync.spread(fx.documents(spark, sf_dir)))
+    return discover.top_keywords(fx.documents(spark, sf_dir))
 
 
 @query
 def q31b_keyword_samples(spark, sf_dir):
-    docs = sync.spread(fx.documents(spark, sf_dir))
+    docs = fx.documents(spark, sf_dir)
     top = discover.top_keywords(docs, 20)
     return discover.keyword_samples(docs, top).select(
         "keyword", _words(F.transform("sample_files", lambda d: d.cast("string"))).alias("sample_files"))
@@ -385,23 +385,23 @@ def q31b_keyword_samples(spark, sf_dir):
 
 @query
 def q32_top_phrases(spark, sf_dir):
-    return discover.top_phrases(sync.spread(fx.documents(spark, sf_dir)), "DET NOUN")
+    return discover.top_phrases(fx.documents(spark, sf_dir), "DET NOUN")
 
 
 @query
 def q33_concordance(spark, sf_dir):
-    return discover.concordance(sync.spread(fx.documents(spark, sf_dir)), "clown", "lemma").select(
+    return discover.concordance(fx.documents(spark, sf_dir), "clown", "lemma").select(
         "doc_id", F.col("tok_no").cast("long").alias("tok_no"), "surface")
 
 
 @query
 def q33b_concordance_total(spark, sf_dir):
-    return discover.concordance_total(sync.spread(fx.documents(spark, sf_dir)), "the")
+    return discover.concordance_total(fx.documents(spark, sf_dir), "the")
 
 
 @query
 def q33c_concordance_per_document(spark, sf_dir):
-    return discover.concordance_per_document(sync.spread(fx.documents(spark, sf_dir)), "the", first=3).select(
+    return discover.concordance_per_document(fx.documents(spark, sf_dir), "the", first=3).select(
         "doc_id", F.col("tok_no").cast("long").alias("tok_no"), "surface", F.col("rank").cast("long").alias("rank"))
 
 
@@ -512,7 +512,7 @@ def q39b_stream_debounce(spark, sf_dir):
 
 @query
 def q40_note_collisions(spark, sf_dir):
-    saved = sinks.note_frame(sync.spread(fx.documents(spark, sf_dir, F.col("source").alias("alias"))))
+    saved = sinks.note_frame(fx.documents(spark, sf_dir, F.col("source").alias("alias")))
     return saved.select("alias", "slug", "filename", tx.content_hash(F.col("text")).alias("text_hash"),
                         "collisions", "doc_id")
 
