@@ -38,6 +38,17 @@ def settled(df: DataFrame, limit: int = INLINE_RULES) -> DataFrame:
     return df if rows is None else local_frame(df.sparkSession, rows, df.schema)
 
 
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """``where`` for a condition on costly computed columns.
+
+    A plain filter is pushed below the projection that computes its columns and so
+    computes them again there. Rows that pass leave through a generator instead.
+    """
+    row = F.struct(*[F.col(c) for c in df.columns])
+    return df.select(F.explode_outer(F.when(condition, F.array(row))).alias("_row")).where(
+        "_row is not null").select("_row.*")
+
+
 def held(df: DataFrame) -> DataFrame:
     """The frame computed once, where the session names a shared checkpoint folder."""
     spark = df.sparkSession

@@ -15,7 +15,7 @@ from ..operators.match import match_rules
 from ..operators.reconcile import expected_tags, managed_tags, reconciled_text, with_changes, with_managed
 from ..operators.rules import active_rules
 from ..operators.scale import (
-    BROADCAST_ROWS, INLINE_RULES, bounded_rows, held, is_small, settled, values_of,
+    BROADCAST_ROWS, INLINE_RULES, bounded_rows, held, is_small, keep_where, settled, values_of,
 )
 
 
@@ -161,7 +161,7 @@ def document_tags(
     """Matched rules and expected tags of the documents some rule hits."""
     tagged = expected_and_existing(
         docs, settled(active_rules(rules)), lexicon, entity_scope, inline_limit)
-    return tagged.select("doc_id", "matched_rules", "expected").where(F.size("matched_rules") > 0)
+    return keep_where(tagged.select("doc_id", "matched_rules", "expected"), F.size("matched_rules") > 0)
 
 
 def rule_coverage(docs: DataFrame, rules: DataFrame, **options) -> DataFrame:

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import slug, trim_ws
+from ..operators.scale import keep_where
 
 
 def modified_only(reconciled: DataFrame) -> DataFrame:
     """K1: the documents a sync changed."""
-    return reconciled.where("modified")
+    return keep_where(reconciled, F.col("modified"))
 
 
 def write_modified(reconciled: DataFrame, path: str, *partition_by: str) -> None:

@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.text import content_hash
 from ..operators.scale import with_neighbour
 from ..plans.sync import reconcile
+from ..sources.sinks import modified_only
 
 # Fixed value: the quiet time after which a change is acted on.
 DEBOUNCE = "1 second"
@@ -117,7 +118,7 @@ def start_tagging(
         docs = batch.select(F.concat_ws(
             "@", "path", F.date_format("version_ts", "yyyyMMddHHmmssSSSSSS")).alias("doc_id"),
             "path", "version_ts", "text")
-        sink(reconcile(docs, rules).where("modified"), batch_id)
+        sink(modified_only(reconcile(docs, rules)), batch_id)
 
     writer = changes.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
