@@ -39,3 +39,29 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         state = new_state
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def linked_components(index: DataFrame, fits, verified, scratch: Scratch) -> DataFrame:
+    """Components of the nodes of ``index`` (``key``, ``node``, ``n``) under a link that is checked pair by pair.
+
+    Pairs that share a key and whose sizes ``fits(n, n)`` are candidates; ``verified`` takes (``a``, ``b``) and returns those that
+    link. Each key's nodes are compared with its least one first. After that only pairs in different components are left
+    to compare: within a key, nodes outside its largest component against all others. So a key whose nodes are all
+    alike costs its size, and no link between components is missed.
+    """
+    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    leaders = index.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    stars = index.join(leaders, "key").filter((F.col("node") != F.col("lead.node")) & fits(F.col("n"), F.col("lead.n")))
+    stars = scratch.keep(stars.select(*pair("node", "lead.node")).distinct(), "stars")
+    links = scratch.keep(verified(stars), "star_links")
+    first = components(links, scratch, "first").withColumnRenamed("node", "_node")
+    named = scratch.keep(index.join(first, F.col("node") == F.col("_node"), "left").select(
+        "key", "node", "n", F.coalesce("component", "node").alias("part")), "named")
+    parts = named.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m"))
+    split = scratch.keep(parts.groupBy("key").agg(
+        F.max(F.struct("m", "part"))["part"].alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1"), "split")
+    aside = named.join(split, "key").filter("part <> main").select("key", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("part").alias("xp"))
+    rest = named.join(split, "key", "left_semi")
+    across = aside.join(rest, "key").filter((F.col("xp") != F.col("part")) & fits(F.col("n"), F.col("xn"))).select(*pair("x", "node")).distinct()
+    across = scratch.keep(across.join(stars, ["a", "b"], "left_anti"), "across")
+    return scratch.keep(components(links.unionByName(verified(across)), scratch, "last"), "components")

@@ -145,10 +145,6 @@ def _index_keys(held: DataFrame, percent: int, rare: int) -> DataFrame:
     return held.select("cid", "n", "wanted", "held").mapInArrow(work, "cid bigint, n bigint, key bigint")
 
 
-def _pairs(left: str, right: str) -> list:
-    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
-
-
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes that link, by whole sets."""
     one = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta"))
@@ -185,30 +181,13 @@ def joined(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     alive = scratch.keep(held.join(meta, "cid").filter(F.size("held") >= F.col("wanted")), "alive")
 
     index = scratch.keep(_index_keys(alive, percent, rare), "index")
-    leaders = index.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    stars = (index.join(leaders, "key").filter((F.col("cid") != F.col("lead.cid")) & fits(F.col("n"), F.col("lead.n")))
-             .select(*_pairs("cid", "lead.cid")).distinct())
-    stars = scratch.keep(stars, "stars")
-
     whose = alive.select(F.col("id").alias("wanted_id")).distinct()
     again = texts.join(whose, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
     sets = scratch.keep(_whole_sets(again, size).join(alive.select("cid", "set_key"), "set_key").dropDuplicates(["cid"]).select("cid", "tokens"), "sets")
 
-    links = scratch.keep(_linked(stars, sets, percent), "star_links")
-    grouped = graph.components(links, scratch, "first")
-    named = index.join(grouped, F.col("cid") == F.col("node"), "left").select(
-        "key", "cid", "n", F.coalesce("component", "cid").alias("part"))
-    named = scratch.keep(named, "named")
-    parts = named.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m"))
-    split = parts.groupBy("key").agg(F.max(F.struct("m", "part"))["part"].alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    split = scratch.keep(split, "split")
-    aside = named.join(split, "key").filter("part <> main").select("key", F.col("cid").alias("x"), F.col("n").alias("xn"), F.col("part").alias("xp"))
-    rest = named.join(split, "key", "left_semi")
-    across = aside.join(rest, "key").filter((F.col("xp") != F.col("part")) & fits(F.col("n"), F.col("xn"))).select(*_pairs("x", "cid")).distinct()
-    across = scratch.keep(across.join(stars, ["a", "b"], "left_anti"), "across")
-    links = links.unionByName(_linked(across, sets, percent))
-    grouped = scratch.keep(graph.components(links, scratch, "last"), "components")
+    grouped = graph.linked_components(
+        index.withColumnRenamed("cid", "node"), lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b),
+        lambda pairs: _linked(pairs, sets, percent), scratch)
 
     placed = classes.join(grouped, F.col("cid") == F.col("node"), "left").withColumn("part", F.coalesce("component", "cid"))
     names = placed.groupBy("part").agg(F.min("first_id").alias("component_id"))

@@ -133,10 +133,20 @@ def mixing_sql(share: float = 1.5, cap: float = 2.0, seed: int = 7) -> str:
            (least(floor(rate * (k + 1) + u) - floor(rate * k + u), {int(cap)}) * size)::BIGINT AS taken FROM rated"""
 
 
+def warc_sql() -> str:
+    return """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+    g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes >= 1000) AS first FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM g"""
+
+
 def registry() -> dict[str, str]:
     return {
         "op4_line_dedup": line_dedup_sql(),
         "op5_quality_rules": quality_rules_sql(),
+        "op7_warc": warc_sql(),
         "op8_sharding": sharding_sql(),
         "op10_mixing": mixing_sql(),
     }

@@ -49,3 +49,24 @@ def slice_of(key: Column, bounds: list[int]) -> Column:
     return F.aggregate(
         F.array(*map(F.lit, steps)), F.lit(0),
         lambda at, step: F.when(F.get(table, at + step - 1) < key, at + step).otherwise(at))
+
+
+def running_sums(df: DataFrame, order: list[str], weight: str, scratch: Scratch, name: str) -> DataFrame:
+    """``df`` with ``start``: the sum of the integer column ``weight`` over all rows before, in the order of ``order``.
+
+    As ``numbered``, with sums in place of counts: a window per even slice of the order, and one row per slice in one place.
+    """
+    spark = df.sparkSession
+    tied = scratch.keep(df.withColumn("_tie", F.monotonically_increasing_id()), f"{name}_tied")
+    keys = [F.asc_nulls_last(c) for c in order] + [F.asc("_tie")]
+    placed = scratch.keep(
+        tied.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
+        .withColumn("_at", F.monotonically_increasing_id()), f"{name}_placed")
+    placed = placed.withColumn("_slice", F.shiftrightunsigned("_at", ROW_BITS))
+    totals = placed.groupBy("_slice").agg(F.sum(weight).alias("_n"))
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("_slice").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    return (placed.withColumn("_before", F.coalesce(F.sum(weight).over(within), F.lit(0)))
+            .join(F.broadcast(bases), "_slice").withColumn("start", F.col("_base") + F.col("_before"))
+            .drop("_tie", "_at", "_slice", "_base", "_before"))

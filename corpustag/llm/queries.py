@@ -11,6 +11,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpustag.llm import fingerprints
+    return fingerprints.edited_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpustag.llm import ngram_join
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from corpustag.llm import packing
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.packed(table(spark, sf_dir, "documents"), path).drop("ids")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without their source's boilerplate lines; a source is the host."""
     from corpustag.llm import line_dedup
@@ -23,11 +40,28 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpustag.llm import classifier
+    docs = table(spark, sf_dir, "documents")
+    scores = classifier.scored(docs, classifier.trained(docs, table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", (classifier.fold("doc_id") == 0).alias("held_out"), "score", "predicted")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpustag.llm import archives
+    return archives.round_trip(table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpustag.llm import sharding
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpustag.llm import substring
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpustag.llm import mixing
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -35,8 +69,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": op1_simhash,
+        "op2_ngram_join": op2_ngram_join,
+        "op3_packing": op3_packing,
         "op4_line_dedup": op4_line_dedup,
         "op5_quality_rules": op5_quality_rules,
+        "op6_quality_classifier": op6_quality_classifier,
+        "op7_warc": op7_warc,
         "op8_sharding": op8_sharding,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_mixing": op10_mixing,
     }
