@@ -21,7 +21,7 @@ def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on the labels of ``docs``, accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     machine = classifier.trained(docs, labels)
-    return classifier.scored(docs, machine, carry=docs.columns[1:]).filter("predicted = 1").select(*docs.columns)
+    return classifier.scored(docs, machine, carry=[c for c in docs.columns if c != "doc_id"]).filter("predicted = 1").select(*docs.columns)
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
