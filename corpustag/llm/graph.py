@@ -42,15 +42,15 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def linked_components(index: DataFrame, fits, verified, scratch: Scratch) -> DataFrame:
-    """Components of the nodes of ``index`` (``key``, ``node``, ``n``) under a link that is checked pair by pair.
+    """Components of the nodes of ``index`` (``key``, ``node``, ``n``, ``rank``) under a link that is checked pair by pair.
 
     Pairs that share a key and whose sizes ``fits(n, n)`` are candidates; ``verified`` takes (``a``, ``b``) and returns those that
-    link. Each key's nodes are compared with its least one first. After that only pairs in different components are left
+    link. Each key's nodes are compared with the one of least rank first. After that only pairs in different components are left
     to compare: within a key, nodes outside its largest component against all others. So a key whose nodes are all
     alike costs its size, and no link between components is missed.
     """
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    leaders = index.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    leaders = index.groupBy("key").agg(F.min(F.struct("rank", "node", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     stars = index.join(leaders, "key").filter((F.col("node") != F.col("lead.node")) & fits(F.col("n"), F.col("lead.n")))
     stars = scratch.keep(stars.select(*pair("node", "lead.node")).distinct(), "stars")
     links = scratch.keep(verified(stars), "star_links")

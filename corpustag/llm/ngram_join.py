@@ -1,13 +1,20 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-A document's set holds the hashes of its distinct shingles. In the order of the hashes, two sets x, y with Jaccard
->= t share at least ``shared(x)`` tokens of their extended prefixes, the first ``n - ceil(t n) + extra(n)``
-tokens of each. Within prefixes, in ascending order of how many prefixes hold a token:
+A document's set holds the hashes of its distinct shingles. Two sets with Jaccard >= t share at least
+``need(n)`` = ceil(t n) tokens, n being either's size. Candidates are narrowed down in two steps.
 
-* tokens that no other prefix holds are dropped; a document left with too few is done;
-* rare tokens (held by at most ``RARE`` prefixes) are indexed singly, those of the usual prefix filter only;
-* else all shared tokens are frequent. They are dealt to fewer classes than there are shared ones, so that
-  two fall in one class: pairs of frequent tokens of a class are indexed.
+First, in the order of the hashes, they share at least ``shared(n)`` tokens of their extended prefixes, the first
+``n - need(n) + extra(n)`` tokens of each. Tokens that no other prefix holds are dropped; a document left with fewer
+tokens than that is done. This looks at a fifth of all tokens.
+
+Then whole sets of the documents left are compared by classes of sizes: sets of classes a and b share at least
+``overlap(n, m)`` tokens, m being the least possible size of the partner. A set is done with class b unless so many of its
+tokens are held by sets of class b. In ascending order of how many sets hold a token, those of the usual prefix count:
+
+* rare tokens (held by at most ``RARE`` sets) are indexed singly;
+* where frequent ones are among them, all tokens shared in the prefix may be frequent. A prefix longer by k tokens shares k
+  more; its frequent tokens are dealt to k parts, so that two shared ones fall in one part: pairs of frequent tokens
+  of a part are indexed.
 
 Documents that share an index key are compared with the key's leader first; what is linked then is one
 component. Afterwards only members of different components are compared, so a large group of copies costs about
@@ -27,11 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpustag.llm import graph, words
+from corpustag.llm.ordering import slice_of
 from corpustag.llm.storage import Scratch
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RARE = 16
+#: One part for so many tokens of a set.
+PART = 24
 #: A prefix is extended by at least so many tokens, or a twentieth of the set.
 EXTRA, EXTRA_SHARE = 10, 20
 
@@ -54,11 +64,20 @@ def shared(n: int, percent: int) -> int:
     return extra(need(n, percent), percent)
 
 
-def levels(n: int, percent: int) -> list[int]:
-    """Numbers of classes, powers of two below the number of shared tokens, for partners of any size."""
-    top = 1 << (max(2, shared(n, percent)) - 1).bit_length() - 1
-    low = 1 << (max(2, shared(need(n, percent), percent)) - 1).bit_length() - 1
-    return sorted({low, top} | ({low * 2} if low * 2 < top else set()))
+def overlap(n: int, m: int, percent: int) -> int:
+    """Least overlap of linked sets of n and m."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def _lowers() -> list[int]:
+    """Least sizes of the classes of sizes, a twentieth apart."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, out[-1] * 21 // 20))
+    return out
+
+
+LOWERS = _lowers()
 
 
 def sets_of(column: pa.Array, size: int, powers: words.Powers) -> Iterator[np.ndarray]:
@@ -120,29 +139,56 @@ def _whole_sets(texts: DataFrame, size: int) -> DataFrame:
 
 
 def _index_keys(held: DataFrame, percent: int, rare: int) -> DataFrame:
-    """(cid, n, key) from rows (cid, n, wanted, held: array of (df, token) in ascending order)."""
+    """(node, n, key, rank) from rows (cid, n, a, b, held: array of (df, token) in ascending order).
+
+    ``rank`` is less for sets whose tokens more sets hold: those are near the middle of a group of copies.
+    """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cid, n, wanted, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+            for cid, n, a, b, rows in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
                 df = np.asarray(rows.values.field(0).to_numpy())
                 token = np.asarray(rows.values.field(1).to_numpy()).astype(np.int64).view(np.uint64)
-                head = len(df) - wanted + 1
-                keys = [words.mix(token[:head][df[:head] <= rare])]
+                head = len(df) - overlap(n, max(LOWERS[b], need(n, percent)), percent) + 1
+                both = np.uint64((min(a, b) << 16) + max(a, b))
+                keys = [words.mix(token[:head][df[:head] <= rare] + both)]
                 if (df[:head] > rare).any():
-                    often = np.sort(token[df > rare])
-                    for g in levels(n, percent):
-                        of = words.mix(often) % np.uint64(g)
-                        for c in range(g):
-                            mine = often[of == c]
-                            i, j = np.triu_indices(len(mine), 1)
-                            keys.append(words.mix(words.mix(mine[i] + np.uint64(g)) * words.FACTOR + mine[j]))
+                    parts = 1 << max(1, LOWERS[min(a, b)] // PART).bit_length() - 1
+                    longer = head + parts
+                    often = np.sort(token[:longer][df[:longer] > rare])
+                    of = words.mix(often) % np.uint64(parts)
+                    order = np.argsort(of, kind="stable")
+                    often, cuts = often[order], np.searchsorted(of[order], np.arange(parts + 1))
+                    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                        if hi - lo > 1:
+                            i, j = np.triu_indices(hi - lo, 1)
+                            keys.append(words.mix(words.mix(often[lo:hi][i] + both) * words.FACTOR + often[lo:hi][j]))
                 found = np.unique(np.concatenate(keys)).view(np.int64)
-                for a in range(0, len(found), 1 << 20):
-                    part = found[a: a + (1 << 20)]
+                rank = -float(df.sum()) / n
+                for at in range(0, len(found), 1 << 20):
+                    part = found[at: at + (1 << 20)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), cid, np.int64)), pa.array(np.full(len(part), n, np.int64)), pa.array(part)],
-                        ["cid", "n", "key"])
-    return held.select("cid", "n", "wanted", "held").mapInArrow(work, "cid bigint, n bigint, key bigint")
+                        [pa.array(np.full(len(part), cid, np.int64)), pa.array(np.full(len(part), n, np.int64)), pa.array(part),
+                         pa.array(np.full(len(part), rank))], ["node", "n", "key", "rank"])
+    return held.select("cid", "n", "a", "b", "held").mapInArrow(work, "node bigint, n bigint, key bigint, rank double")
+
+
+def _by_class(held: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(cid, n, a, b, held) for each class b of sizes in which a set may have a partner, from (cid, n, token, df)."""
+    lowers = F.array(*[F.lit(x).cast("bigint") for x in LOWERS])
+    rows = scratch.keep(held.withColumn("a", slice_of(F.col("n") + 1, LOWERS) - 1), "held")
+    holders = rows.groupBy("token", F.col("a").alias("b")).agg(F.count(F.lit(1)).alias("of_class"))
+    low, high = F.get(lowers, F.col("b")), F.get(lowers, F.col("b") + 1) - 1
+    possible = (100 * high >= percent * F.col("n")) & (percent * low <= 100 * F.col("n")) & ((F.col("a") != F.col("b")) | (F.col("of_class") > 1))
+    groups = rows.join(holders, "token").filter(possible).groupBy("cid", "n", "a", "b").agg(
+        F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
+    least = F.greatest(low, F.ceil(F.col("n") * percent / 100))
+    return groups.filter((100 + percent) * F.size("held") >= percent * (F.col("n") + least))
+
+
+def _held(tokens: DataFrame) -> DataFrame:
+    """Rows of ``tokens`` (cid, token, ...) whose token other documents hold, too, with their number ``df``."""
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    return tokens.join(counts, "token")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -174,19 +220,19 @@ def joined(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     classes = scratch.keep(rows.filter("n > 0").groupBy("set_key").agg(
         F.min("row").alias("cid"), F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_equal")), "classes")
     chosen = rows.join(classes.select(F.col("cid").alias("row")), "row", "left_semi").withColumnRenamed("row", "cid")
-    tokens = chosen.select("cid", F.explode("prefix").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    held = tokens.join(counts, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
+    near = _held(chosen.select("cid", F.explode("prefix").alias("token"))).groupBy("cid").agg(F.count(F.lit(1)).alias("m"))
     meta = rows.select(F.col("row").alias("cid"), "id", "n", "set_key", "wanted")
-    alive = scratch.keep(held.join(meta, "cid").filter(F.size("held") >= F.col("wanted")), "alive")
+    alive = scratch.keep(near.join(meta, "cid").filter("m >= wanted").select("cid", "id", "n", "set_key"), "alive")
 
-    index = scratch.keep(_index_keys(alive, percent, rare), "index")
     whose = alive.select(F.col("id").alias("wanted_id")).distinct()
     again = texts.join(whose, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    sets = scratch.keep(_whole_sets(again, size).join(alive.select("cid", "set_key"), "set_key").dropDuplicates(["cid"]).select("cid", "tokens"), "sets")
+    sets = _whole_sets(again, size).join(alive.select("cid", "n", "set_key"), "set_key").dropDuplicates(["cid"])
+    sets = scratch.keep(sets.select("cid", "n", "tokens"), "sets")
+    held = _held(sets.select("cid", "n", F.explode("tokens").alias("token")))
+    index = scratch.keep(_index_keys(_by_class(held, percent, scratch), percent, rare), "index")
 
     grouped = graph.linked_components(
-        index.withColumnRenamed("cid", "node"), lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b),
+        index, lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b),
         lambda pairs: _linked(pairs, sets, percent), scratch)
 
     placed = classes.join(grouped, F.col("cid") == F.col("node"), "left").withColumn("part", F.coalesce("component", "cid"))
