@@ -225,7 +225,8 @@ def joined(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     alive = scratch.keep(near.join(meta, "cid").filter("m >= wanted").select("cid", "id", "n", "set_key"), "alive")
 
     whose = alive.select(F.col("id").alias("wanted_id")).distinct()
-    again = texts.join(whose, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    # the same join at every size, so that a small run tells what a large one costs
+    again = texts.join(whose.hint("merge"), F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
     sets = _whole_sets(again, size).join(alive.select("cid", "n", "set_key"), "set_key").dropDuplicates(["cid"])
     sets = scratch.keep(sets.select("cid", "n", "tokens"), "sets")
     held = _held(sets.select("cid", "n", F.explode("tokens").alias("token")))
