@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from corpustag.llm.storage import Scratch
 
 RATIO = 0.1
-MIN_PAGES = 3
+#: Fewer pages than this say nothing: copies of one page on a small site are no boilerplate.
+MIN_PAGES = 5
 
 
 def line_key(line: Column) -> Column:

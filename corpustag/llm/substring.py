@@ -149,8 +149,8 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     an earlier document holds too, ``first_doc`` (the least id that shares part of it).
 
     The first occurrence of a paragraph, by id and place, is kept; the others are removals. Words are runs without
-    ASCII white space, A-Z in lower case. A null or empty text has no paragraphs; rows with a null id or
-    the same id count as one document; an empty table gives no rows; other columns are ignored.
+    ASCII white space, A-Z in lower case. A null or empty text has no paragraphs; rows with the same id
+    count as one document, so do those with a null id, which comes last; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
@@ -180,7 +180,7 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
     # groups of paragraphs: a component, or one content; those of one document are no repeats
     per_content = found.groupBy("content").agg(
-        F.min(F.struct("doc", "start")).alias("first"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+        F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "start")).alias("first"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     per_group = (
         per_content.join(linked, F.col("content") == F.col("node"), "left").withColumn("group", F.coalesce("component", "content")))
     per_group = scratch.keep(per_group.select("content", "group", "first", "lo", "hi", F.col("component").isNotNull().alias("_in")).filter(
@@ -194,7 +194,7 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     spans = (
         places.withColumn("end", F.col("start") + F.col("words")).withColumn("_fresh", fresh)
         .withColumn("_span", F.sum("_fresh").over(by_doc))
-        .withColumn("_gone", F.when((F.col("first.doc") == F.col("doc")) & (F.col("first.start") == F.col("start")), 0).otherwise(F.col("words")))
+        .withColumn("_gone", F.when(F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.start") == F.col("start")), 0).otherwise(F.col("words")))
         .groupBy("doc", "_span").agg(
             F.min("start").alias("start"), F.sum("words").cast("bigint").alias("n_words"), F.sum("_gone").cast("bigint").alias("n_removed"),
             F.min("first.doc").alias("first_doc")))
