@@ -160,7 +160,7 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
         F.explode("bands").alias("key"), F.col("content").alias("node"), (F.col("words") - SHINGLE + 1).alias("n"))
     whole = Window.partitionBy("key")
     index = (banded.withColumn("_lo", F.min("node").over(whole)).withColumn("_hi", F.max("node").over(whole))
-             .filter("_lo < _hi").select("key", "node", "n", F.lit(0).alias("rank")).distinct())
+             .filter("_lo < _hi").groupBy("key", "node", "n").agg((-F.count(F.lit(1))).alias("rank")))
     index = scratch.keep(index, "index")
 
     # texts that hold a paragraph to be compared, one for each content
