@@ -20,7 +20,7 @@ from .. import lexicon
 # possessive loops (*+, ++) stop Java recursing once per repetition on inputs such
 # as a 100,000-number list without spaces; they never change what matches.
 URL = r"https?://[^\s<>\"]+"
-EMAIL = r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)++"
+EMAIL = r"[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)++"
 HASHTAG = r"#[A-Za-z0-9][A-Za-z0-9_\-/]*"
 MENTION = r"@[A-Za-z0-9_]+"
 WORD = r"\p{L}[\p{L}\p{M}]*(?:['’]\p{L}+)?"

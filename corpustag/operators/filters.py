@@ -25,7 +25,7 @@ def pos_passes(pos_tags: Column, allowed: Column) -> Column:
 
 def required_types() -> Column:
     """All entity types of all of a rule's entity filters, as one list (any will do)."""
-    return F.flatten(F.transform("filters.requireEntity", lambda f: f["types"]))
+    return F.flatten(F.transform("filters.requireEntity", lambda f: F.coalesce(f["types"], F.array().cast("array<string>"))))
 
 
 def filter_pos(matches: DataFrame, rules: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ go through the match tables. Rule sets too large to fold in are joined on keys.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -19,10 +20,10 @@ from pyspark.sql import functions as F
 from ..functions import language as lang
 from ..functions.text import let, no_strings
 from .filters import filter_profile, required_types
-from .match import keyword_keys, of_type, pattern_rules, phrase_pairs, phrase_rules, stem_candidates
+from .match import LABEL_GAP, keyword_keys, of_type, pattern_rules, phrase_pairs, phrase_rules, stem_candidates
 from .scale import bounded_rows, lookup_join, settled, values_of
 
-_RULES_TYPE = "array<struct<no:int,id:string,keys:array<string>,need:array<string>,tags:array<string>>>"
+_RULES_TYPE = "array<struct<no:bigint,id:string,keys:array<string>,need:array<string>,tags:array<string>>>"
 
 
 @dataclass
@@ -103,7 +104,7 @@ def _add_keys(out: InlineSet, rows: Sequence[Row], stem_terms: dict[int, list[st
                 else:
                     key(base, term)
         elif row["type"] == "pattern":
-            labels = row["match"].split()
+            labels = re.split(LABEL_GAP, row["match"])
             if not pos or set(labels) & set(pos):
                 key("pattern", " ".join(labels))
         elif not pos:

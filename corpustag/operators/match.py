@@ -29,9 +29,13 @@ def of_type(rules: DataFrame, kind: str) -> DataFrame:
 
 # --- M1 ---------------------------------------------------------------------------
 
+#: What separates the labels of a pattern, for both plans.
+LABEL_GAP = r"[ \t\n\x0b\f\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
+
+
 def pattern_rules(rules: DataFrame) -> DataFrame:
     """Pattern rules with their label sequence as one ``gram``."""
-    labels = F.split("match", r"\s+", -1)
+    labels = F.split("match", LABEL_GAP, -1)
     return of_type(rules, "pattern").select(
         "rule_no", F.col("id").alias("rule_id"), F.array_join(labels, " ").alias("gram"),
         F.size(labels).alias("n"))

@@ -108,7 +108,7 @@ def with_unique_ids(rules: DataFrame, taken: DataFrame | None = None, rows_per_s
     if taken is not None:
         used = used.unionByName(taken.select("id", F.lit(False).alias("_new")).distinct())
     bases = based.select("_base").distinct()
-    suffixed = used.where(F.col("id").rlike(r"-[1-9][0-9]{0,8}\z")).select(
+    suffixed = used.where(F.col("id").rlike(r"-[1-9][0-9]*\z")).select(
         F.regexp_replace("id", r"-[0-9]+\z", "").alias("_base"),
         F.regexp_extract("id", r"-([0-9]+)\z", 1).try_cast("long").alias("_number"),
     ).where("_number >= 2").unionByName(

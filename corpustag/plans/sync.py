@@ -98,7 +98,7 @@ def expected_and_existing(
         found = settled(_positional_hits(docs, rules, inline, lexicon, entity_scope), BROADCAST_ROWS)
         side = F.broadcast(found) if is_small(found) else found
         base = docs.join(side, "doc_id", "left").withColumn(
-            "extra", F.coalesce("extra", F.array().cast("array<int>")))
+            "extra", F.coalesce(F.col("extra").cast("array<bigint>"), F.array().cast("array<bigint>")))
         hits = inline_hits(inline, text, F.col("extra"))
     else:
         base, hits = docs, inline_hits(inline, text)

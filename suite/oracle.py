@@ -19,7 +19,7 @@ def q(text: str) -> str:
 
 
 def re2(pattern: str) -> str:
-    return q(pattern.replace("*+", "*").replace(")++", ")+"))
+    return q(pattern.replace("*+", "*").replace(")++", ")+").replace("]++", "]+"))
 
 
 def sql_list(values: list[str]) -> str:
