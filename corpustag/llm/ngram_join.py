@@ -17,8 +17,9 @@ tokens are held by sets of class b. In ascending order of how many sets hold a t
   of a part are indexed.
 
 Documents that share an index key are compared with the key's leader first; what is linked then is one
-component. Afterwards only members of different components are compared, so a large group of copies costs about
-its size, and still no link between components is missed. Every comparison is exact, on whole sets.
+component. Afterwards only members of different components are compared that share enough differences from the leader, so
+a large group of copies costs about its size, and still no link between components is missed. Every comparison is exact,
+on whole sets.
 """
 
 from __future__ import annotations
@@ -139,7 +140,7 @@ def _whole_sets(texts: DataFrame, size: int) -> DataFrame:
 
 
 def _index_keys(held: DataFrame, percent: int, rare: int) -> DataFrame:
-    """(node, n, key, rank) from rows (cid, n, a, b, held: array of (df, token) in ascending order).
+    """(node, key, rank) from rows (cid, n, a, b, held: array of (df, token) in ascending order).
 
     ``rank`` is less for sets whose tokens more sets hold: those are near the middle of a group of copies.
     """
@@ -167,9 +168,8 @@ def _index_keys(held: DataFrame, percent: int, rare: int) -> DataFrame:
                 for at in range(0, len(found), 1 << 20):
                     part = found[at: at + (1 << 20)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), cid, np.int64)), pa.array(np.full(len(part), n, np.int64)), pa.array(part),
-                         pa.array(np.full(len(part), rank))], ["node", "n", "key", "rank"])
-    return held.select("cid", "n", "a", "b", "held").mapInArrow(work, "node bigint, n bigint, key bigint, rank double")
+                        [pa.array(np.full(len(part), cid, np.int64)), pa.array(part), pa.array(np.full(len(part), rank))], ["node", "key", "rank"])
+    return held.select("cid", "n", "a", "b", "held").mapInArrow(work, "node bigint, key bigint, rank double")
 
 
 def _by_class(held: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -191,15 +191,6 @@ def _held(tokens: DataFrame) -> DataFrame:
     return tokens.join(counts, "token")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that link, by whole sets."""
-    one = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta"))
-    two = sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(one, "a").join(two, "b").withColumn("both", both).filter(
-        100 * F.col("both") >= percent * (F.size("ta") + F.size("tb") - F.col("both"))).select("a", "b")
-
-
 def joined(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 4, percent: int = 85,
            rare: int = RARE) -> DataFrame:
     """One row per document: ``n_shingles``, ``component_id``, ``n_equal`` (documents with its set).
@@ -232,9 +223,7 @@ def joined(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     held = _held(sets.select("cid", "n", F.explode("tokens").alias("token")))
     index = scratch.keep(_index_keys(_by_class(held, percent, scratch), percent, rare), "index")
 
-    grouped = graph.linked_components(
-        index, lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b),
-        lambda pairs: _linked(pairs, sets, percent), scratch)
+    grouped = graph.linked_components(index, sets.select(F.col("cid").alias("node"), "tokens"), percent, scratch)
 
     placed = classes.join(grouped, F.col("cid") == F.col("node"), "left").withColumn("part", F.coalesce("component", "cid"))
     names = placed.groupBy("part").agg(F.min("first_id").alias("component_id"))

@@ -157,10 +157,10 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     texts = docs.select(F.col(id_column).cast("bigint").alias("doc"), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("text"))
     found = scratch.keep(_found(texts), "paragraphs")
     banded = found.filter(F.col("bands").isNotNull()).select(
-        F.explode("bands").alias("key"), F.col("content").alias("node"), (F.col("words") - SHINGLE + 1).alias("n"))
+        F.explode("bands").alias("key"), F.col("content").alias("node"))
     whole = Window.partitionBy("key")
     index = (banded.withColumn("_lo", F.min("node").over(whole)).withColumn("_hi", F.max("node").over(whole))
-             .filter("_lo < _hi").groupBy("key", "node", "n").agg((-F.count(F.lit(1))).alias("rank")))
+             .filter("_lo < _hi").groupBy("key", "node").agg((-F.count(F.lit(1))).alias("rank")))
     index = scratch.keep(index, "index")
 
     # texts that hold a paragraph to be compared, one for each content
@@ -169,14 +169,7 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     again = texts.join(holders.select("doc").distinct().withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc")), "left_semi")
     sets = scratch.keep(_sets(again).join(contents, "content", "left_semi").dropDuplicates(["content"]), "sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        one = sets.select(F.col("content").alias("a"), F.col("tokens").alias("ta"))
-        two = sets.select(F.col("content").alias("b"), F.col("tokens").alias("tb"))
-        return pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("ta", "tb"))).filter(
-            100 * F.col("both") >= percent * (F.size("ta") + F.size("tb") - F.col("both"))).select("a", "b")
-
-    fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    linked = graph.linked_components(index, fits, verified, scratch)
+    linked = graph.linked_components(index, sets.select(F.col("content").alias("node"), "tokens"), percent, scratch)
 
     # groups of paragraphs: a component, or one content; those of one document are no repeats
     per_content = found.groupBy("content").agg(
