@@ -82,7 +82,9 @@ def lookup_join(
     """
     if is_small(table, limit):
         return stream.join(F.broadcast(table), list(keys), how)
-    salted = stream.withColumn("_salt", (F.rand(7) * SALTS).cast("int"))
+    # a hash of the row, not a random number: a retried task must deal its rows to the same salts
+    plain = [f.name for f in stream.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    salted = stream.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(SALTS)).cast("int"))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 

@@ -115,10 +115,15 @@ def start_tagging(
     ``batch_id``. ``once`` works off what is there and stops.
     """
     def work(batch: DataFrame, batch_id: int) -> None:
-        docs = batch.select(F.concat_ws(
-            "@", "path", F.date_format("version_ts", "yyyyMMddHHmmssSSSSSS")).alias("doc_id"),
-            "path", "version_ts", "text")
-        sink(modified_only(reconcile(docs, rules)), batch_id)
+        # tagging starts several jobs; the stateful operator above runs once for all of them
+        held = batch.persist()
+        try:
+            docs = held.select(F.concat_ws(
+                "@", "path", F.date_format("version_ts", "yyyyMMddHHmmssSSSSSS")).alias("doc_id"),
+                "path", "version_ts", "text")
+            sink(modified_only(reconcile(docs, rules)), batch_id)
+        finally:
+            held.unpersist()
 
     writer = changes.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
