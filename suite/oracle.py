@@ -407,8 +407,8 @@ SELECT doc_id, id AS rule_id,
   ((length(lower(text)) - length(replace(lower(text), lower(m), ''))) / length(m))::BIGINT AS n
 FROM documents JOIN R ON type = 'literal' AND contains(lower(text), lower(m))""")
 _SQL["q17c_many_phrases"] = """
-SELECT doc_id, item_id AS rule_no, lower(substring(b.text, 1, 20)) AS phrase
-FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(substring(b.text, 1, 20)))"""
+SELECT doc_id, item_id AS rule_no, lower(b.text) AS phrase
+FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))"""
 _SQL["q18_entity_matches"] = with_blocks(*_ON_DOCUMENTS[:6], select=f"""
 {_MATCH_ROWS} WHERE rule_no IN (SELECT rule_no FROM R WHERE type = 'entity')""")
 
