@@ -6,15 +6,13 @@ at a time, so they hold for a table of tokens and inside an array lambda alike.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .. import lexicon
+from .text import let
 
 # Token and entity shapes. The first alternative that fits wins. The
 # possessive loops (*+, ++) stop Java recursing once per repetition on inputs such
@@ -181,7 +179,7 @@ def entity_types(text: Column) -> Column:
     return F.when(text.rlike(MAY_HOLD_ENTITY), types).otherwise(F.array().cast("array<string>"))
 
 
-# --- Stemming (Porter 1980), applied to a vocabulary, never to running text -----
+# --- Stemming (Porter 1980) -----------------------------------------------------
 
 # The published suffix tables of steps 2, 3 and 4.
 _STEP2 = {
@@ -196,75 +194,96 @@ _STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "men
           "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
 
 
-def _shape(stem: str) -> str:
-    """The consonant/vowel string of a stem; y is a vowel after a consonant."""
-    out = ""
-    for ch in stem:
-        vowel = ch in "aeiou" or (ch == "y" and out.endswith("c"))
-        out += "v" if vowel else "c"
-    return out
-
-
-def _measure(stem: str) -> int:
-    return len(re.findall("v+c+", _shape(stem)))
-
-
-def _ends_cvc(stem: str) -> bool:
-    return _shape(stem).endswith("cvc") and stem[-1] not in "wxy"
-
-
-def _doubled(stem: str) -> bool:
-    return len(stem) > 1 and stem[-1] == stem[-2] and _shape(stem).endswith("c")
-
-
-def _longest(word: str, suffixes: Iterable[str]) -> str | None:
-    fits = [s for s in suffixes if word.endswith(s)]
-    return max(fits, key=len) if fits else None
-
-
-def porter_stem(word: str) -> str:
-    """The stem of one lower-cased term; non-ASCII terms are left as they are."""
-    if len(word) <= 2 or not re.fullmatch("[a-z]+", word):
-        return word
-    if word.endswith(("sses", "ies")):
-        word = word[:-2]
-    elif word.endswith("s") and not word.endswith("ss"):
-        word = word[:-1]
-
-    past = _longest(word, ["eed", "ed", "ing"])
-    if past == "eed":
-        if _measure(word[:-3]) > 0:
-            word = word[:-1]
-    elif past and "v" in _shape(word[: -len(past)]):
-        word = word[: -len(past)]
-        if word.endswith(("at", "bl", "iz")):
-            word += "e"
-        elif _doubled(word) and word[-1] not in "lsz":
-            word = word[:-1]
-        elif _measure(word) == 1 and _ends_cvc(word):
-            word += "e"
-    if word.endswith("y") and "v" in _shape(word[:-1]):
-        word = word[:-1] + "i"
-
-    for table in (_STEP2, _STEP3):
-        suffix = _longest(word, table)
-        if suffix and _measure(word[: -len(suffix)]) > 0:
-            word = word[: -len(suffix)] + table[suffix]
-    suffix = _longest(word, _STEP4)
-    if suffix:
-        stem = word[: -len(suffix)]
-        if _measure(stem) > 1 and (suffix != "ion" or stem.endswith(("s", "t"))):
-            word = stem
-
-    if word.endswith("e"):
-        stem = word[:-1]
-        if _measure(stem) > 1 or (_measure(stem) == 1 and not _ends_cvc(stem)):
-            word = stem
-    if word.endswith("ll") and _measure(word) > 1:
-        word = word[:-1]
-    return word
-
-
-@F.pandas_udf(StringType())
-def porter_stem_udf(terms: pd.Series) -> pd.Series:
-    return terms.map(porter_stem, na_action="ignore")
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _shape(word: Column) -> Column:
+    """The consonant/vowel string of a word; y is a vowel after a consonant.
+
+    A word begins as after a vowel. Each turn settles the first y of every run of them.
+    """
+    classes = "".join("v" if ch in "aeiou" else "y" if ch == "y" else "c" for ch in _LETTERS)
+    ys = F.length(word) - F.length(F.replace(word, F.lit("y"), F.lit("")))
+    settle = lambda s, _: F.replace(F.replace(s, F.lit("cy"), F.lit("cv")), F.lit("vy"), F.lit("vc"))
+    marked = F.concat(F.lit("v"), F.translate(word, _LETTERS, classes))
+    return F.right(F.aggregate(F.sequence(F.lit(0), ys), marked, settle), F.length(word))
+
+
+def _cut(word: Column, n: Column | int) -> Column:
+    return F.left(word, F.length(word) - n)
+
+
+def _measure(shape: Column) -> Column:
+    return F.regexp_count(shape, F.lit("v+c+"))
+
+
+def _ends_cvc(word: Column, shape: Column) -> Column:
+    return shape.endswith("cvc") & ~word.rlike("[wxy]$")
+
+
+def _tidied(word: Column, shape: Column) -> Column:
+    """A word that has lost its -ed or -ing."""
+    doubled = (F.substring(word, -1, 1) == F.substring(word, -2, 1)) & shape.endswith("c")
+    return (F.when(word.rlike("(?:at|bl|iz)$"), F.concat(word, F.lit("e")))
+            .when(doubled & ~word.rlike("[lsz]$"), _cut(word, 1))
+            .when((_measure(shape) == 1) & _ends_cvc(word, shape), F.concat(word, F.lit("e")))
+            .otherwise(word))
+
+
+def _without_plural(word: Column) -> Column:
+    return F.when(word.rlike("(?:sses|ies)$"), _cut(word, 2)).when(word.rlike("(?:^|[^s])s$"), _cut(word, 1)).otherwise(word)
+
+
+def _without_past(word: Column, shape: Column) -> Column:
+    tidy = lambda n: let(_cut(word, n), lambda w: _tidied(w, F.left(shape, F.length(w))))
+    return (F.when(word.endswith("eed"), F.when(_measure(_cut(shape, 3)) > 0, _cut(word, 1)).otherwise(word))
+            .when(word.endswith("ed"), F.when(_cut(shape, 2).contains("v"), tidy(2)).otherwise(word))
+            .when(word.endswith("ing"), F.when(_cut(shape, 3).contains("v"), tidy(3)).otherwise(word))
+            .otherwise(word))
+
+
+def _with_i(word: Column, shape: Column) -> Column:
+    return F.when(word.endswith("y") & _cut(shape, 1).contains("v"), F.concat(_cut(word, 1), F.lit("i"))).otherwise(word)
+
+
+def _longest(word: Column, suffixes: Iterable[str]) -> Column:
+    """The longest of ``suffixes`` that a word ends in, or an empty string."""
+    return F.regexp_extract(word, "(?:" + "|".join(suffixes) + ")$", 0)
+
+
+def _replaced(table: dict[str, str]) -> Callable[[Column, Column], Column]:
+    endings = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+
+    def step(word: Column, shape: Column) -> Column:
+        return let(_longest(word, table), lambda end: F.when(
+            (end != "") & (_measure(_cut(shape, F.length(end))) > 0),
+            F.concat(_cut(word, F.length(end)), F.element_at(endings, end))).otherwise(word))
+    return step
+
+
+def _without_suffix(word: Column, shape: Column) -> Column:
+    return let(_longest(word, _STEP4), lambda end: F.when(
+        (end != "") & (_measure(_cut(shape, F.length(end))) > 1) & ((end != "ion") | word.rlike("[st]ion$")),
+        _cut(word, F.length(end))).otherwise(word))
+
+
+def _without_e(word: Column, shape: Column) -> Column:
+    m = _measure(_cut(shape, 1))
+    goes = (m > 1) | ((m == 1) & ~_ends_cvc(_cut(word, 1), _cut(shape, 1)))
+    return F.when(word.endswith("e") & goes, _cut(word, 1)).otherwise(word)
+
+
+def _without_double_l(word: Column, shape: Column) -> Column:
+    return F.when(word.endswith("ll") & (_measure(shape) > 1), _cut(word, 1)).otherwise(word)
+
+
+def _applied(step: Callable[[Column, Column], Column], word: Column) -> Column:
+    return let(word, lambda w: let(_shape(w), lambda s: step(w, s)))
+
+
+def porter_stem(term: Column) -> Column:
+    """The stem of a lower-cased term; terms other than three letters a-z or more are left as they are."""
+    word = _without_plural(term)
+    for step in (_without_past, _with_i, _replaced(_STEP2), _replaced(_STEP3), _without_suffix, _without_e, _without_double_l):
+        word = _applied(step, word)
+    return F.when(term.rlike(r"^[a-z]{3,}\z"), word).otherwise(term)

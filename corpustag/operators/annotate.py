@@ -127,15 +127,8 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
 
 def stems(vocab: DataFrame) -> DataFrame:
-    """A stem per vocabulary term; Python sees each term once."""
-    return vocab.select("term", lang.porter_stem_udf("term").alias("stem"))
-
-
-def with_stems(toks: DataFrame) -> DataFrame:
-    """Add ``stem`` to a token table by way of its vocabulary."""
-    keyed = toks.withColumn("term", F.lower("surface"))
-    table = stems(keyed.select("term").distinct())
-    return lookup_join(keyed, table, ["term"], "left").drop("term")
+    """A stem per vocabulary term."""
+    return vocab.select("term", lang.porter_stem(F.col("term")).alias("stem"))
 
 
 def _mean_valence() -> Column:

@@ -165,39 +165,82 @@ def rule_values(rules: list[dict]) -> str:
             "(VALUES " + ",\n  ".join(rows) + ")")
 
 
-def matches_of(source: str, grams: list[int] = (2, 3)) -> str:
-    """Every match of every rule in R over ``source``; needs tok, ent and R."""
-    patterns = "\n  UNION ALL ".join(
-        "SELECT g.doc_id, rule_no, id, " + " || ' ' || ".join(f"s{i}" for i in range(n))
-        + f" AS txt, g.b, g.e{n - 1} AS e, string_split(m, ' ') AS tags_ FROM grams g JOIN R ON type = 'pattern' AND m = "
-        + " || ' ' || ".join(f"p{i}" for i in range(n)) for n in grams)
-    top = max(grams)
-    leads = ", ".join(
-        f"lead(pos, {i}) OVER w AS p{i}, lead(surface, {i}) OVER w AS s{i}, lead(e, {i}) OVER w AS e{i}"
-        for i in range(top))
-    # The terms whose stem is 'licens'.
-    stem_terms = in_list(["licens", "license", "licenses", "licensed", "licensing", "licenser", "licensers"])
-    return f"""
-grams AS (SELECT doc_id, b, {leads} FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY tok_no)),
-parts AS (
+KINDS = ("pattern", "keyword", "literal", "entity")
+
+
+def matches_of(source: str, grams: list[int] = (2, 3), kinds: tuple[str, ...] = KINDS) -> str:
+    """Every match of the rules in R of some ``kinds`` over ``source``; needs R, tok (patterns, keywords) and ent (entities)."""
+    before: list[str] = []
+    matches: list[str] = []
+    if "pattern" in kinds:
+        leads = ", ".join(
+            f"lead(pos, {i}) OVER w AS p{i}, lead(surface, {i}) OVER w AS s{i}, lead(e, {i}) OVER w AS e{i}"
+            for i in range(max(grams)))
+        before.append(f"grams AS (SELECT doc_id, b, {leads} FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY tok_no))")
+        for n in grams:
+            before.append(f"gram{n} AS (SELECT doc_id, b, e{n - 1} AS e, " + " || ' ' || ".join(f"s{i}" for i in range(n)) + " AS txt, "
+                          + " || ' ' || ".join(f"p{i}" for i in range(n)) + " AS shape FROM grams)")
+            matches.append(f"SELECT doc_id, rule_no, id, txt, b, e, string_split(m, ' ') AS tags_ FROM gram{n} JOIN R ON shape = m WHERE type = 'pattern'")
+    if "keyword" in kinds:
+        before.append("stemmed AS (" + stems_of("SELECT DISTINCT term FROM tok WHERE EXISTS (FROM R WHERE type = 'keyword' AND is_stem AND NOT is_lemma)") + ")")
+        said = "SELECT doc_id, rule_no, id, surface AS txt, b, e, [pos] AS tags_ FROM tok"
+        matches += [
+            f"{said} JOIN R ON lower(lemma) = lower(m) WHERE type = 'keyword' AND is_lemma",
+            f"{said} JOIN R ON term = lower(m) WHERE type = 'keyword' AND NOT is_lemma AND NOT is_stem",
+            f"{said} JOIN stemmed USING (term) JOIN R ON stem = m WHERE type = 'keyword' AND is_stem AND NOT is_lemma"]
+    if "literal" in kinds:
+        before.append(f"""parts AS (
   SELECT doc_id, rule_no, id, length(m) AS len, unnest(a) AS part, generate_subscripts(a, 1) AS i, len(a) AS n
   FROM (SELECT doc_id, rule_no, id, m, string_split(lower(text), lower(m)) AS a
         FROM {source} JOIN R ON type = 'literal' AND contains(lower(text), lower(m)))),
 lits AS (
   SELECT doc_id, rule_no, id, len, i, n,
-    sum(length(part)) OVER (PARTITION BY doc_id, rule_no ORDER BY i) + (i - 1) * len AS b FROM parts),
-M AS (
-  {patterns}
-  UNION ALL
-  SELECT doc_id, rule_no, id, surface, b, e, [pos] FROM tok JOIN R ON type = 'keyword' AND
-    CASE WHEN is_lemma THEN lower(lemma) = lower(m)
-         WHEN is_stem THEN m = 'licens' AND term IN {stem_terms}
-         ELSE term = lower(m) END
-  UNION ALL
-  SELECT lits.doc_id, rule_no, id, substring(text, (b + 1)::BIGINT, len), b, b + len, NULL
-  FROM lits JOIN {source} USING (doc_id) WHERE i < n
-  UNION ALL
-  SELECT doc_id, rule_no, id, surface, b, e, NULL FROM ent JOIN R ON R.type = 'entity' AND ent.type = m)"""
+    sum(length(part)) OVER (PARTITION BY doc_id, rule_no ORDER BY i) + (i - 1) * len AS b FROM parts)""")
+        matches.append(f"""SELECT lits.doc_id, rule_no, id, substring(text, (b + 1)::BIGINT, len) AS txt, b, b + len AS e, NULL::VARCHAR[] AS tags_
+  FROM lits JOIN {source} USING (doc_id) WHERE i < n""")
+    if "entity" in kinds:
+        matches.append("SELECT doc_id, rule_no, id, surface AS txt, b, e, NULL::VARCHAR[] AS tags_ FROM ent JOIN R ON ent.type = m WHERE R.type = 'entity'")
+    return ",\n".join([*before, "M AS (\n  " + "\n  UNION ALL\n  ".join(matches) + ")"])
+
+
+def stems_of(terms: str) -> str:
+    """(term, stem) of a query of terms by Porter's steps, each a subquery that adds the next form of the word."""
+    shape = """list_reduce(list_prepend('', string_split(w, '')), lambda a, ch:
+      a || CASE WHEN ch IN ('a', 'e', 'i', 'o', 'u') OR (ch = 'y' AND right(a, 1) = 'c') THEN 'v' ELSE 'c' END)"""
+    m = lambda k: f"len(regexp_extract_all(left(s, (length(w) - {k})::BIGINT), 'v+c+'))"
+    vowel = lambda k: f"contains(left(s, length(w) - {k}), 'v')"
+    cut = lambda k: f"left(w, (length(w) - {k})::BIGINT)"
+    cvc = lambda k: f"(right({cut(k).replace('w', 's', 1)}, 3) = 'cvc' AND right({cut(k)}, 1) NOT IN ('w', 'x', 'y'))"
+
+    def longest(endings: list[str]) -> str:
+        return "regexp_extract(w, '(?:" + "|".join(endings) + ")$')"
+
+    def table(endings: dict[str, str]) -> str:
+        to = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in endings.items())
+        end = longest(list(endings))
+        return f"CASE WHEN {end} <> '' AND {m(f'length({end})')} > 0 THEN {cut(f'length({end})')} || CASE {end} {to} END ELSE w END"
+
+    fourth = longest(lang._STEP4)
+    steps = [
+        f"CASE WHEN regexp_matches(w, '(?:sses|ies)$') THEN {cut(2)} WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN {cut(1)} ELSE w END",
+        f"""CASE WHEN w LIKE '%eed' THEN CASE WHEN {m(3)} > 0 THEN {cut(1)} ELSE w END
+             WHEN w LIKE '%ed' AND {vowel(2)} THEN '+' || {cut(2)} WHEN w LIKE '%ing' AND {vowel(3)} THEN '+' || {cut(3)} ELSE w END""",
+        # a plus marks words that have lost their ending; its shape is a consonant's, and goes with it
+        f"""CASE WHEN w NOT LIKE '+%' THEN w WHEN regexp_matches(w, '(?:at|bl|iz)$') THEN w[2:] || 'e'
+             WHEN length(w) > 2 AND w[-1] = w[-2] AND right(s, 1) = 'c' AND w[-1] NOT IN ('l', 's', 'z') THEN w[2:-2]
+             WHEN len(regexp_extract_all(s, 'v+c+')) = 1 AND s LIKE '%cvc' AND w[-1] NOT IN ('w', 'x', 'y') THEN w[2:] || 'e' ELSE w[2:] END""",
+        f"CASE WHEN w LIKE '%y' AND {vowel(1)} THEN {cut(1)} || 'i' ELSE w END",
+        table(lang._STEP2),
+        table(lang._STEP3),
+        f"CASE WHEN {fourth} <> '' AND {m(f'length({fourth})')} > 1 AND ({fourth} <> 'ion' OR regexp_matches(w, '[st]ion$')) THEN {cut(f'length({fourth})')} ELSE w END",
+        f"CASE WHEN w LIKE '%e' AND ({m(1)} > 1 OR ({m(1)} = 1 AND NOT {cvc(1)})) THEN {cut(1)} ELSE w END",
+        f"CASE WHEN w LIKE '%ll' AND {m(0)} > 1 THEN {cut(1)} ELSE w END",
+    ]
+    out = f"SELECT term, term AS w FROM ({terms}) WHERE regexp_full_match(term, '[a-z]{{3,}}')"
+    for i, step in enumerate(steps):
+        of = shape if i != 2 else shape.replace("string_split(w, '')", "string_split(ltrim(w, '+'), '')")
+        out = f"SELECT term, {step} AS w FROM (SELECT term, w, {of} AS s FROM ({out}))"
+    return f"SELECT term, w AS stem FROM ({out}) UNION ALL SELECT term, term FROM ({terms}) WHERE NOT regexp_full_match(term, '[a-z]{{3,}}')"
 
 
 FILTERED = """
@@ -375,6 +418,9 @@ SELECT pos, count(*) AS n FROM tok GROUP BY pos""")
 _SQL["q11_lemma_counts"] = with_blocks(tokens_of("documents"), select="""
 SELECT lemma, count(*) AS n FROM tok GROUP BY lemma""")
 
+_SQL["q12_stem_vocab"] = with_blocks(
+    "lowered AS (SELECT doc_id, lower(text) AS text FROM documents)", tokens_of("lowered"),
+    "terms AS (SELECT DISTINCT surface AS term FROM tok)", select=stems_of("SELECT term FROM terms"))
 _SQL["q13_entities_by_type"] = with_blocks(entities_of("documents"), select="""
 SELECT type, count(*) AS n, count(DISTINCT doc_id) AS n_docs, sum(b)::BIGINT AS sum_begin FROM ent GROUP BY type""")
 
@@ -395,13 +441,16 @@ FROM documents d LEFT JOIN means USING (doc_id) LEFT JOIN dscore USING (doc_id)"
 
 _MATCH_ROWS = "SELECT doc_id, id AS rule_id, txt AS match_text, b::BIGINT AS m_begin, e::BIGINT AS m_end FROM M"
 
-_SQL["q15_pattern_matches"] = with_blocks(*_ON_DOCUMENTS[:6], select="""
-SELECT doc_id, M.id AS rule_id, txt AS match_text, b::BIGINT AS m_begin, e::BIGINT AS m_end,
-  array_to_string(tags_, ' ') AS pos_tags FROM M JOIN R USING (rule_no) WHERE R.type = 'pattern'""")
-_SQL["q16_keyword_matches"] = with_blocks(*_ON_DOCUMENTS[:6], select=f"""
-{_MATCH_ROWS} WHERE rule_no IN (SELECT rule_no FROM R WHERE type = 'keyword' AND enabled)""")
-_SQL["q17_literal_matches"] = with_blocks(*_ON_DOCUMENTS[:6], select=f"""
-{_MATCH_ROWS} WHERE rule_no IN (SELECT rule_no FROM R WHERE type = 'literal')""")
+def _matches(kind: str, select: str) -> str:
+    """Matches of one kind of rule, from the blocks it needs."""
+    needs = {"pattern": [tokens_of("documents")], "keyword": [tokens_of("documents")], "literal": [], "entity": [entities_of("documents")]}
+    return with_blocks(*needs[kind], _R, matches_of("documents", kinds=(kind,)), select=select)
+
+
+_SQL["q15_pattern_matches"] = _matches("pattern", """
+SELECT doc_id, id AS rule_id, txt AS match_text, b::BIGINT AS m_begin, e::BIGINT AS m_end, array_to_string(tags_, ' ') AS pos_tags FROM M""")
+_SQL["q16_keyword_matches"] = _matches("keyword", f"{_MATCH_ROWS} WHERE rule_no IN (SELECT rule_no FROM R WHERE enabled)")
+_SQL["q17_literal_matches"] = _matches("literal", _MATCH_ROWS)
 _SQL["q17b_literal_counts"] = with_blocks(_R, select="""
 SELECT doc_id, id AS rule_id,
   ((length(lower(text)) - length(replace(lower(text), lower(m), ''))) / length(m))::BIGINT AS n
@@ -409,8 +458,7 @@ FROM documents JOIN R ON type = 'literal' AND contains(lower(text), lower(m))"""
 _SQL["q17c_many_phrases"] = """
 SELECT doc_id, item_id AS rule_no, lower(b.text) AS phrase
 FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))"""
-_SQL["q18_entity_matches"] = with_blocks(*_ON_DOCUMENTS[:6], select=f"""
-{_MATCH_ROWS} WHERE rule_no IN (SELECT rule_no FROM R WHERE type = 'entity')""")
+_SQL["q18_entity_matches"] = _matches("entity", _MATCH_ROWS)
 
 
 def _legacy_terms() -> str:
