@@ -1,10 +1,13 @@
 """Substring deduplication: paragraphs by MinHash banding.
 
-Paragraphs are lines, cut where the text itself says so: at words whose hash (with the next word's) is least among
-the ``RADIUS`` on either side within the line. A passage is therefore cut alike wherever it stands, but for about
-``RADIUS`` words at its ends. Paragraphs that share a band are compared by the exact Jaccard similarity of their
-five-word shingles; components of linked paragraphs that lie in two documents or more are repeats, and neighbouring
-repeats of a document make one span.
+Texts are cut where they say so themselves, whatever their lines: at words whose hash (with the next word's) is least
+among the ``RADIUS`` on either side. A passage is therefore cut alike wherever it stands, but for about ``RADIUS``
+words at its ends. Paragraphs that share a band are compared by the exact Jaccard similarity of their
+five-word shingles; components of linked paragraphs that lie in two documents or more are repeats.
+
+Cuts alone promise no length: a passage may hold few of them. So runs of ``MIN_SPAN`` words are taken whole besides, where
+their hash is the least of ``REACH`` neighbouring ones, and at both ends of texts and of lines; equal runs are repeats. Any
+repeat of ``MIN_SPAN + REACH - 1`` words (50) holds such a run. Repeats of a document that touch or overlap make one span.
 """
 
 from __future__ import annotations
@@ -30,57 +33,96 @@ RADIUS = 5
 BANDS, ROWS = 3, 2
 #: Shorter spans are not reported.
 MIN_SPAN = 15
+#: Of so many neighbouring runs of ``MIN_SPAN`` words the one with the least hash is taken.
+REACH = 36
 #: Contents of paragraphs that a task remembers, so as to pass on the bands of copies once.
 REMEMBERED = 1 << 20
 
 
 def paragraphs(data: np.ndarray, bounds: np.ndarray, powers: words.Powers) -> tuple:
-    """Of a slice of texts: words' hashes and rows, first words of paragraphs and the end of each."""
+    """Of a slice of texts: words' hashes, rows and lines, first words of paragraphs and the end of each."""
     starts, ends, row = words.spans(data, bounds)
     n = len(starts)
     if not n:
-        return np.empty(0, np.uint64), row, starts, ends
+        return np.empty(0, np.uint64), row, row, starts, ends
     word = words.hashed(data, starts, ends, powers)
     feeds = np.r_[0, np.cumsum(data == 10)]
     line = row + feeds[starts]  # grows with each row and each line
     with_next = word.copy()
     with_next[:-1] = words.mix(word[:-1] * words.FACTOR + word[1:])
-    fresh = np.r_[True, line[1:] != line[:-1]]
-    with_next[np.r_[fresh[1:], True]] = np.iinfo(np.uint64).max  # a line's last word has no next one
-    least = with_next.copy()
-    for k in range(1, RADIUS + 1):
-        if k >= n:
-            break
-        same = line[k:] == line[:-k]
-        least[:-k] = np.where(same, np.minimum(least[:-k], with_next[k:]), least[:-k])
-        least[k:] = np.where(same, np.minimum(least[k:], with_next[:-k]), least[k:])
-    cut = fresh | ((with_next == least) & (with_next != np.iinfo(np.uint64).max))
-    first = np.flatnonzero(cut)
-    return word, row, first, np.r_[first[1:], n]
-
-
-def _shingles(word: np.ndarray) -> np.ndarray:
-    """Hashes of runs of ``SHINGLE`` words, without regard to where texts end."""
-    n = len(word) - SHINGLE + 1
+    fresh = np.r_[True, row[1:] != row[:-1]]
+    with_next[np.r_[fresh[1:], True]] = np.iinfo(np.uint64).max  # a text's last word has no next one
+    # of equal ones the first is cut, so that paragraphs have more than RADIUS words, but for those at a text's ends
+    cut = with_next != np.iinfo(np.uint64).max
+    for k in range(1, min(RADIUS + 1, n)):
+        apart = row[k:] != row[:-k]
+        cut[:-k] &= apart | (with_next[:-k] <= with_next[k:])
+        cut[k:] &= apart | (with_next[k:] < with_next[:-k])
+    first = np.flatnonzero(fresh | cut)
+    return word, row, line, first, np.r_[first[1:], n]
+
+
+def _shingles(word: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of runs of ``size`` words, without regard to where texts end."""
+    n = len(word) - size + 1
     total = np.zeros(max(n, 0), np.uint64)
-    for k in range(SHINGLE):
+    for k in range(size):
         total = total * words.FACTOR + word[k: k + len(total)]
     return words.mix(total)
 
 
+def _sliding(values: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
+    """``pick`` of each run of ``size`` values."""
+    out, done = values, 1
+    while 2 * done <= size:
+        out, done = pick(out[:-done], out[done:]), 2 * done
+    return pick(out[:len(out) - size + done], out[size - done:]) if done < size else out
+
+
+def anchors(word: np.ndarray, row: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the runs of ``MIN_SPAN`` words that are taken whole, and a hash of each run."""
+    n = len(word) - MIN_SPAN + 1
+    if n < 1:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    value = _shingles(word, MIN_SPAN)
+    taken = np.zeros(n, bool)
+    for of in (row, line):
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        end = np.r_[first[1:], len(of)]
+        long_enough = end - first >= MIN_SPAN
+        taken[first[long_enough]] = True
+        taken[end[long_enough] - MIN_SPAN] = True
+    if n >= REACH:
+        least = _sliding(value, REACH, np.minimum)
+        least[row[:len(least)] != row[MIN_SPAN + REACH - 2:]] = 0
+        none = np.zeros(REACH - 1, np.uint64)
+        taken |= (value == _sliding(np.r_[none, least, none], REACH, np.maximum)) & (row[:n] == row[MIN_SPAN - 1:])
+    at = np.flatnonzero(taken)
+    return at, words.mix(value[at] + np.uint64(MIN_SPAN))
+
+
 def _multipliers() -> np.ndarray:
     return np.random.default_rng(17).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _found(texts: DataFrame) -> DataFrame:
-    """(doc, start, words, content, bands) of each paragraph of ``SHINGLE`` words or more; bands are null once passed on."""
+    """(doc, start, words, content, bands) of each paragraph of ``SHINGLE`` words or more; bands are null once passed on.
+
+    So too of each anchor, which has no bands.
+    """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, factors = words.Powers(), _multipliers()
         passed: set[int] = set()
         for batch in batches:
             ids = batch.column(0)
             for at, data, bounds in words.slices(batch.column(1)):
-                word, row, first, end = paragraphs(data, bounds, powers)
+                word, row, line, first, end = paragraphs(data, bounds, powers)
+                run, run_content = anchors(word, row, line)
+                if len(run):
+                    yield pa.RecordBatch.from_arrays([
+                        ids.take(pa.array(at + row[run])), pa.array((run - np.searchsorted(row, row[run])).astype(np.int64)),
+                        pa.array(np.full(len(run), MIN_SPAN, np.int32)), pa.array(run_content.view(np.int64)),
+                        pa.nulls(len(run), pa.list_(pa.int64()))], ["doc", "start", "words", "content", "bands"])
                 size = end - first
                 long_enough = size >= SHINGLE
                 first, end, size = first[long_enough], end[long_enough], size[long_enough]
@@ -124,7 +166,7 @@ def _sets(texts: DataFrame) -> DataFrame:
         powers = words.Powers()
         for batch in batches:
             for _, data, bounds in words.slices(batch.column(1)):
-                word, _, first, end = paragraphs(data, bounds, powers)
+                word, _, _, first, end = paragraphs(data, bounds, powers)
                 keep = end - first >= SHINGLE
                 first, end = first[keep], end[keep]
                 shingle = _shingles(word)
@@ -182,13 +224,18 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     repeated = scratch.keep(per_group.select("content", "group").join(spread, "group").select("content", "first"), "repeated")
     places = found.select("doc", "start", "words", "content").join(repeated, "content")
 
-    by_doc = Window.partitionBy("doc").orderBy("start")
-    fresh = F.when(F.lag("end").over(by_doc) == F.col("start"), 0).otherwise(1)
+    by_doc = Window.partitionBy("doc").orderBy("start", "end", "_gone")
+    before = by_doc.rowsBetween(Window.unboundedPreceding, -1)
+    kept = F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.start") == F.col("start"))
+    end = F.col("start") + F.col("words")
+    # ``_gone`` is the end of a removal; its words before the end of an earlier one are counted there
     spans = (
-        places.withColumn("end", F.col("start") + F.col("words")).withColumn("_fresh", fresh)
-        .withColumn("_span", F.sum("_fresh").over(by_doc))
-        .withColumn("_gone", F.when(F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.start") == F.col("start")), 0).otherwise(F.col("words")))
+        places.withColumn("end", end).withColumn("_gone", F.when(~kept, end))
+        .withColumn("_fresh", F.when(F.max("end").over(before) >= F.col("start"), 0).otherwise(1))
+        .withColumn("_new", F.greatest(F.lit(0), F.col("_gone") - F.greatest("start", F.max("_gone").over(before))))
+        .withColumn("_span", F.sum("_fresh").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("doc", "_span").agg(
-            F.min("start").alias("start"), F.sum("words").cast("bigint").alias("n_words"), F.sum("_gone").cast("bigint").alias("n_removed"),
+            F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("n_words"),
+            F.sum(F.when(F.col("_gone").isNull(), 0).otherwise(F.col("_new"))).cast("bigint").alias("n_removed"),
             F.min("first.doc").alias("first_doc")))
     return spans.filter(F.col("n_words") >= min_span).select(F.col("doc").alias(id_column), "start", "n_words", "n_removed", "first_doc")
