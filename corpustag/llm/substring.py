@@ -215,12 +215,15 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
     # groups of paragraphs: a component, or one content; those of one document are no repeats
     per_content = found.groupBy("content").agg(
-        F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "start")).alias("first"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+        F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "start")).alias("first"), F.min("doc").alias("lo"), F.max("doc").alias("hi"),
+        F.min(F.col("doc").isNull()).alias("all_null"), F.max(F.col("doc").isNull()).alias("any_null"))
+    spread_out = "lo < hi OR (any_null AND NOT all_null)"  # a null id is an id of its own
     per_group = (
         per_content.join(linked, F.col("content") == F.col("node"), "left").withColumn("group", F.coalesce("component", "content")))
-    per_group = scratch.keep(per_group.select("content", "group", "first", "lo", "hi", F.col("component").isNotNull().alias("_in")).filter(
-        "_in OR lo < hi"), "contents")
-    spread = per_group.groupBy("group").agg(F.min("first").alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi")
+    per_group = scratch.keep(per_group.select("content", "group", "first", "lo", "hi", "all_null", "any_null", F.col("component").isNotNull().alias("_in")).filter(
+        f"_in OR {spread_out}"), "contents")
+    spread = per_group.groupBy("group").agg(F.min("first").alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.min("all_null").alias("all_null"), F.max("any_null").alias("any_null")).filter(spread_out)
     repeated = scratch.keep(per_group.select("content", "group").join(spread, "group").select("content", "first"), "repeated")
     places = found.select("doc", "start", "words", "content").join(repeated, "content")
 
