@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,13 @@ COMMON_WORDS = 16
 MIN_WORDS = 50
 #: Jensen-Shannon distances (base 2) above which a document is unlike its language.
 MAX_CLASS_DISTANCE = 0.25
+#: For common words the limit is a share of the distance that a text without any of its language's common words has, plus what chance
+#: adds in a text of n words: the squared distance of a fair sample is ``CHANCE`` / n on average. It stays below that distance, so that
+#: such a text never passes.
+MAX_WORD_SHARE, LAST_WORD_SHARE = 0.7, 0.98
+CHANCE = COMMON_WORDS / (8 * math.log(2))
+#: The fixed limit, and the length from which it held, of the SQL twin; ``judged`` does not use them.
 MAX_WORD_DISTANCE = 0.5
-#: Texts of fewer words say too little about common words.
 MIN_WORDS_FOR_COMMON = 100
 #: A window's position takes the low part of a 63-bit number, its hash the rest: (unit, mask of the hash).
 SHORT, LONG = (1 << 20, (1 << 43) - 1), (1 << 31, (1 << 32) - 1)
@@ -102,13 +109,13 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def judged(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
-           max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
+           max_class_distance: float = MAX_CLASS_DISTANCE, max_word_share: float = MAX_WORD_SHARE) -> DataFrame:
     """Base counts of every document and whether it is kept.
 
     A document fails the base rules with fewer than ``MIN_WORDS`` words or with over half of its words in repeated
-    windows. It fails the divergence rules if its histogram of character classes, or (from
-    ``MIN_WORDS_FOR_COMMON`` words on) of its language's common words, is farther from the language's
-    reference than the limit.
+    windows. It fails the divergence rules if its histogram of character classes is farther
+    from the language's reference than the limit, or that of the language's common words farther than ``max_word_share`` of
+    the distance of a text without any, with an allowance for short texts.
 
     A null text is empty: no words, base rules failed. A null language is a language of its own; documents
     sharing an id are judged each by itself; an empty table gives no rows; other columns are ignored.
@@ -136,9 +143,13 @@ def judged(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     df = (df.withColumn("_chars", chars).withColumn("_class_distance", distance(shares, F.col("_ref_classes")))
           .withColumn("_found", F.transform(found, lambda n: F.when(F.col("n_words") > 0, n / F.col("n_words")).otherwise(0.0)))
           .withColumn("_word_distance", distance(with_rest(F.col("_found")), with_rest(F.col("_ref_shares"))))
+          .withColumn("_none_distance", distance(
+              F.concat(F.transform("_ref_shares", lambda _: F.lit(0.0)), F.array(F.lit(1.0))), with_rest(F.col("_ref_shares"))))
           .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))))
-    unlike = (F.coalesce(F.col("_class_distance"), F.lit(0.0)) > max_class_distance) | (
-        (F.col("n_words") >= MIN_WORDS_FOR_COMMON) & (F.coalesce(F.col("_word_distance"), F.lit(0.0)) > max_word_distance))
+    none = F.col("_none_distance")
+    word_limit = F.least(LAST_WORD_SHARE * none, F.sqrt(F.pow(max_word_share * none, F.lit(2.0)) + F.lit(CHANCE) / F.col("n_words")))
+    unlike = (F.coalesce(F.col("_class_distance"), F.lit(0.0)) > max_class_distance) | F.coalesce(
+        F.col("_word_distance") > word_limit, F.lit(False))
     return df.select(
         F.col("_id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", (~F.col("base_failed") & ~unlike).alias("kept"),
