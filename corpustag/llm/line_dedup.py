@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from corpustag.llm.storage import Scratch
 
-RATIO = 0.1
-#: Fewer pages than this say nothing: copies of one page on a small site are no boilerplate.
+#: Templates are meant to go from a twentieth of a site's pages on. On 500 pages such a share varies by a hundredth; the limit lies
+#: three times that below it, so that chance does not decide.
+RATIO = 0.02
+#: Fewer pages than this say nothing, nor do copies of one page. On a site of under 10 pages more than half of them, and at least
+#: ``LEAST_PAGES``, do, if they are not all the same.
 MIN_PAGES = 5
+LEAST_PAGES = 3
 
 
 def line_key(line: Column) -> Column:
@@ -22,15 +26,19 @@ def boilerplate(pages: DataFrame, host_column: str, text_column: str, ratio: flo
     """One row per host that has boilerplate: ``_host`` and the keys ``_bad`` of its lines.
 
     A line is boilerplate where the pages of the host that contain it are at least ``min_pages`` and more
-    than ``ratio`` of the host's pages. A host has at most (mean distinct lines a page) / ratio such lines,
+    than ``ratio`` of the host's pages. On a small host fewer pages are enough if they are more than half of its pages,
+    ``LEAST_PAGES`` or more, and not all of the same text. A host has at most (mean distinct lines a page) / ratio such lines,
     so the lists are bounded. Counts are combined before the shuffle, which takes hashes, not lines.
     """
     lines = F.array_distinct(F.filter(F.split(F.col(text_column), "\n"), lambda l: F.trim(l) != ""))
-    seen = (pages.select(F.col(host_column).alias("_host"), F.explode(F.transform(lines, line_key)).alias("_line"))
-            .groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_pages")).filter(F.col("_pages") >= min_pages))
+    least = min(LEAST_PAGES, min_pages)
+    seen = (pages.select(F.col(host_column).alias("_host"), F.xxhash64(text_column).alias("_text"), F.explode(F.transform(lines, line_key)).alias("_line"))
+            .groupBy("_host", "_line").agg(
+                F.count(F.lit(1)).alias("_pages"), (F.min("_text") < F.max("_text")).alias("_differ")).filter(F.col("_pages") >= least))
     totals = pages.groupBy(F.col(host_column).alias("_of")).agg(F.count(F.lit(1)).alias("_total"))
+    most = (2 * F.col("_pages") > F.col("_total")) & F.col("_differ")
     return (seen.join(totals, F.col("_host").eqNullSafe(F.col("_of")))
-            .filter(F.col("_pages") > F.lit(ratio) * F.col("_total"))
+            .filter((F.col("_pages") > F.lit(ratio) * F.col("_total")) & ((F.col("_pages") >= min_pages) | most))
             .groupBy("_host").agg(F.collect_list("_line").alias("_bad")))
 
 
