@@ -15,6 +15,8 @@ from corpustag.llm.storage import Scratch
 
 ORACLE_SQL = None
 TOKENIZER = "word_bpe_49k.json"
+#: Words of a shingle and likeness of near duplicates in training data; the query op2_ngram_join has a contract of its own.
+SHINGLE, PERCENT = 5, 80
 
 
 def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def _one_of_equal_rows(docs: DataFrame) -> DataFrame:
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id; rows without an id stay."""
-    joined = ngram_join.joined(docs)
+    joined = ngram_join.joined(docs, size=SHINGLE, percent=PERCENT)
     stay = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull()).select("doc_id").distinct()
     return _one_of_equal_rows(docs.join(stay.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")).select(*docs.columns)
 
