@@ -23,13 +23,15 @@ BITS = 64
 RADIUS = 3
 #: A fingerprint is cut into so many blocks; a table sorts by each choice of ``BLOCKS - RADIUS`` of them.
 BLOCKS = 5
+#: Weights are whole multiples of 1 / UNIT: their sums are exact, so that equal texts get equal votes wherever they stand.
+UNIT = 1 << 20
 
 
 def simhash(column: pa.Array, powers: words.Powers) -> np.ndarray:
     """64-bit fingerprints of a column of texts (0 for a text without words).
 
     Terms are words and pairs of neighbouring words, letters A-Z in lower case; a term found n times votes
-    with weight 1 + ln n on each bit, for it where the bit of its hash is set and against it elsewhere.
+    with weight 1 + ln n (in whole 2^-20) on each bit, for it where the bit of its hash is set and against it elsewhere.
     """
     signs = np.where((np.arange(256)[:, None] >> np.arange(8)) & 1, 1.0, -1.0)
     out = np.zeros(len(column), np.uint64)
@@ -43,7 +45,7 @@ def simhash(column: pa.Array, powers: words.Powers) -> np.ndarray:
         pair = words.mix(word[:-1][near] * words.FACTOR + word[1:][near])
         term, of = np.concatenate([word, pair]), np.concatenate([row, row[:-1][near]])
         _, at, count = np.unique(term + words.mix(of.astype(np.uint64)), return_index=True, return_counts=True)
-        term, of, weight = term[at], of[at], 1.0 + np.log(count)
+        term, of, weight = term[at], of[at], np.round(UNIT * (1.0 + np.log(count)))
         octets = term.view(np.uint8).reshape(-1, 8)
         for k in range(8):
             votes = np.bincount(of * 256 + octets[:, k], weights=weight, minlength=n * 256).reshape(n, 256) @ signs
