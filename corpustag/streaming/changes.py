@@ -56,6 +56,19 @@ def debounced(versions: DataFrame, gap: str = DEBOUNCE, lateness: str = "10 minu
     ).select("path", "version_ts", "text")
 
 
+def open_bursts(versions: DataFrame, done: DataFrame) -> DataFrame:
+    """T3 at the end of a bounded run: the last version of each path's burst that ``debounced`` still holds.
+
+    ``versions`` is the input of the run as a table, ``done`` what the run returned. A path has one open burst at most,
+    the last one, and it is open if nothing of the path was returned from then on. Only one row a path is compared.
+    """
+    last = versions.groupBy("path").agg(
+        F.max("version_ts").alias("version_ts"), F.max_by("text", "version_ts").alias("text"))
+    newest = done.groupBy(F.col("path").alias("_path")).agg(F.max("version_ts").alias("_newest"))
+    joined = last.join(newest, F.col("path").eqNullSafe(F.col("_path")), "left")
+    return joined.where(F.col("_newest").isNull() | (F.col("_newest") < F.col("version_ts"))).select("path", "version_ts", "text")
+
+
 def debounced_batch(
     versions: DataFrame, key: str, ts: str, order: str, gap_seconds: float, slice_of: Column,
 ) -> DataFrame:

@@ -478,12 +478,16 @@ def _work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/corpustag-{uuid.uuid4().hex}"
 
 
+def _event_versions(events: DataFrame) -> DataFrame:
+    return events.select(
+        F.concat(F.col("user_id").cast("string"), F.lit(".md")).alias("path"), F.lit("modify").alias("op"),
+        F.col("ts").cast("timestamp").alias("version_ts"), F.col("event_type").alias("text"))
+
+
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = fx.table(spark, sf_dir, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return raw.select(
-        F.concat(F.col("user_id").cast("string"), F.lit(".md")).alias("path"), F.lit("modify").alias("op"),
-        F.col("ts").cast("timestamp").alias("version_ts"), F.col("event_type").alias("text"))
+    return _event_versions(raw)
 
 
 def _run_to_table(spark: SparkSession, stream: DataFrame) -> DataFrame:
@@ -502,10 +506,12 @@ def q38b_stream_changed_only(spark, sf_dir):
 
 @query
 def q39b_stream_debounce(spark, sf_dir):
-    """T3 as session windows; bursts still open at the last watermark are held back."""
+    """T3 as session windows, run to the end of the input; bursts that the last watermark left open end with it."""
     out = _run_to_table(spark, changes.debounced(
         changes.note_events(_event_stream(spark, sf_dir)), "30 minutes", "0 seconds"))
-    return out.select("path", F.unix_micros("version_ts").alias("version_us"), "text")
+    versions = changes.note_events(_event_versions(fx.table(spark, sf_dir, "events")))
+    whole = out.unionByName(changes.open_bursts(versions, out))
+    return whole.select("path", F.unix_micros("version_ts").alias("version_us"), "text")
 
 
 # --- Notes ------------------------------------------------------------------------
