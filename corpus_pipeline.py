@@ -23,7 +23,11 @@ def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on the labels of ``docs``, accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     machine = classifier.trained(docs, labels)
-    return classifier.scored(docs, machine, carry=[c for c in docs.columns if c != "doc_id"]).filter("predicted = 1").select(*docs.columns)
+    # under names of our own, as columns may be named like the verdict
+    carried = {c: f"_carried{i}" for i, c in enumerate(docs.columns)}
+    named = docs.select("*", *[F.col(f"`{c}`").alias(n) for c, n in carried.items()])
+    scores = classifier.scored(named, machine, carry=list(carried.values()))
+    return scores.filter("predicted = 1").select(*[F.col(n).alias(c) for c, n in carried.items()])
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +45,14 @@ def _one_of_equal_rows(docs: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id; rows without an id stay."""
-    joined = ngram_join.joined(docs, size=SHINGLE, percent=PERCENT)
-    stay = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull()).select("doc_id").distinct()
-    return _one_of_equal_rows(docs.join(stay.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")).select(*docs.columns)
+    """Of each group of near duplicates the row with the least id, of rows that share it the one with the least hash; rows
+    without an id stay."""
+    hashed = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c in docs.columns]))
+    groups = ngram_join.joined(hashed, id_column="_row", size=SHINGLE, percent=PERCENT).select("_row", F.col("component_id").alias("_group")).distinct()
+    rows = hashed.select("_row", F.col("doc_id").alias("_id")).distinct().join(groups, "_row")
+    first = rows.filter("_id IS NOT NULL").groupBy("_group").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_row"))
+    stay = first.select("_row").unionByName(rows.filter("_id IS NULL").select("_row")).distinct()
+    return _one_of_equal_rows(hashed.join(stay, "_row", "left_semi").drop("_row")).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
