@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from corpustag.llm import line_dedup, mixing, quality_rules, sharding
+import string
+
+from corpustag.llm import line_dedup, mixing, quality_rules, resampling, sharding, va_file
 
 WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 
@@ -142,6 +144,62 @@ def warc_sql() -> str:
            CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM g"""
 
 
+def clustering_sql() -> str:
+    """Rounds one by one; every vector is compared with every centroid."""
+    v = va_file
+    squared = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    ctes = []
+    for i in range(v.ROUNDS + 1):
+        ctes.append(f"a{i} AS MATERIALIZED (SELECT r, k, far FROM (SELECT r, k, {squared} AS far FROM kept, c{i}) "
+                    "QUALIFY row_number() OVER (PARTITION BY r ORDER BY far, k) = 1)")
+        if i < v.ROUNDS:
+            ctes.append(f"""
+    c{i + 1} AS MATERIALIZED (
+        SELECT c{i}.k, coalesce(m.c, c{i}.c) AS c FROM c{i} LEFT JOIN (
+            SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY d) AS c FROM (
+                SELECT k, d, sum(v)::BIGINT AS s, count(*) AS n FROM (
+                    SELECT k, unnest(x) AS v, unnest(generate_series(1, {v.DIMENSIONS})) AS d FROM a{i} JOIN kept USING (r)) GROUP BY k, d)
+            GROUP BY k) m USING (k))""")
+    return f"""
+    WITH raw AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: e::DOUBLE) AS e FROM embeddings),
+    kept AS MATERIALIZED (SELECT r, vec_id, list_transform(e, lambda y: floor({v.SCALE} * y)::BIGINT) AS x FROM raw
+             WHERE len(e) = {v.DIMENSIONS} AND len(list_filter(e, lambda y: isfinite(y))) = {v.DIMENSIONS}),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY lot) - 1 AS k, x AS c FROM (
+               SELECT sha256('3:' || vec_id) AS lot, x FROM kept ORDER BY lot LIMIT {v.CENTROIDS})),
+    {', '.join(ctes)}
+    SELECT vec_id, a.k::INTEGER AS cluster, far::BIGINT AS distance, (sum(far) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia,
+           (sum(far) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM a{v.ROUNDS} a JOIN kept USING (r) JOIN c{v.ROUNDS} c ON a.k = c.k"""
+
+
+def resampling_sql(seed: int = 7) -> str:
+    q = resampling
+    lower = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    words_of = rf"regexp_extract_all({lower}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+    features = "list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))"
+    counts = lambda name, of: f"{name} AS (SELECT bucket, sum(n) AS n FROM {of} JOIN hashed USING (feature) GROUP BY bucket)"
+    return f"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words_of} AS w FROM documents),
+    f AS MATERIALIZED (SELECT r, feature, count(*) AS n FROM (SELECT r, unnest({features}) AS feature FROM d) GROUP BY r, feature),
+    g AS MATERIALIZED (SELECT feature, count(*) AS n FROM (
+             SELECT unnest({features}) AS feature FROM (SELECT {words_of} AS w FROM benchmark)) GROUP BY feature),
+    hashed AS MATERIALIZED (SELECT feature, {crc32_sql('feature')} % {q.BUCKETS} AS bucket FROM (
+                SELECT feature FROM f UNION SELECT feature FROM g)),
+    {counts('source', 'f')}, {counts('target', 'g')},
+    sums AS (SELECT (SELECT coalesce(sum(n), 0) FROM source)::DOUBLE AS s_all, (SELECT coalesce(sum(n), 0) FROM target)::DOUBLE AS t_all),
+    gain AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + {q.BUCKETS})
+                                            / ((s.n + 1)::DOUBLE * (t_all + {q.BUCKETS}))))::BIGINT AS gain
+             FROM source s LEFT JOIN target t USING (bucket), sums),
+    weighed AS (SELECT r, sum(f.n)::BIGINT AS n, sum(f.n * gain)::BIGINT AS s FROM f JOIN hashed USING (feature) JOIN gain USING (bucket) GROUP BY r),
+    noisy AS (SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce((s - ((s % n) + n) % n) // n, 0) AS weight,
+                     floor(-1000 * ln(-ln((('0x' || substr(sha256('{seed}:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise
+              FROM d LEFT JOIN weighed USING (r)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= {q.MIN_WORDS} ORDER BY weight + noise DESC, doc_id) AS k,
+                      count(*) OVER (PARTITION BY n_words >= {q.MIN_WORDS}) AS n FROM noisy)
+    SELECT doc_id, n_features, weight, weight + noise AS score,
+           CASE WHEN n_words >= {q.MIN_WORDS} AND k <= {q.PERCENT} * n // 100 THEN k END AS rank FROM ranked"""
+
+
 def registry() -> dict[str, str]:
     return {
         "op4_line_dedup": line_dedup_sql(),
@@ -149,4 +207,6 @@ def registry() -> dict[str, str]:
         "op7_warc": warc_sql(),
         "op8_sharding": sharding_sql(),
         "op10_mixing": mixing_sql(),
+        "op11_centroid_clustering": clustering_sql(),
+        "op12_importance_resampling": resampling_sql(),
     }
