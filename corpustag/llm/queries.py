@@ -78,6 +78,11 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpustag.llm import url_templates
+    return url_templates.judged(table(spark, sf_dir, "pages"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -92,4 +97,5 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_mixing": op10_mixing,
         "op11_centroid_clustering": op11_centroid_clustering,
         "op12_importance_resampling": op12_importance_resampling,
+        "op13_url_filters": op13_url_filters,
     }
