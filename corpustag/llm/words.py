@@ -90,8 +90,9 @@ def shingles(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     full = np.zeros(n, np.uint64)
     for k in range(size):
-        full[: n - k] = full[: n - k] * FACTOR + words[k:]
-        full[n - k:] *= FACTOR
+        inside = max(0, n - k)
+        full[:inside] = full[:inside] * FACTOR + words[k:]
+        full[inside:] *= FACTOR
     first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
     counts = np.diff(np.r_[first, n])
     whole = np.zeros(n, bool)
