@@ -59,16 +59,17 @@ def quality_rules_sql() -> str:
                  length(text) - length(translate(text, '{q.SYMBOLS}', '')) AS n_symbols,
                  coalesce(dups.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words,
                  list_transform(c, lambda x: CASE WHEN list_sum(c) > 0 THEN x / list_sum(c) ELSE 0.0 END) AS c, ref_c, shares,
-                 list_transform(top.words, lambda t: len(list_filter(w, lambda x: x = t)) / greatest(len(w), 1)) AS found
+                 list_transform(top.words, lambda t: len(list_filter(w, lambda x: x = t)) / greatest(len(w), 1)) AS found,
+                 list_append(shares, 1.0 - list_sum(shares)) AS ref_w, list_append(list_transform(shares, lambda s: 0.0), 1.0) AS no_w
           FROM d LEFT JOIN dups USING (r) LEFT JOIN repeats USING (r)
           LEFT JOIN ref ON d.lang IS NOT DISTINCT FROM ref.lang LEFT JOIN top ON d.lang IS NOT DISTINCT FROM top.lang),
     j AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                  coalesce({jsd('c', 'ref_c')}, 0.0) AS class_distance,
-                 coalesce({jsd('list_append(found, 1.0 - list_sum(found))', 'list_append(shares, 1.0 - list_sum(shares))')}, 0.0) AS word_distance
+                 coalesce({jsd('list_append(found, 1.0 - list_sum(found))', 'ref_w')}, 0.0) AS word_distance, {jsd('no_w', 'ref_w')} AS no_words
           FROM m)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-           NOT base_failed AND NOT (class_distance > {q.MAX_CLASS_DISTANCE} OR (
-               n_words >= {q.MIN_WORDS_FOR_COMMON} AND word_distance > {q.MAX_WORD_DISTANCE})) AS kept FROM j"""
+           NOT base_failed AND NOT (class_distance > {q.MAX_CLASS_DISTANCE} OR coalesce(word_distance > least(
+               {q.LAST_WORD_SHARE} * no_words, sqrt(pow({q.MAX_WORD_SHARE} * no_words, 2) + {q.CHANCE!r}::DOUBLE / n_words)), false)) AS kept FROM j"""
 
 
 def crc32_sql(text: str) -> str:

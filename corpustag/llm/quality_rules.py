@@ -24,9 +24,6 @@ MAX_CLASS_DISTANCE = 0.25
 #: such a text never passes.
 MAX_WORD_SHARE, LAST_WORD_SHARE = 0.7, 0.98
 CHANCE = COMMON_WORDS / (8 * math.log(2))
-#: The fixed limit, and the length from which it held, of the SQL twin; ``judged`` does not use them.
-MAX_WORD_DISTANCE = 0.5
-MIN_WORDS_FOR_COMMON = 100
 #: A window's position takes the low part of a 63-bit number, its hash the rest: (unit, mask of the hash).
 SHORT, LONG = (1 << 20, (1 << 43) - 1), (1 << 31, (1 << 32) - 1)
 
