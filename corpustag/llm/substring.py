@@ -106,7 +106,7 @@ def _multipliers() -> np.ndarray:
 
 
 def _found(texts: DataFrame) -> DataFrame:
-    """(doc, start, words, content, bands) of each paragraph of ``SHINGLE`` words or more; bands are null once passed on.
+    """(doc, row, start, words, content, bands) of each paragraph of ``SHINGLE`` words or more; bands are null once passed on.
 
     So too of each anchor, which has no bands.
     """
@@ -114,15 +114,15 @@ def _found(texts: DataFrame) -> DataFrame:
         powers, factors = words.Powers(), _multipliers()
         passed: set[int] = set()
         for batch in batches:
-            ids = batch.column(0)
+            ids, numbers = batch.column(0), batch.column(2)
             for at, data, bounds in words.slices(batch.column(1)):
                 word, row, line, first, end = paragraphs(data, bounds, powers)
                 run, run_content = anchors(word, row, line)
                 if len(run):
                     yield pa.RecordBatch.from_arrays([
-                        ids.take(pa.array(at + row[run])), pa.array((run - np.searchsorted(row, row[run])).astype(np.int64)),
+                        ids.take(pa.array(at + row[run])), numbers.take(pa.array(at + row[run])), pa.array((run - np.searchsorted(row, row[run])).astype(np.int64)),
                         pa.array(np.full(len(run), MIN_SPAN, np.int32)), pa.array(run_content.view(np.int64)),
-                        pa.nulls(len(run), pa.list_(pa.int64()))], ["doc", "start", "words", "content", "bands"])
+                        pa.nulls(len(run), pa.list_(pa.int64()))], ["doc", "row", "start", "words", "content", "bands"])
                 size = end - first
                 long_enough = size >= SHINGLE
                 first, end, size = first[long_enough], end[long_enough], size[long_enough]
@@ -146,10 +146,10 @@ def _found(texts: DataFrame) -> DataFrame:
                 offsets = pa.array(np.r_[0, np.cumsum(new * BANDS)].astype(np.int32), mask=np.r_[~new, False])
                 first_word = np.searchsorted(row, row[first])
                 yield pa.RecordBatch.from_arrays([
-                    ids.take(pa.array(at + row[first])), pa.array((first - first_word).astype(np.int64)), pa.array(size.astype(np.int32)),
+                    ids.take(pa.array(at + row[first])), numbers.take(pa.array(at + row[first])), pa.array((first - first_word).astype(np.int64)), pa.array(size.astype(np.int32)),
                     pa.array(content.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(bands[new].ravel().view(np.int64)))],
-                    ["doc", "start", "words", "content", "bands"])
-    return texts.mapInArrow(work, "doc bigint, start bigint, words int, content bigint, bands array<bigint>")
+                    ["doc", "row", "start", "words", "content", "bands"])
+    return texts.mapInArrow(work, "doc bigint, row bigint, start bigint, words int, content bigint, bands array<bigint>")
 
 
 def _first_of(first: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
@@ -188,16 +188,17 @@ def _sets(texts: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT,
             min_span: int = MIN_SPAN) -> DataFrame:
     """One row per repeated span: the id, ``start`` and ``n_words`` (in words of the text), ``n_removed`` words that
-    an earlier document holds too, ``first_doc`` (the least id that shares part of it).
+    an earlier document holds too, ``first_doc`` (the least id that shares part of it), ``row`` (a number of the row).
 
-    The first occurrence of a paragraph, by id and place, is kept; the others are removals. Words are runs without
-    ASCII white space, A-Z in lower case. A null or empty text has no paragraphs; rows with the same id
-    count as one document, so do those with a null id, which comes last; an empty table gives no rows; other columns are ignored.
+    The first occurrence of a paragraph, by id, row and place, is kept; the others are removals. Words are runs without
+    ASCII white space, A-Z in lower case. A null or empty text has no paragraphs. Spans are those of one row's text each. Rows with the
+    same id count as one document when it is asked whether a paragraph stands in another, so do those with a null id, which comes
+    last; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     texts = docs.select(F.col(id_column).cast("bigint").alias("doc"), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("text"))
-    found = scratch.keep(_found(texts), "paragraphs")
+    found = scratch.keep(_found(texts.withColumn("row", F.monotonically_increasing_id())), "paragraphs")
     banded = found.filter(F.col("bands").isNotNull()).select(
         F.explode("bands").alias("key"), F.col("content").alias("node"))
     whole = Window.partitionBy("key")
@@ -212,10 +213,12 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     sets = scratch.keep(_sets(again).join(contents, "content", "left_semi").dropDuplicates(["content"]), "sets")
 
     linked = graph.linked_components(index, sets.select(F.col("content").alias("node"), "tokens"), percent, scratch)
+    for name in ("index", "holders", "sets"):
+        scratch.drop(name)
 
     # groups of paragraphs: a component, or one content; those of one document are no repeats
     per_content = found.groupBy("content").agg(
-        F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "start")).alias("first"), F.min("doc").alias("lo"), F.max("doc").alias("hi"),
+        F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row", "start")).alias("first"), F.min("doc").alias("lo"), F.max("doc").alias("hi"),
         F.min(F.col("doc").isNull()).alias("all_null"), F.max(F.col("doc").isNull()).alias("any_null"))
     spread_out = "lo < hi OR (any_null AND NOT all_null)"  # a null id is an id of its own
     per_group = (
@@ -225,11 +228,13 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     spread = per_group.groupBy("group").agg(F.min("first").alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
         F.min("all_null").alias("all_null"), F.max("any_null").alias("any_null")).filter(spread_out)
     repeated = scratch.keep(per_group.select("content", "group").join(spread, "group").select("content", "first"), "repeated")
-    places = found.select("doc", "start", "words", "content").join(repeated, "content")
+    for name in ("components", "contents"):
+        scratch.drop(name)
+    places = found.select("doc", "row", "start", "words", "content").join(repeated, "content")
 
-    by_doc = Window.partitionBy("doc").orderBy("start", "end", "_gone")
+    by_doc = Window.partitionBy("row").orderBy("start", "end", "_gone")
     before = by_doc.rowsBetween(Window.unboundedPreceding, -1)
-    kept = F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.start") == F.col("start"))
+    kept = (F.col("first.row") == F.col("row")) & (F.col("first.start") == F.col("start"))
     end = F.col("start") + F.col("words")
     # ``_gone`` is the end of a removal; its words before the end of an earlier one are counted there
     spans = (
@@ -237,8 +242,8 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
         .withColumn("_fresh", F.when(F.max("end").over(before) >= F.col("start"), 0).otherwise(1))
         .withColumn("_new", F.greatest(F.lit(0), F.col("_gone") - F.greatest("start", F.max("_gone").over(before))))
         .withColumn("_span", F.sum("_fresh").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("doc", "_span").agg(
-            F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("n_words"),
+        .groupBy("row", "_span").agg(
+            F.first("doc").alias("doc"), F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("n_words"),
             F.sum(F.when(F.col("_gone").isNull(), 0).otherwise(F.col("_new"))).cast("bigint").alias("n_removed"),
             F.min("first.doc").alias("first_doc")))
-    return spans.filter(F.col("n_words") >= min_span).select(F.col("doc").alias(id_column), "start", "n_words", "n_removed", "first_doc")
+    return spans.filter(F.col("n_words") >= min_span).select(F.col("doc").alias(id_column), "start", "n_words", "n_removed", "first_doc", "row")
