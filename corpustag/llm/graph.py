@@ -74,6 +74,7 @@ def _across(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     leader = sets.select(F.col("node").alias("lead"), F.col("tokens").alias("tl"))
     member = sets.select("node", F.col("tokens").alias("tm"))
     differences = F.concat(F.array_except("tl", "tm"), F.array_except("tm", "tl"))
+    # dropped by the caller, once it has written the pairs
     rows = scratch.keep(members.join(member, "node").join(leader, "lead").select(
         "lead", "node", "part", F.size("tm").cast("bigint").alias("n"), F.size("tl").cast("bigint").alias("nl"), differences.alias("diff")), "differences")
     e = F.size("diff").cast("bigint")
@@ -121,5 +122,12 @@ def linked_components(index: DataFrame, sets: DataFrame, percent: int, scratch:
         "key", "lead", "node", F.coalesce("component", "node").alias("part")), "named")
     split = named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
     members = scratch.keep(named.join(split, "key", "left_semi").select("lead", "node", "part").distinct(), "members")
+    for name in ("leaders", "named"):
+        scratch.drop(name)
     across = scratch.keep(_across(members, sets, percent, scratch).select(*pair("x", "y")).distinct().join(stars, ["a", "b"], "left_anti"), "across")
-    return scratch.keep(components(links.unionByName(overlapping(across, sets, percent)), scratch, "last"), "components")
+    for name in ("members", "differences", "difference_keys", "stars"):
+        scratch.drop(name)
+    out = scratch.keep(components(links.unionByName(overlapping(across, sets, percent)), scratch, "last"), "components")
+    for name in ("star_links", "across"):
+        scratch.drop(name)
+    return out

@@ -220,10 +220,14 @@ def joined(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     again = texts.join(whose.hint("merge"), F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
     sets = _whole_sets(again, size).join(alive.select("cid", "n", "set_key"), "set_key").dropDuplicates(["cid"])
     sets = scratch.keep(sets.select("cid", "n", "tokens"), "sets")
+    scratch.drop("alive")
     held = _held(sets.select("cid", "n", F.explode("tokens").alias("token")))
     index = scratch.keep(_index_keys(_by_class(held, percent, scratch), percent, rare), "index")
+    scratch.drop("held")
 
     grouped = graph.linked_components(index, sets.select(F.col("cid").alias("node"), "tokens"), percent, scratch)
+    for name in ("index", "sets"):
+        scratch.drop(name)
 
     placed = classes.join(grouped, F.col("cid") == F.col("node"), "left").withColumn("part", F.coalesce("component", "cid"))
     names = placed.groupBy("part").agg(F.min("first_id").alias("component_id"))
