@@ -1,8 +1,8 @@
 """Change streams of notes: event filter, debounce, skip-unchanged, continuous re-tagging.
 
-The file source tracks files by path and does not re-read one edited in place, so the
-contract is append-only versions: a new row (or file) for every version of a note, as
-``path, version_ts, text`` and, for raw events, ``op``.
+A stream has a row for every version of a note: ``path, version_ts, text`` and, for raw events, ``op``. It comes from
+a folder of version files (``read_versions``), as Spark's file source tracks files by path and does not re-read one edited in
+place, or from the notes' own folder, which ``sources.watch`` looks through for files edited since.
 """
 
 from __future__ import annotations
@@ -39,34 +39,71 @@ def read_versions(spark: SparkSession, directory: str, files_per_trigger: int =
         "maxFilesPerTrigger", files_per_trigger).parquet(directory)
 
 
-def note_events(versions: DataFrame) -> DataFrame:
-    """T4: creations and modifications of markdown files only."""
-    return versions.where(F.col("op").isin("create", "modify") & F.col("path").endswith(".md"))
+def note_events(versions: DataFrame, ticks: bool = False) -> DataFrame:
+    """T4: creations and modifications of markdown files only; with ``ticks`` also rows of ``op`` tick, which tell the time."""
+    kept = F.col("op").isin("create", "modify") & F.col("path").endswith(".md")
+    return versions.where(kept | (F.col("op") == "tick")) if ticks else versions.where(kept)
 
 
-def debounced(versions: DataFrame, gap: str = DEBOUNCE, lateness: str = "10 minutes") -> DataFrame:
-    """The last version of each burst; a burst ends after ``gap`` without events.
+def clock(spark: SparkSession, ticks_per_second: int = 1) -> DataFrame:
+    """A stream of rows that say only what time it is, so that event time goes on where no note changes."""
+    return spark.readStream.format("rate").option("rowsPerSecond", ticks_per_second).load().select(
+        F.lit(None).cast("string").alias("path"), F.col("timestamp").alias("version_ts"), F.lit("tick").alias("op"),
+        F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("own"))
+
+
+def _microseconds(duration: str) -> int:
+    return round(pd.Timedelta(duration).total_seconds() * 1_000_000)
 
-    The watermark bounds the state: a session is emitted once the watermark passes its
-    end, and rows older than the watermark are dropped.
-    """
-    burst = F.session_window("version_ts", gap)
-    return versions.withWatermark("version_ts", lateness).groupBy("path", burst).agg(
-        F.max("version_ts").alias("version_ts"), F.max_by("text", "version_ts").alias("text")
-    ).select("path", "version_ts", "text")
 
+_BURST_STATE = "newest bigint, us bigint, text string"
 
-def open_bursts(versions: DataFrame, done: DataFrame) -> DataFrame:
-    """T3 at the end of a bounded run: the last version of each path's burst that ``debounced`` still holds.
 
-    ``versions`` is the input of the run as a table, ``done`` what the run returned. A path has one open burst at most,
-    the last one, and it is open if nothing of the path was returned from then on. Only one row a path is compared.
+def debounced(versions: DataFrame, gap: str = DEBOUNCE, lateness: str = "10 minutes") -> DataFrame:
+    """The last version of each burst; a burst ends after ``gap`` without events.
+
+    Keyed state with a timer: a path holds its newest time and, while a burst is open, the burst's last version. A
+    later event within the gap replaces it, one beyond the gap or the timer returns it. Timers run on event time, so a replay gives
+    what the live run gave. Where notes fall silent, rows with a null path (``clock``, or ticks in the input) move the time on, and a
+    burst comes out ``gap`` and ``lateness`` after its last event. Rows older than the watermark or than their path's newest are
+    dropped. A path's versions of one micro-batch meet in one task.
     """
-    last = versions.groupBy("path").agg(
-        F.max("version_ts").alias("version_ts"), F.max_by("text", "version_ts").alias("text"))
-    newest = done.groupBy(F.col("path").alias("_path")).agg(F.max("version_ts").alias("_newest"))
-    joined = last.join(newest, F.col("path").eqNullSafe(F.col("_path")), "left")
-    return joined.where(F.col("_newest").isNull() | (F.col("_newest") < F.col("version_ts"))).select("path", "version_ts", "text")
+    width = _microseconds(gap)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        newest, us, text = state.get if state.exists else (None, None, None)
+        if state.hasTimedOut:
+            state.update((newest, None, None))
+            yield pd.DataFrame({"path": [key[0]], "us": [us], "text": [text]})
+            return
+        rows = pd.concat([b[["us", "text"]] for b in batches], ignore_index=True).sort_values("us", kind="stable")
+        if key[0] is None:  # ticks
+            return
+        if newest is not None:
+            rows = rows[rows["us"] >= newest]
+        if not len(rows):
+            # a state that is not renewed keeps its timer only if it is set again
+            if us is not None:
+                state.setTimeoutTimestamp(max((us + width) // 1000, state.getCurrentWatermarkMs() + 1))
+            return
+        if us is not None:
+            rows = pd.concat([pd.DataFrame({"us": [us], "text": [text]}), rows], ignore_index=True)
+        ended = (rows["us"].shift(-1) - rows["us"] >= width).to_numpy()
+        last, last_text = int(rows["us"].iloc[-1]), rows["text"].iloc[-1]
+        due = (last + width) // 1000
+        if due <= state.getCurrentWatermarkMs():
+            ended[-1] = True
+            state.update((last, None, None))
+        else:
+            state.update((last, last, last_text))
+            state.setTimeoutTimestamp(due)
+        out = rows[ended]
+        yield pd.DataFrame({"path": key[0], "us": out["us"].astype("int64"), "text": out["text"]})
+
+    timed = versions.withWatermark("version_ts", lateness).select("path", "version_ts", "text", F.unix_micros("version_ts").alias("us"))
+    bursts = timed.groupBy("path").applyInPandasWithState(
+        step, "path string, us bigint, text string", _BURST_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return bursts.select("path", F.timestamp_micros("us").alias("version_ts"), "text")
 
 
 def debounced_batch(
@@ -118,23 +155,100 @@ def changed_versions(versions: DataFrame) -> DataFrame:
         "append", GroupStateTimeout.NoTimeout)
 
 
+class Ledger:
+    """What was acted on: (``path``, ``version_ts``, ``before``, ``after``), hashes of the text as found and as left.
+
+    A batch's rows lie in a folder of the batch's number, which a replay overwrites; a batch reads those of smaller
+    numbers only. So it comes to the same whether it runs once or twice. ``fold`` puts the newest row of each path of all earlier
+    batches into one folder, so that what a batch reads grows with the notes, not with the batches.
+    """
+
+    SCHEMA = "path string, version_ts timestamp, before string, after string, batch bigint"
+
+    def __init__(self, spark: SparkSession, folder: str, fold_every: int = 100):
+        self.spark, self.folder, self.fold_every = spark, folder.rstrip("/"), fold_every
+
+    def rows(self, before: int | None = None) -> DataFrame:
+        """All rows, or those of batches before ``before``; batches that were folded give one row per path."""
+        if not self._exists(self.folder):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        found = self.spark.read.schema(self.SCHEMA + ", upto bigint").option("recursiveFileLookup", "true").parquet(
+            *[f"{self.folder}/{name}" for name in self._parts(before)] or [self._nothing()])
+        return found.select("path", "version_ts", "before", "after", "batch")
+
+    def _nothing(self) -> str:
+        empty = f"{self.folder}/none"
+        if not self._exists(empty):
+            self.spark.createDataFrame([], self.SCHEMA).write.mode("overwrite").parquet(empty)
+        return empty
+
+    def _hadoop(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
+    def _exists(self, path: str) -> bool:
+        system, place = self._hadoop(path)
+        return system.exists(place)
+
+    def _parts(self, before: int | None) -> list[str]:
+        """The newest fold below ``before`` and the batches from it on."""
+        system, place = self._hadoop(self.folder)
+        names = [f.getPath().getName() for f in system.listStatus(place)]
+        numbers = lambda kind: sorted(int(n.split("=")[1]) for n in names if n.startswith(kind + "="))
+        whole = lambda name: self._exists(f"{self.folder}/{name}/_SUCCESS")
+        folds = [n for n in numbers("fold") if (before is None or n <= before) and whole(f"fold={n}")]
+        first = folds[-1] if folds else -1
+        return [f"fold={n}" for n in folds[-1:]] + [
+            f"batch={n}" for n in numbers("batch") if n >= first and (before is None or n < before) and whole(f"batch={n}")]
+
+    def left(self, before: int) -> DataFrame:
+        """(``path``, ``after``) of the newest version acted on in batches before ``before``."""
+        return self.rows(before).groupBy("path").agg(
+            F.max_by("after", F.struct("batch", "version_ts")).alias("after"))
+
+    def record(self, acted: DataFrame, batch: int) -> None:
+        """Write the rows (``path``, ``version_ts``, ``before``, ``after``) of a batch."""
+        acted.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
+        if batch and batch % self.fold_every == 0:
+            newest = self.rows(batch).groupBy("path").agg(F.max_by(
+                F.struct("version_ts", "before", "after", "batch"), F.struct("batch", "version_ts")).alias("_last"))
+            newest.select("path", "_last.*").write.mode("overwrite").parquet(f"{self.folder}/fold={batch}")
+
+
+def without_echoes(batch: DataFrame, ledger: Ledger, batch_id: int) -> DataFrame:
+    """Changed versions less those that a path was left with when it was last acted on: our own rewrites coming round.
+
+    Only the batch's paths are looked up, by hash; texts stay where they are.
+    """
+    paths = batch.select("path").distinct()
+    left = ledger.left(batch_id).join(paths, "path", "left_semi").withColumnRenamed("after", "hash")
+    return batch.join(left, ["path", "hash"], "left_anti")
+
+
 def start_tagging(
     changes: DataFrame, rules: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
-    once: bool = False,
+    once: bool = False, ledger: Ledger | None = None,
 ) -> StreamingQuery:
     """Re-tag every changed note as it arrives; ``sink(modified, batch_id)`` stores it.
 
-    A micro-batch may be replayed after a failure, so the sink should be idempotent per
-    ``batch_id``. ``once`` works off what is there and stops.
+    With a ``ledger``, rewrites that come back as changes are not acted on, and what is acted on is recorded. A
+    micro-batch may be replayed after a failure, so the sink should be idempotent per ``batch_id``, as the ledger is. ``once``
+    works off what is there and stops.
     """
     def work(batch: DataFrame, batch_id: int) -> None:
         # tagging starts several jobs; the stateful operator above runs once for all of them
         held = batch.persist()
         try:
-            docs = held.select(F.concat_ws(
+            fresh = held if ledger is None else without_echoes(held, ledger, batch_id)
+            docs = fresh.select(F.concat_ws(
                 "@", "path", F.date_format("version_ts", "yyyyMMddHHmmssSSSSSS")).alias("doc_id"),
-                "path", "version_ts", "text")
-            sink(modified_only(reconcile(docs, rules)), batch_id)
+                "path", "version_ts", "hash", "text")
+            done = reconcile(docs, rules)
+            if ledger is not None:
+                # recorded first: a rewrite must never come round before the ledger knows it
+                ledger.record(done.select("path", "version_ts", F.col("hash").alias("before"), F.when(
+                    F.col("modified"), content_hash(F.col("text"))).otherwise(F.col("hash")).alias("after")), batch_id)
+            sink(modified_only(done).drop("hash"), batch_id)
         finally:
             held.unpersist()
 

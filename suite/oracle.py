@@ -547,6 +547,12 @@ W AS (
 _SQL["q26_reconciled_text"] = with_blocks(*_ON_NOTES, _REWRITE, insertion("W", "tag_text"), select="""
 SELECT doc_id, sha256(text) AS text_hash FROM ins""")
 
+# Rules without positions; a note is acted on once, and its rewrite comes back once.
+_SQL["q43_echo_loop"] = with_blocks(*_ON_NOTES, _REWRITE, insertion("W", "tag_text"), select="""
+SELECT N.doc_id, (1 + (ins.doc_id IS NOT NULL)::INT)::BIGINT AS n_versions, 1::BIGINT AS n_acted, sha256(coalesce(ins.text, N.text)) AS text_hash
+FROM N LEFT JOIN ins ON N.doc_id = ins.doc_id""").replace(f"\n{_R}", "\n" + rule_values(
+    [r | {"enabled": r["enabled"] if r["id"] != "r11" else False} for r in fx.RULES]))
+
 _SUMMARY = """count(*) AS processed, count_if(modified)::BIGINT AS modified,
   sum(n_added)::BIGINT AS tags_added, sum(n_removed)::BIGINT AS tags_removed FROM D"""
 _SQL["q27_sync_summary"] = with_blocks(*_ON_NOTES, select=f"SELECT {_SUMMARY}")
@@ -647,16 +653,28 @@ _SQL["q39_debounce"] = """
 SELECT event_id, user_id, event_type FROM (
   SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events)
 WHERE nxt IS NULL OR nxt >= ts + INTERVAL 30 MINUTE"""
-_SQL["q38b_stream_changed_only"] = """
-SELECT user_id || '.md' AS path, epoch_us(ts) AS version_us, event_type AS text FROM (
-  SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
-WHERE before IS DISTINCT FROM event_type"""
-# Sessions that the last watermark (the newest event's time) has not passed stay open.
-_SQL["q39b_stream_debounce"] = """
-SELECT user_id || '.md' AS path, epoch_us(ts) AS version_us, event_type AS text FROM (
-  SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt, max(ts) OVER () AS newest FROM events)
-WHERE (nxt IS NULL OR nxt >= ts + INTERVAL 30 MINUTE)
-  AND date_trunc('millisecond', newest) >= ts + INTERVAL 30 MINUTE"""
+VERSIONS = """
+e AS (SELECT *, epoch_us(ts) AS us, (SELECT min(epoch_us(ts)) FROM events) AS lo, (SELECT max(epoch_us(ts)) FROM events) AS hi FROM events),
+s AS (SELECT *, ((us - lo) * 4) // (hi - lo + 1) AS slice FROM e),
+v AS (SELECT user_id || '.md' AS path, us, event_type AS text, slice,
+             CASE WHEN event_id % 97 = 0 AND slice < 2 THEN slice + 2 ELSE slice END AS arrival
+      FROM s WHERE event_type <> 'error' AND user_id % 10 <> 0)"""
+# A version older than one that its path had in an earlier slice is dropped.
+_SQL["q38b_stream_changed_only"] = f"""WITH {VERSIONS},
+a AS (SELECT *, max(us) OVER (PARTITION BY path ORDER BY arrival RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM v)
+SELECT path, us AS version_us, text FROM (
+  SELECT *, lag(text) OVER (PARTITION BY path ORDER BY arrival, us) AS before FROM a WHERE newest IS NULL OR us >= newest)
+WHERE before IS DISTINCT FROM text"""
+# Two slices late is behind every watermark.
+_SQL["q39b_stream_debounce"] = f"""WITH {VERSIONS}
+SELECT path, us AS version_us, text FROM (
+  SELECT *, lead(us) OVER (PARTITION BY path ORDER BY us) AS nxt FROM v WHERE arrival = slice)
+WHERE nxt IS NULL OR nxt - us >= 30 * 60 * 1000000"""
+_SQL["q42_folder_changes"] = """
+SELECT doc_id, CASE lang WHEN 'de' THEN 3 WHEN 'fr' THEN 2 ELSE 1 END::BIGINT AS n_versions, 1::BIGINT AS n_created,
+       sha256(coalesce(text, '') || CASE lang WHEN 'de' THEN chr(10) || 'edit 2' WHEN 'fr' THEN chr(10) || 'edit 1' ELSE '' END) AS text_hash
+FROM documents"""
+_SQL["q44_scan_notes"] = "SELECT doc_id, sha256(coalesce(text, '')) AS text_hash FROM documents"
 
 # --- Notes ------------------------------------------------------------------------
 

@@ -15,7 +15,7 @@ from corpustag.functions import markdown as md
 from corpustag.functions import text as tx
 from corpustag.operators import annotate, discover, filters, match, migrate, reconcile, rules
 from corpustag.plans import sync
-from corpustag.sources import sinks
+from corpustag.sources import folders, sinks, watch
 from corpustag.streaming import changes
 
 from . import fixtures as fx
@@ -478,40 +478,127 @@ def _work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/corpustag-{uuid.uuid4().hex}"
 
 
-def _event_versions(events: DataFrame) -> DataFrame:
-    return events.select(
-        F.concat(F.col("user_id").cast("string"), F.lit(".md")).alias("path"), F.lit("modify").alias("op"),
-        F.col("ts").cast("timestamp").alias("version_ts"), F.col("event_type").alias("text"))
+# Events reach the stream in slices of their time; of some slices every 97th event comes two slices late.
+SLICES, LATE_BY, LATE_EVERY = 4, 2, 97
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = fx.table(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return _event_versions(raw)
+def _event_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as versions of notes: errors delete, sign-ups create, every tenth user's file is no markdown."""
+    events = fx.table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    ends = events.agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
+    n = F.floor((F.col("us") - F.col("lo")) * SLICES / (F.col("hi") - F.col("lo") + 1))
+    late = (F.col("event_id") % LATE_EVERY == 0) & (n + LATE_BY < SLICES)
+    ending = F.when(F.col("user_id") % 10 == 0, ".txt").otherwise(".md")
+    return events.crossJoin(F.broadcast(ends)).select(
+        F.concat(F.col("user_id").cast("string"), ending).alias("path"), F.timestamp_micros("us").alias("version_ts"),
+        F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "create").otherwise("modify").alias("op"),
+        F.col("event_type").alias("text"), F.lit(None).cast("boolean").alias("own"),
+        F.when(late, n + LATE_BY).otherwise(n).cast("int").alias("slice"))
 
 
-def _run_to_table(spark: SparkSession, stream: DataFrame) -> DataFrame:
+def _moved(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder, so that all its files appear at once."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    path(source).getFileSystem(spark._jsc.hadoopConfiguration()).rename(path(source), path(target))
+
+
+def _live(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], closing: str | None = None) -> DataFrame:
+    """What a running stream returns while slices of events arrive, one after the other.
+
+    ``closing`` is how long after the last event a last row without a path tells the time.
+    """
     folder = _work_dir(spark)
-    stream.writeStream.format("parquet").outputMode("append").option(
-        "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    versions = _event_versions(spark, sf_dir)
+    arrivals = [versions.where(F.col("slice") == k).drop("slice") for k in range(SLICES)]
+    if closing:
+        arrivals.append(versions.agg((F.max("version_ts") + F.expr(f"INTERVAL {closing}")).alias("version_ts")).select(
+            F.lit(None).cast("string").alias("path"), "version_ts", F.lit("tick").alias("op"), F.lit(None).cast("string").alias("text"),
+            F.lit(None).cast("boolean").alias("own")))
+    spark.createDataFrame([], changes.VERSION_SCHEMA).write.parquet(f"{folder}/in/first")
+    stream = build(spark.readStream.schema(changes.VERSION_SCHEMA).parquet(f"{folder}/in/*"))
+    running = stream.writeStream.format("parquet").outputMode("append").option(
+        "checkpointLocation", f"{folder}/checkpoint").start(f"{folder}/out")
+    try:
+        for k, rows in enumerate(arrivals):
+            rows.write.parquet(f"{folder}/to_come/{k}")
+            _moved(spark, f"{folder}/to_come/{k}", f"{folder}/in/{k}")
+            running.processAllAvailable()
+    finally:
+        running.stop()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 @query
 def q38b_stream_changed_only(spark, sf_dir):
-    """T2 and T4 as a stream with keyed state, run to the end of the input."""
-    out = _run_to_table(spark, changes.changed_versions(changes.note_events(_event_stream(spark, sf_dir))))
+    """T2, T4 and T6 as a running stream with keyed state."""
+    out = _live(spark, sf_dir, lambda versions: changes.changed_versions(changes.note_events(versions)))
     return out.select("path", F.unix_micros("version_ts").alias("version_us"), "text")
 
 
 @query
 def q39b_stream_debounce(spark, sf_dir):
-    """T3 as session windows, run to the end of the input; bursts that the last watermark left open end with it."""
-    out = _run_to_table(spark, changes.debounced(
-        changes.note_events(_event_stream(spark, sf_dir)), "30 minutes", "0 seconds"))
-    versions = changes.note_events(_event_versions(fx.table(spark, sf_dir, "events")))
-    whole = out.unionByName(changes.open_bursts(versions, out))
-    return whole.select("path", F.unix_micros("version_ts").alias("version_us"), "text")
+    """T3, T4 and T6 as a running stream with timers; the time goes on after the last event, so all bursts come out."""
+    out = _live(spark, sf_dir, lambda versions: changes.debounced(
+        changes.note_events(versions, ticks=True), "30 minutes", "1 minute"), "32 MINUTES")
+    return out.select("path", F.unix_micros("version_ts").alias("version_us"), "text")
+
+
+@query
+def q42_folder_changes(spark, sf_dir):
+    """Every document as a file; French ones are edited in place once, German ones twice, while the folder is watched."""
+    folder = _work_dir(spark)
+    docs = fx.table(spark, sf_dir, "documents").select(
+        F.concat(F.coalesce("lang", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.coalesce("text", F.lit("")).alias("text"), "lang")
+    edits = [docs] + [docs.where(F.col("lang").isin(chosen)).withColumn("text", F.concat("text", F.lit(f"\nedit {n}")))
+                      for n, chosen in ((1, ["fr", "de"]), (2, ["de"]))]
+    for rows in edits:
+        sinks.write_files(rows, f"{folder}/notes")
+        stream = changes.note_events(watch.read_folder(spark, f"{folder}/notes", settle=0)).select("path", "version_ts", "op", "text")
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(
+            availableNow=True).start(f"{folder}/seen").awaitTermination()
+    seen = spark.read.schema(stream.schema).parquet(f"{folder}/seen")
+    return seen.groupBy(F.regexp_extract("path", r"([^/]+)\.md\z", 1).cast("long").alias("doc_id")).agg(
+        F.count("*").alias("n_versions"), F.count_if(F.col("op") == "create").alias("n_created"),
+        tx.content_hash(F.max_by("text", "version_ts")).alias("text_hash"))
+
+
+@query
+def q43_echo_loop(spark, sf_dir):
+    """All notes are tagged as they appear, the rewrites come back as changes, and none of those is acted on."""
+    folder = _work_dir(spark)
+    notes = fx.notes(spark, sf_dir).select(
+        F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit("2024-01-01").cast("timestamp").alias("version_ts"),
+        F.lit("create").alias("op"), "text", F.lit(None).cast("boolean").alias("own"))
+    notes.write.parquet(f"{folder}/versions/0")
+    ledger = changes.Ledger(spark, f"{folder}/ledger")
+    rules_without_positions = _pick(spark).where("id <> 'r11'")
+
+    def write_back(modified: DataFrame, batch: int) -> None:
+        modified.select("path", (F.col("version_ts") + F.expr("INTERVAL 1 MINUTE")).alias("version_ts"), F.lit("modify").alias("op"),
+                        "text", F.lit(None).cast("boolean").alias("own")).write.mode("overwrite").parquet(f"{folder}/versions/{batch + 1}")
+
+    for _ in range(3):
+        versions = spark.readStream.schema(changes.VERSION_SCHEMA).parquet(f"{folder}/versions/*")
+        changes.start_tagging(changes.changed_versions(changes.note_events(versions)), rules_without_positions, write_back,
+                              f"{folder}/checkpoint", once=True, ledger=ledger).awaitTermination()
+    came = spark.read.schema(changes.VERSION_SCHEMA).parquet(f"{folder}/versions/*").groupBy("path").agg(
+        F.count("*").alias("n_versions"), tx.content_hash(F.max_by("text", "version_ts")).alias("text_hash"))
+    acted = ledger.rows().groupBy("path").agg(F.count("*").alias("n_acted"))
+    return came.join(acted, "path", "left").select(
+        F.regexp_extract("path", "^[0-9]+", 0).cast("long").alias("doc_id"), "n_versions", "n_acted", "text_hash")
+
+
+@query
+def q44_scan_notes(spark, sf_dir):
+    """Every document as a file some folders deep, beside files and folders that a scan leaves out."""
+    folder = _work_dir(spark)
+    place = F.concat(F.col("lang"), F.lit("/_"), F.col("source"), F.lit("/"))
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(place, F.lit("")).alias("place"))
+    name = F.concat(F.lit("."), F.col("doc_id").cast("string"))
+    kinds = F.array(F.concat("place", name, F.lit(".md")), F.concat("place", name, F.lit(".MD")), F.concat("place", F.lit(".git/"), name, F.lit(".md")))
+    sinks.write_files(docs.select(F.explode(kinds).alias("path"), "text"), f"{folder}/tree")
+    found = folders.notes(spark, f"{folder}/tree")
+    return found.select(F.regexp_extract("path", r"([0-9]+)\.md\z", 1).cast("long").alias("doc_id"), tx.content_hash(F.col("text")).alias("text_hash"))
 
 
 # --- Notes ------------------------------------------------------------------------
