@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..functions.text import no_strings
+from ..sources.runs import RunTable
 from .match import match_legacy_keywords
 from .scale import INLINE_RULES, bounded_rows, lookup_join
 
@@ -84,6 +85,18 @@ def rule_statistics(hits: DataFrame, rules: DataFrame, run_ts: Column) -> DataFr
         "rule_id", "match_count", run_ts.alias("last_triggered"))
 
 
+def statistics_over_runs(spark: SparkSession, folder: str, fold_every: int = 100) -> RunTable:
+    """G11 over time: a table to ``record`` each run's statistics in; a run that is repeated counts once."""
+    return RunTable(spark, folder, "rule_id string, match_count bigint, last_triggered timestamp",
+                    lambda rows: merged_statistics(rows).withColumn("run", F.lit(None).cast("bigint")), fold_every)
+
+
+def merged_statistics(runs: DataFrame) -> DataFrame:
+    """Documents a rule hit in all runs, and when last."""
+    return runs.groupBy("rule_id").agg(
+        F.sum("match_count").alias("match_count"), F.max("last_triggered").alias("last_triggered"))
+
+
 def merge_statistics(stored: DataFrame, run: DataFrame) -> DataFrame:
     """G11 over time: add a run's counts to the stored ones, keep the later time."""
     return stored.unionByName(run).groupBy("rule_id").agg(

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import rule_id, trim_ws
 from ..schema import CONFIG_SCHEMA, RULE_SCHEMA, RULE_TYPES, SCOPES
-from .scale import BROADCAST_ROWS, INLINE_RULES, bounded_rows, is_small, lookup_join, numbered_within
+from .scale import lookup_join, numbered_within, running_sum_within
+
+# Payloads whose rules are numbered together.
+PAYLOADS_PER_SLICE = 1_024
 
 _TAG_ALPHABET = r"^[a-zA-Z0-9\-_/]+\z"
 
@@ -93,11 +96,15 @@ def select_rules(
     return rules.where(F.array_contains("groups", group)) if group else rules
 
 
-def with_unique_ids(rules: DataFrame, taken: DataFrame | None = None, rows_per_slice: int = 100_000) -> DataFrame:
+def with_unique_ids(rules: DataFrame, taken: DataFrame | None = None, rows_per_slice: int = 4_096) -> DataFrame:
     """F9 + R2: ids from type and match; repeats get ``-2``, ``-3`` … in order of ``rule_no``.
 
     A number whose id is already in ``taken(id)``, or is the base id of another new rule,
     is passed over. Every arrival claims the next free number of its base.
+
+    A base that holds many rules is numbered in slices of its order, and so is the search for free numbers: the n-th free
+    number is n plus the used numbers that have fewer than n free ones below them, a running sum over arrivals and used
+    numbers merged in one order.
     """
     based = rules.withColumn("_base", rule_id(F.col("type"), F.col("match")))
     numbered = numbered_within(
@@ -114,22 +121,23 @@ def with_unique_ids(rules: DataFrame, taken: DataFrame | None = None, rows_per_s
     ).where("_number >= 2").unionByName(
         used.where(~F.col("_new")).select(F.col("id").alias("_base"), F.lit(1).cast("long").alias("_number"))
     ).join(bases, "_base", "left_semi").distinct()
-    # Blocked numbers run in stretches (1..k); keep one row per stretch.
     ranked = numbered_within(
         suffixed, ["_base"], ["_number"], F.floor(F.col("_number") / rows_per_slice), "_rank")
-    stretches = ranked.groupBy("_base", (F.col("_number") - F.col("_rank")).alias("_run")).agg(
-        F.min("_number").alias("start"), F.count("*").alias("length")
-    ).groupBy("_base").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_blocked"))
-
-    # The n-th free number: n, moved past every blocked stretch that starts at or below it.
-    free = F.aggregate(
-        F.coalesce("_blocked", F.array().cast("array<struct<start:bigint,length:bigint>>")),
-        F.col("_arrival").cast("long"),
-        lambda n, run: F.when(run["start"] <= n, n + run["length"]).otherwise(n))
-    joined = lookup_join(numbered, stretches, ["_base"], "left").withColumn("_n", free)
-    return joined.withColumn("id", F.when(F.col("_n") == 1, F.col("_base")).otherwise(
-        F.concat("_base", F.lit("-"), F.col("_n").cast("string")))).drop(
-        "_base", "_arrival", "_blocked", "_n")
+    # Used numbers run in stretches with as many free numbers below them; a stretch is one row.
+    stretches = ranked.groupBy("_base", (F.col("_number") - F.col("_rank")).cast("long").alias("_key")).agg(
+        F.count("*").alias("_length"))
+
+    kept = [c for c in numbered.columns if c not in ("_base", "_arrival")]
+    rule = F.struct(*[F.col(c) for c in kept])
+    rows = numbered.select("_base", F.col("_arrival").cast("long").alias("_key"), F.lit(0).cast("long").alias("_length"), rule.alias("_rule"))
+    rows = rows.unionByName(stretches, allowMissingColumns=True)
+    # an arrival stands before a stretch of its own key, which does not move it
+    placed = running_sum_within(
+        rows, ["_base"], [F.col("_key"), F.col("_rule").isNull()], F.floor(F.col("_key") / rows_per_slice), "_length", "_used")
+    n = F.col("_key") + F.col("_used")
+    return placed.where("_rule is not null").withColumn("_id", F.when(n == 1, F.col("_base")).otherwise(
+        F.concat("_base", F.lit("-"), n.cast("string")))).select("_rule.*", "_id").drop("id").withColumnRenamed("_id", "id").select(
+        *kept, *([] if "id" in kept else ["id"]))
 
 
 def _import_schema(schema: T.StructType) -> T.StructType:
@@ -139,18 +147,24 @@ def _import_schema(schema: T.StructType) -> T.StructType:
     return T.StructType.fromJson(json.loads(text))
 
 
-def import_rules(payloads: DataFrame, taken: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def import_rules(
+    payloads: DataFrame, taken: DataFrame | None = None, first_no: int = 0,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rules, quarantine and groups out of ``payloads(seq, json)``.
 
-    A payload is a whole configuration or one bare rule. Imported rules get fresh ids,
+    A payload is a whole configuration or one bare rule. Rules are numbered from ``first_no`` on in the order of payloads and of
+    rules within them, bad ones included. Imported rules get fresh ids,
     a new ``created`` stamp and no ``modified``. A group named twice keeps the later
     payload's definition.
     """
+    # the payload's place in the order decides a rule's, so rules are numbered before any is dropped
     parsed = payloads.select(
         "seq", F.from_json("json", _import_schema(CONFIG_SCHEMA)).alias("config"),
         F.from_json("json", _import_schema(RULE_SCHEMA)).alias("bare"))
-    listed = parsed.select("seq", F.posexplode(
-        F.coalesce("config.rules", F.array("bare"))).alias("pos", "rule")).select("seq", "pos", "rule.*")
+    listed = numbered_within(
+        parsed.select("seq", F.posexplode(F.coalesce("config.rules", F.array("bare"))).alias("pos", "rule")),
+        [], ["seq", "pos"], F.floor(F.col("seq") / PAYLOADS_PER_SLICE), "rule_no",
+    ).select((F.col("rule_no").cast("long") - 1 + first_no).alias("rule_no"), "rule.*")
     # A bound that is no number becomes NaN, which the checks reject.
     sentiment = F.col("filters.sentiment")
     bounds = {side: F.when(sentiment[side].isNotNull(), F.coalesce(
@@ -159,8 +173,7 @@ def import_rules(payloads: DataFrame, taken: DataFrame | None = None) -> tuple[D
         F.col("filters.pos").alias("pos"), F.col("filters.requireEntity").alias("requireEntity"),
         F.when(sentiment.isNotNull(), F.struct(
             bounds["min"].alias("min"), bounds["max"].alias("max"),
-            sentiment["scope"].alias("scope"))).alias("sentiment")))
-    ).withColumn("rule_no", F.col("seq") * 1_000_000 + F.col("pos"))
+            sentiment["scope"].alias("scope"))).alias("sentiment"))))
     checked = check_rules(rules)
     good = with_unique_ids(
         checked.where(F.size("errors") == 0)
@@ -172,6 +185,38 @@ def import_rules(payloads: DataFrame, taken: DataFrame | None = None) -> tuple[D
     return good, bad, latest
 
 
+def merge_config(
+    rules: DataFrame, groups: DataFrame, payloads: DataFrame,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored rules and groups with those of ``payloads(seq, json)`` taken in: (rules, groups, report).
+
+    Imported rules follow the stored ones under free ids. An imported group replaces the stored one of its name; the last payload
+    that names a group decides. ``report`` has a row for every imported rule and group: ``kind`` (rule or group), ``name`` (the id,
+    of skipped rules the number, of groups the name), ``outcome`` (imported, skipped; added, overwritten, unchanged) and ``errors``.
+    """
+    last = rules.agg(F.max("rule_no")).first()[0]
+    good, bad, named = import_rules(payloads, rules.select("id"), 0 if last is None else last + 1)
+    fields = [f for f in groups.columns if f != "name"]
+    stored, fresh = F.struct(*[F.col(f"stored.{f}") for f in fields]), F.struct(*[F.col(f"fresh.{f}") for f in fields])
+    both = groups.alias("stored").join(named.alias("fresh"), F.col("stored.name") == F.col("fresh.name"), "full_outer").select(
+        F.coalesce("stored.name", "fresh.name").alias("name"), F.when(F.col("stored.name").isNotNull(), stored).alias("_stored"),
+        F.when(F.col("fresh.name").isNotNull(), fresh).alias("_fresh"))
+    merged = both.select("name", F.coalesce("_fresh", "_stored").alias("_group")).select("name", "_group.*")
+    outcome = F.when(F.col("_stored").isNull(), "added").when(F.col("_stored").eqNullSafe(F.col("_fresh")), "unchanged").otherwise("overwritten")
+    nothing = F.array().cast("array<string>")
+    report = (
+        good.select(F.lit("rule").alias("kind"), F.col("id").alias("name"), F.lit("imported").alias("outcome"), nothing.alias("errors"))
+        .unionByName(bad.select(F.lit("rule").alias("kind"), F.col("rule_no").cast("string").alias("name"), F.lit("skipped").alias("outcome"), "errors"))
+        .unionByName(both.where("_fresh is not null").select(F.lit("group").alias("kind"), "name", outcome.alias("outcome"), nothing.alias("errors"))))
+    everything = rules.unionByName(good.select(*[c for c in good.columns if c in rules.columns]), allowMissingColumns=True)
+    return everything, merged, report
+
+
+def import_counts(report: DataFrame) -> DataFrame:
+    """How many rules and groups had each outcome."""
+    return report.groupBy("kind", "outcome").agg(F.count("*").alias("n"))
+
+
 def apply_groups(rules: DataFrame, groups: DataFrame) -> DataFrame:
     """Add the tags of a rule's groups; any disabled group turns the rule off."""
     member = rules.select("rule_no", F.explode("groups").alias("name"))
@@ -193,14 +238,3 @@ def active_rules(
     if honor_groups and groups is not None:
         rules = apply_groups(rules, groups)
     return rules.where(is_enabled())
-
-
-def inline_rules(rules: DataFrame, limit: int = INLINE_RULES) -> list[Row] | None:
-    """The rules as driver rows in rule order, or None when there are more than ``limit``."""
-    rows = bounded_rows(rules, limit)
-    return None if rows is None else sorted(rows, key=lambda r: r["rule_no"])
-
-
-def rule_table(rules: DataFrame) -> DataFrame:
-    """Broadcast the rules when they are few enough, else leave the join to Spark."""
-    return F.broadcast(rules) if is_small(rules, BROADCAST_ROWS) else rules

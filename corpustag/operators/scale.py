@@ -112,6 +112,22 @@ def numbered_within(
     )
 
 
+def running_sum_within(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], slice_of: Column, weight: str, name: str,
+) -> DataFrame:
+    """The sum of ``weight`` over the rows of ``keys`` up to this one in ``order``, without a task per key.
+
+    As ``numbered_within``: each (key, slice) on its own, shifted by the sums of the key's earlier slices.
+    """
+    sliced = df.withColumn("_slice", slice_of)
+    sums = sliced.groupBy(*keys, "_slice").agg(F.sum(weight).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sums.select(*keys, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+    within = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (sliced.withColumn("_within", F.sum(weight).over(within)).join(shifts, [*keys, "_slice"])
+            .withColumn(name, F.col("_within") + F.col("_shift")).drop("_slice", "_within", "_shift"))
+
+
 def with_neighbour(
     df: DataFrame, key: str, order: Sequence[str], slice_of: Column, value: Column,
     name: str, following: bool = False,

@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.text import content_hash
 from ..operators.scale import with_neighbour
 from ..plans.sync import reconcile
+from ..sources.runs import RunTable, newest
 from ..sources.sinks import modified_only
 
 # Fixed value: the quiet time after which a change is acted on.
@@ -155,64 +156,16 @@ def changed_versions(versions: DataFrame) -> DataFrame:
         "append", GroupStateTimeout.NoTimeout)
 
 
-class Ledger:
-    """What was acted on: (``path``, ``version_ts``, ``before``, ``after``), hashes of the text as found and as left.
-
-    A batch's rows lie in a folder of the batch's number, which a replay overwrites; a batch reads those of smaller
-    numbers only. So it comes to the same whether it runs once or twice. ``fold`` puts the newest row of each path of all earlier
-    batches into one folder, so that what a batch reads grows with the notes, not with the batches.
-    """
-
-    SCHEMA = "path string, version_ts timestamp, before string, after string, batch bigint"
+class Ledger(RunTable):
+    """What was acted on: (``path``, ``version_ts``, ``before``, ``after``), hashes of the text as found and as left; runs are batches."""
 
     def __init__(self, spark: SparkSession, folder: str, fold_every: int = 100):
-        self.spark, self.folder, self.fold_every = spark, folder.rstrip("/"), fold_every
-
-    def rows(self, before: int | None = None) -> DataFrame:
-        """All rows, or those of batches before ``before``; batches that were folded give one row per path."""
-        if not self._exists(self.folder):
-            return self.spark.createDataFrame([], self.SCHEMA)
-        found = self.spark.read.schema(self.SCHEMA + ", upto bigint").option("recursiveFileLookup", "true").parquet(
-            *[f"{self.folder}/{name}" for name in self._parts(before)] or [self._nothing()])
-        return found.select("path", "version_ts", "before", "after", "batch")
-
-    def _nothing(self) -> str:
-        empty = f"{self.folder}/none"
-        if not self._exists(empty):
-            self.spark.createDataFrame([], self.SCHEMA).write.mode("overwrite").parquet(empty)
-        return empty
-
-    def _hadoop(self, path: str):
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
-
-    def _exists(self, path: str) -> bool:
-        system, place = self._hadoop(path)
-        return system.exists(place)
-
-    def _parts(self, before: int | None) -> list[str]:
-        """The newest fold below ``before`` and the batches from it on."""
-        system, place = self._hadoop(self.folder)
-        names = [f.getPath().getName() for f in system.listStatus(place)]
-        numbers = lambda kind: sorted(int(n.split("=")[1]) for n in names if n.startswith(kind + "="))
-        whole = lambda name: self._exists(f"{self.folder}/{name}/_SUCCESS")
-        folds = [n for n in numbers("fold") if (before is None or n <= before) and whole(f"fold={n}")]
-        first = folds[-1] if folds else -1
-        return [f"fold={n}" for n in folds[-1:]] + [
-            f"batch={n}" for n in numbers("batch") if n >= first and (before is None or n < before) and whole(f"batch={n}")]
+        super().__init__(spark, folder, "path string, version_ts timestamp, before string, after string",
+                         lambda rows: newest(rows, "path", "version_ts"), fold_every)
 
     def left(self, before: int) -> DataFrame:
         """(``path``, ``after``) of the newest version acted on in batches before ``before``."""
-        return self.rows(before).groupBy("path").agg(
-            F.max_by("after", F.struct("batch", "version_ts")).alias("after"))
-
-    def record(self, acted: DataFrame, batch: int) -> None:
-        """Write the rows (``path``, ``version_ts``, ``before``, ``after``) of a batch."""
-        acted.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
-        if batch and batch % self.fold_every == 0:
-            newest = self.rows(batch).groupBy("path").agg(F.max_by(
-                F.struct("version_ts", "before", "after", "batch"), F.struct("batch", "version_ts")).alias("_last"))
-            newest.select("path", "_last.*").write.mode("overwrite").parquet(f"{self.folder}/fold={batch}")
+        return newest(self.rows(before), "path", "version_ts").select("path", "after")
 
 
 def without_echoes(batch: DataFrame, ledger: Ledger, batch_id: int) -> DataFrame:

@@ -125,6 +125,21 @@ def derived_rule_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(n.alias("seq"), F.to_json(rule).alias("json"))
 
 
+def derived_config_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(seq, json)``: the rules of ``derived_rule_json``, each in a configuration with a group named for the document's source."""
+    group = F.struct(F.col("lang").alias("description"), F.array("lang").alias("additionalTags"), F.lit(True).alias("enabled"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.to_json(F.struct(F.create_map("source", group).alias("groups"))).alias("g"))
+    both = derived_rule_json(spark, sf_dir).join(docs, "seq")
+    return both.select("seq", F.concat(F.lit('{"rules":['), "json", F.lit("],"), F.expr("substring(g, 2)")).alias("json"))
+
+
+def stored_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups named for the sources that have German documents, and one more."""
+    names = table(spark, sf_dir, "documents").where("lang = 'de'").select(F.col("source").alias("name")).distinct()
+    names = names.unionByName(spark.range(1).select(F.lit("stored only").alias("name")))
+    return names.select("name", F.lit("old").alias("description"), F.array(F.lit("old")).alias("additionalTags"), F.lit(True).alias("enabled"))
+
+
 def derived_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rule per document with group memberships drawn from its id."""
     n = F.col("doc_id")

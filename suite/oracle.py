@@ -553,6 +553,10 @@ SELECT N.doc_id, (1 + (ins.doc_id IS NOT NULL)::INT)::BIGINT AS n_versions, 1::B
 FROM N LEFT JOIN ins ON N.doc_id = ins.doc_id""").replace(f"\n{_R}", "\n" + rule_values(
     [r | {"enabled": r["enabled"] if r["id"] != "r11" else False} for r in fx.RULES]))
 
+# Everything; what was edited since; everything again under other rules.
+_SQL["q45_incremental_sync"] = f"""SELECT doc_id, modified, CASE lang WHEN 'de' THEN '1 2 4' ELSE '1 4' END AS runs
+FROM ({_SQL["q25b_tag_diff_map_only"]}) JOIN documents USING (doc_id)"""
+
 _SUMMARY = """count(*) AS processed, count_if(modified)::BIGINT AS modified,
   sum(n_added)::BIGINT AS tags_added, sum(n_removed)::BIGINT AS tags_removed FROM D"""
 _SQL["q27_sync_summary"] = with_blocks(*_ON_NOTES, select=f"SELECT {_SUMMARY}")
@@ -576,6 +580,11 @@ FROM N WHERE regexp_matches(text, '#(?:stale|quality/1)(?:[^a-zA-Z0-9\\-_/]|\\z)
 _SQL["q30_rule_coverage"] = with_blocks(*_ON_DOCUMENTS, select="""
 SELECT id AS rule_id, count(*) AS match_count FROM H JOIN R USING (rule_no) GROUP BY id""")
 
+# Two runs over the same documents, the second of them done twice.
+_SQL["q46_statistics_over_runs"] = with_blocks(*_ON_DOCUMENTS, select="""
+SELECT id AS rule_id, 2 * count(*) AS match_count FROM H JOIN R USING (rule_no) GROUP BY id""").replace(f"\n{_R}", "\n" + rule_values(
+    [r | {"enabled": r["enabled"] if r["id"] != "r11" else False} for r in fx.RULES]))
+
 # --- Discovery --------------------------------------------------------------------
 
 _CONTENT = """
@@ -614,7 +623,7 @@ FROM s JOIN documents USING (doc_id) JOIN counts USING (id) WHERE sample_no <= 5
 
 _IMPORTED = """
 src AS (
-  SELECT doc_id, ['keyword', 'literal', 'pattern', 'entity', 'regex'][doc_id % 5 + 1] AS type,
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rule_no, ['keyword', 'literal', 'pattern', 'entity', 'regex'][doc_id % 5 + 1] AS type,
     CASE WHEN doc_id % 11 = 0 THEN '  ' ELSE lang || ' ' || source END AS m, lang,
     doc_id % 13 = 0 AS no_tags, doc_id % 17 = 0 AS lemma, doc_id % 2 = 0 AS stem,
     CASE WHEN doc_id % 19 = 0 THEN NULL ELSE round((doc_id % 31) / 10.0 - 1.5, 1) END AS smin
@@ -632,10 +641,20 @@ based AS (
   SELECT *, type || '-' || substring(regexp_replace(regexp_replace(lower(m), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 50) AS base
   FROM checked WHERE len(errors) = 0),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS k FROM based)""", select="""
-SELECT doc_id * 1000000 AS rule_no, CASE WHEN k = 1 THEN base ELSE base || '-' || k END AS id, type, m AS match,
+SELECT rule_no, CASE WHEN k = 1 THEN base ELSE base || '-' || k END AS id, type, m AS match,
   lang AS tags, smin::DOUBLE AS sentiment_min, true AS is_fresh FROM numbered""")
 _SQL["q35b_rule_quarantine"] = with_blocks(_IMPORTED, select="""
-SELECT doc_id * 1000000 AS rule_no, array_to_string(errors, '; ') AS errors FROM checked WHERE len(errors) > 0""")
+SELECT rule_no, array_to_string(errors, '; ') AS errors FROM checked WHERE len(errors) > 0""")
+_MERGED = """
+fresh AS (SELECT source AS name, arg_max(lang, doc_id) AS description FROM documents GROUP BY source),
+stored AS (SELECT DISTINCT source AS name FROM documents WHERE lang = 'de' UNION ALL SELECT 'stored only'),
+merged AS (SELECT coalesce(s.name, f.name) AS name, coalesce(f.description, 'old') AS description,
+             CASE WHEN f.name IS NULL THEN NULL WHEN s.name IS NULL THEN 'added' ELSE 'overwritten' END AS outcome
+           FROM stored s FULL JOIN fresh f ON s.name = f.name)"""
+_SQL["q47_merge_groups"] = f"WITH {_MERGED} SELECT * FROM merged"
+_SQL["q47b_import_counts"] = with_blocks(_IMPORTED, _MERGED, select="""
+SELECT 'rule' AS kind, CASE WHEN len(errors) = 0 THEN 'imported' ELSE 'skipped' END AS outcome, count(*) AS n FROM checked GROUP BY ALL
+UNION ALL SELECT 'group', outcome, count(*) FROM merged WHERE outcome IS NOT NULL GROUP BY ALL""")
 _SQL["q36_group_effects"] = """
 SELECT 'k' || doc_id AS id, (doc_id % 7 <> 0 AND doc_id % 10 <> 0) AS enabled,
   lang || CASE WHEN doc_id % 2 = 0 AND lang <> 'en' THEN ' en' ELSE '' END

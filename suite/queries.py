@@ -14,7 +14,7 @@ from corpustag.functions import language as lang
 from corpustag.functions import markdown as md
 from corpustag.functions import text as tx
 from corpustag.operators import annotate, discover, filters, match, migrate, reconcile, rules
-from corpustag.plans import sync
+from corpustag.plans import incremental, sync
 from corpustag.sources import folders, sinks, watch
 from corpustag.streaming import changes
 
@@ -431,6 +431,22 @@ def q35b_rule_quarantine(spark, sf_dir):
     return bad.select("rule_no", F.array_join("errors", "; ").alias("errors"))
 
 
+def _merged(spark, sf_dir):
+    return rules.merge_config(fx.rules_frame(spark), fx.stored_groups(spark, sf_dir), fx.derived_config_json(spark, sf_dir))
+
+
+@query
+def q47_merge_groups(spark, sf_dir):
+    """Stored groups and those that the payloads bring, and what became of each."""
+    _, groups, report = _merged(spark, sf_dir)
+    return groups.select("name", "description").join(report.where("kind = 'group'").select("name", "outcome"), "name", "left")
+
+
+@query
+def q47b_import_counts(spark, sf_dir):
+    return rules.import_counts(_merged(spark, sf_dir)[2])
+
+
 @query
 def q36_group_effects(spark, sf_dir):
     applied = rules.apply_groups(fx.derived_rules(spark, sf_dir), fx.rule_groups(spark))
@@ -601,6 +617,39 @@ def q44_scan_notes(spark, sf_dir):
     return found.select(F.regexp_extract("path", r"([0-9]+)\.md\z", 1).cast("long").alias("doc_id"), tx.content_hash(F.col("text")).alias("text_hash"))
 
 
+@query
+def q45_incremental_sync(spark, sf_dir):
+    """T2 as a batch: all notes; then the edited ones; nothing; all again once a rule is gone. The runs that touched a note."""
+    folder = _work_dir(spark)
+    state = incremental.SyncState(spark, f"{folder}/state")
+    plain = _pick(spark).where("id <> 'r11'")
+    docs = fx.notes(spark, sf_dir, "lang")
+
+    def keep(done: DataFrame, run: int) -> None:
+        done.write.mode("overwrite").parquet(f"{folder}/done/run={run}")
+
+    for number, active in ((1, plain), (2, plain), (3, plain), (4, plain.where("id <> 'r01'"))):
+        incremental.sync_changed(docs, active, state, keep, run=number)
+        docs = sinks.refreshed(docs, spark.read.parquet(f"{folder}/done/run={number}"))
+        if number == 1:
+            docs = docs.withColumn("text", F.when(F.col("lang") == "de", F.concat("text", F.lit("\nedited"))).otherwise(F.col("text")))
+        docs.write.parquet(f"{folder}/corpus/{number}")
+        docs = spark.read.parquet(f"{folder}/corpus/{number}")
+    done = spark.read.parquet(f"{folder}/done")
+    return done.groupBy("doc_id").agg(
+        F.min_by("modified", "run").alias("modified"), F.array_join(F.sort_array(F.collect_set(F.col("run").cast("string"))), " ").alias("runs"))
+
+
+@query
+def q46_statistics_over_runs(spark, sf_dir):
+    """G11 over two runs, the second of which is repeated."""
+    runs = reconcile.statistics_over_runs(spark, f"{_work_dir(spark)}/statistics")
+    plain = _pick(spark).where("id <> 'r11'")
+    for number in (0, 1, 1):
+        runs.record(sync.rule_coverage(fx.documents(spark, sf_dir), plain), number)
+    return reconcile.merged_statistics(runs.rows()).select("rule_id", "match_count")
+
+
 # --- Notes ------------------------------------------------------------------------
 
 @query
