@@ -12,7 +12,6 @@ speed, and both feed the exact totals of buckets.
 
 from __future__ import annotations
 
-import array
 import hashlib
 import math
 import re
@@ -27,6 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpustag.llm import words as hashing
 from corpustag.llm.ordering import numbered
 from corpustag.llm.storage import Scratch
 
@@ -38,9 +38,10 @@ PERCENT = 25
 #: The head: at most so many words and pairs, none longer than so many bytes. At most 2 * 8192 * 130 bytes and as many small objects.
 HEAD = 8192
 HEAD_BYTES = 64
-#: A task counts so many different words and pairs before it forgets the rarer half, and passes on so many of each.
-COUNTED = 1 << 16
+#: Of each slice of text a task counts so many of its most frequent words and pairs, and it passes on as many of its own. Its counters
+#: lose what they have seen least when they hold more than ``COUNTED``.
 PASSED_ON = 4096
+COUNTED = 1 << 17
 #: Bytes of text taken apart at once.
 PIECE = 1 << 18
 #: Documents of one Arrow batch handed on.
@@ -80,58 +81,77 @@ class Features:
     def __init__(self, words: list[bytes], pairs: list[tuple[bytes, bytes]], buckets: int = BUCKETS):
         self.buckets = buckets
         self.states = States((w, zlib.crc32(w)) for w in words)
-        self.pairs = {p: self._pair(*p) for p in pairs}
+        self.pairs = {(one, two): zlib.crc32(b" " + two, self.states[one]) % buckets for one, two in pairs}
 
-    def _pair(self, one: bytes, two: bytes) -> int:
-        return zlib.crc32(b" " + two, self.states[one]) % self.buckets
-
-    def of(self, text: bytes) -> tuple[int, array.array]:
+    def of(self, text: bytes) -> tuple[int, np.ndarray]:
         """(number of words, buckets of all features) of a text."""
-        n, out, before = 0, array.array("I"), None
+        n, out, before = 0, [np.zeros(0, "<u2")], None
         for words in pieces(text):
             n += len(words)
-            out.extend(s % self.buckets for s in map(self.states.__getitem__, words))
             ahead = words if before is None else [before, *words]
-            known = map(self.pairs.get, zip(ahead, ahead[1:]))
-            out.extend(self._pair(ahead[i], ahead[i + 1]) if b is None else b for i, b in enumerate(known))
+            states = list(map(self.states.__getitem__, ahead))
+            following = ahead[1:]
+            frequent = map(self.pairs.get, zip(ahead, following))
+            pairs = [zlib.crc32(b" " + w, s) if b is None else b for b, s, w in zip(frequent, states, following)]
+            out.append((np.array(states[len(ahead) - len(words):] + pairs, np.uint32) % self.buckets).astype("<u2"))
             before = words[-1]
-        return n, out
+        return n, np.concatenate(out)
 
 
 def _texts(docs: DataFrame, text_column: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("text"))
 
 
-def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The most frequent words and pairs of a task's documents, of those that bounded counters hold."""
-    counters = Counter(), Counter()
+def _spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row of the words in a slice of lower-case texts."""
+    ink = (data >= 0x80) | ((data >= 48) & (data <= 57)) | ((data >= 97) & (data <= 122))
+    edge = np.zeros(len(data) + 1, bool)
+    edge[bounds] = True
+    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    before[1:], after[:-1] = ink[:-1], ink[1:]
+    starts = np.flatnonzero(ink & (~before | edge[:-1]))
+    ends = np.flatnonzero(ink & (~after | edge[1:])) + 1
+    return starts, ends, np.searchsorted(bounds, starts, "right") - 1
+
 
-    def halve(counter: Counter) -> None:
-        if len(counter) > COUNTED:
-            for feature, _ in counter.most_common()[COUNTED // 2:]:
-                del counter[feature]
+def _frequent(hashes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(a place, how often) of the most frequent hashes."""
+    if len(hashes):
+        _, places, n = np.unique(hashes, return_index=True, return_counts=True)
+        top = np.argsort(n, kind="stable")[::-1][:PASSED_ON]
+        yield from zip(places[top].tolist(), n[top].tolist())
 
+
+def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The most frequent words and pairs of a task's documents, as bounded counters see them."""
+    counters, powers = (Counter(), Counter()), hashing.Powers()
     for batch in batches:
-        for i in range(batch.num_rows):
-            before = None
-            for words in pieces(batch.column(0)[i].as_py()):
-                ahead = words if before is None else [before, *words]
-                counters[0].update(words)
-                counters[1].update(zip(ahead, ahead[1:]))
-                before = words[-1]
-                for counter in counters:
-                    halve(counter)
+        for _, data, bounds in hashing.slices(batch.column(0)):
+            starts, ends, rows = _spans(data, bounds)
+            hashes = hashing.hashed(data, starts, ends, powers)
+            word = lambda i: data[starts[i]:ends[i]].tobytes()
+            for i, n in _frequent(hashes):
+                if ends[i] - starts[i] <= HEAD_BYTES:
+                    counters[0][word(i)] += n
+            pairs = np.flatnonzero(rows[1:] == rows[:-1])
+            for i, n in _frequent(hashing.mix(hashes[pairs] * hashing.FACTOR + hashes[pairs + 1])):
+                i = pairs[i]
+                if max(ends[i] - starts[i], ends[i + 1] - starts[i + 1]) <= HEAD_BYTES:
+                    counters[1][word(i), word(i + 1)] += n
+            for counter in counters:
+                if len(counter) > COUNTED:
+                    for feature, _ in counter.most_common()[COUNTED // 2:]:
+                        del counter[feature]
     rows = [(w, b"", n) for w, n in counters[0].most_common(PASSED_ON)] + [(*p, n) for p, n in counters[1].most_common(PASSED_ON)]
-    rows = [r for r in rows if len(r[0]) <= HEAD_BYTES and len(r[1]) <= HEAD_BYTES]
-    for start in range(0, len(rows), 4096):
-        part = list(zip(*rows[start:start + 4096]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(part[0], pa.binary()), pa.array(part[1], pa.binary()), pa.array(part[2], pa.int64())], ["one", "two", "n"])
+    if rows:
+        one, two, n = zip(*rows)
+        yield pa.RecordBatch.from_arrays([pa.array(one, pa.binary()), pa.array(two, pa.binary()), pa.array(n, pa.int64())], ["one", "two", "n"])
 
 
-def head(docs: DataFrame, text_column: str = "text", size: int = HEAD) -> tuple[list[bytes], list[tuple[bytes, bytes]]]:
+def head(docs: DataFrame, text_column: str, size: int, scratch: Scratch) -> tuple[list[bytes], list[tuple[bytes, bytes]]]:
     """At most ``size`` frequent words and pairs of all documents, each of at most ``HEAD_BYTES`` bytes a word."""
-    seen = _texts(docs, text_column).mapInArrow(_counting, "one binary, two binary, n bigint").groupBy("one", "two").agg(F.sum("n").alias("n"))
+    seen = scratch.keep(_texts(docs, text_column).mapInArrow(_counting, "one binary, two binary, n bigint").groupBy("one", "two").agg(
+        F.sum("n").alias("n")), "seen")
     order = [F.desc("n"), "one", "two"]
     words = seen.filter(F.length("two") == 0).orderBy(*order).limit(size).collect()
     pairs = seen.filter(F.length("two") > 0).orderBy(*order).limit(size).collect()
@@ -148,7 +168,7 @@ def _bucketing(shared) -> Callable:
                 found = [features.of(t.as_py()) for t in texts]
                 yield pa.RecordBatch.from_arrays([
                     ids, pa.array([n for n, _ in found], pa.int64()), pa.array([len(b) for _, b in found], pa.int64()),
-                    pa.array([np.array(b, "<u2").tobytes() for _, b in found], pa.binary())], ["doc_id", "n_words", "n_features", "buckets"])
+                    pa.array([b.tobytes() for _, b in found], pa.binary())], ["doc_id", "n_words", "n_features", "buckets"])
     return work
 
 
@@ -218,7 +238,7 @@ def resampled(docs: DataFrame, target: DataFrame, id_column: str = "doc_id", tex
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "resampling")
-    words, pairs = head(docs, text_column, head_size)
+    words, pairs = head(docs, text_column, head_size, scratch)
     rows = scratch.keep(bucketed(docs, words, pairs, id_column, text_column), "buckets")
     goal = bucketed(target.select(F.lit(0).alias("_id"), F.col(target_column).alias("_text")), words, pairs, "_id", "_text")
     gain = np.array(gains(totals(rows), totals(goal)), np.int64)
