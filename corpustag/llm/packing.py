@@ -7,6 +7,7 @@ that neighbours on the curve are alike. They are then laid end to end along the
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import zlib
@@ -28,16 +29,43 @@ LENGTH = 2048
 END_ID = 1
 DIMENSIONS, DEPTH = 4, 10
 BUCKETS = 1024
-#: Encoded chunks a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+#: Bytes (keys, values and what a dictionary adds) that a worker remembers of encoded pieces before it starts afresh.
+REMEMBERED, ENTRY = 48 << 20, 160
+#: Pieces up to this length are told apart by a 64-bit hash within a slice of text; longer ones are each looked up.
+HASHED = 64
+#: Documents of one Arrow batch that are tokenized at once.
+ROWS = 256
+#: The rules of a vocabulary that ``Encoder`` knows how to apply chunk by chunk.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 
 
-class Encoder(dict):
-    """Token ids, as bytes, of chunks of text without space or line feed.
+class Memo(dict):
+    """A dictionary that is emptied when its entries come to ``REMEMBERED`` bytes."""
 
-    The vocabulary's rules cut at white space and encode each piece alone, so a text's ids are its chunks'.
-    Chunks of printable ASCII and Latin letters are cut into pieces here and merged by the tokenizer's
-    model; all others go through the whole tokenizer.
+    held = 0
+
+    def put(self, key, value, size: int):
+        self.held += size + ENTRY
+        if self.held > REMEMBERED:
+            self.clear()
+            self.held = size + ENTRY
+        self[key] = value
+        return value
+
+
+class Encoder:
+    """Token ids of texts, a slice of documents at a time.
+
+    The rules of ``RULES`` cut at white space and into runs of letters, single digits and runs of all else, and encode each piece alone. So
+    a text's ids are those of its pieces, and a piece is encoded once a slice, and remembered. Chunks between spaces and line feeds that
+    are printable ASCII and Latin letters are cut into pieces here, in lower case, and merged by the tokenizer's model; all other chunks are
+    one piece and go through the whole tokenizer. Texts go there whole if a vocabulary has other rules.
     """
 
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
@@ -45,36 +73,113 @@ class Encoder(dict):
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.pieces: dict[str, list[int]] = {}
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        rules = json.loads(self.tokenizer.to_str())
+        self.by_piece = all(rules[part] == known for part, known in RULES.items()) and rules["model"]["type"] == "BPE"
+        self.known, self.powers = Memo(), words.Powers()
         # how byte-level vocabularies spell bytes: printable ones as themselves, the rest from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.spelling = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) > REMEMBERED:
-                self.pieces.clear()
-            spelt = piece.encode().decode("latin-1").translate(self.spelling)
-            ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(spelt)]
-        return ids
-
-    def __missing__(self, chunk: str) -> bytes:
-        if self.PLAIN.fullmatch(chunk) and "<|" not in chunk:
-            ids = [i for p in self.PIECE.findall(chunk.lower()) for i in self.piece(p)]
+    def _merged(self, piece: bytes) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(piece.decode("latin-1").translate(self.spelling))]
+
+    def piece(self, piece: bytes, simple: bool) -> bytes:
+        """The ids of a simple piece, or of a chunk that is none, as bytes."""
+        value = self.known.get(piece)
+        if value is not None:
+            return value
+        if simple:
+            ids = self._merged(piece)
         else:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        if len(self) > REMEMBERED:
-            self.clear()
-        value = self[chunk] = np.array(ids, self.dtype).tobytes()
-        return value
+            text = piece.decode()
+            if self.PLAIN.fullmatch(text) and "<|" not in text:
+                ids = [i for p in self.PIECE.findall(text.lower()) for i in self._merged(p.encode())]
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        value = np.array(ids, self.dtype).tobytes()
+        return self.known.put(piece, value, len(piece) + len(value))
+
+    def whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.dtype)
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, in order."""
+        if not self.by_piece:
+            yield from (self.whole(t.as_py()) for t in texts)
+            return
+        for _, data, bounds in words.slices(texts, lower=False):
+            data, starts, ends, simple = _pieces(data, bounds)
+            keys = words.hashed(data, starts, ends, self.powers)
+            long = np.flatnonzero(ends - starts > HASHED)
+            if len(long):  # a key of its own each: the place, above all hashes of short pieces
+                keys = keys >> np.uint64(1)
+                keys[long] = np.uint64(1 << 63) + long.astype(np.uint64)
+            _, first, kind = np.unique(keys, return_index=True, return_inverse=True)
+            raw = data.tobytes()
+            encoded = [self.piece(raw[s:e], one) for s, e, one in zip(starts[first].tolist(), ends[first].tolist(), simple[first].tolist())]
+            size = np.array([len(e) for e in encoded], np.int64) // self.dtype.itemsize
+            flat = np.frombuffer(b"".join(encoded), self.dtype)
+            at = np.cumsum(size) - size
+            length = size[kind]
+            out = np.cumsum(length) - length
+            ids = flat[np.repeat(at[kind] - out, length) + np.arange(length.sum())]
+            cuts = np.r_[out, length.sum()][np.searchsorted(starts, bounds, "left")]
+            yield from (ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Bytes as small letters; and their kind: 0 between chunks, 1 letter, 2 digit, 3 other, 4 in no simple chunk."""
+    small, kind = np.arange(256, dtype=np.uint8), np.full(256, 4, np.uint8)
+    small[65:91] += 32
+    kind[33:127] = 3
+    kind[48:58], kind[97:123], kind[65:91] = 2, 1, 1
+    kind[[32, 10]], kind[39] = 0, 4
+    return small, kind
+
+
+SMALL, KIND = _kinds()
+#: First byte of a Latin letter in UTF-8, and which second bytes make letters of it.
+LATIN = 0xC3
+
+
+def _pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes with simple chunks in lower case, starts and ends of pieces in order, and whether each is simple."""
+    n = len(data)
+    kind, small = KIND[data], SMALL[data]
+    latin = np.flatnonzero(data[:-1] == LATIN) if n else np.empty(0, np.int64)
+    second = data[latin + 1]
+    latin, second = latin[(second != 0x97) & (second != 0xB7)], second[(second != 0x97) & (second != 0xB7)]
+    kind[latin] = kind[latin + 1] = 1
+    small[latin + 1] = second + np.where(second < 0x9F, 32, 0).astype(np.uint8)
+    marked = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)) if n else np.empty(0, np.int64)
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    ink = kind != 0
+    edge = np.zeros(n + 1, bool)
+    edge[bounds] = True
+    before, after = np.zeros(n, bool), np.zeros(n, bool)
+    before[1:], after[:-1] = ink[:-1], ink[1:]
+    begins = ink & (~before | edge[:-1])
+    chunk_starts = np.flatnonzero(begins)
+    chunk_ends = np.flatnonzero(ink & (~after | edge[1:])) + 1
+    odd = kind == 4
+    odd[marked] = True
+    odd = np.r_[0, np.cumsum(odd)]
+    is_simple = odd[chunk_ends] == odd[chunk_starts]
+    # simple chunks begin a piece at each digit and where the kind changes
+    turns = begins.copy()
+    turns[1:] |= ink[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+    starts = np.flatnonzero(turns)
+    of = np.searchsorted(chunk_starts, starts, "right") - 1
+    stay = is_simple[of] | (starts == chunk_starts[of])
+    starts, of = starts[stay], of[stay]
+    ends = np.minimum(np.r_[starts[1:], n], chunk_ends[of]) if len(starts) else starts
+    depth = np.zeros(n + 1, np.int8)
+    depth[chunk_starts[is_simple]] += 1
+    depth[chunk_ends[is_simple]] -= 1
+    return np.where(np.cumsum(depth[:-1]) > 0, small, data), starts, ends, is_simple[of]
 
 
 def hilbert(points: np.ndarray, depth: int) -> np.ndarray:
@@ -122,17 +227,16 @@ def tokenized(docs: DataFrame, path: str, id_column: str, text_column: str) -> D
     """(doc_id, ids, doc_tokens, width, curve) of every row; ids are little-endian, ``width`` bytes each, and end with ``END_ID``."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        end = np.array([END_ID], encoder.dtype).tobytes()
+        end = np.array([END_ID], encoder.dtype)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for first in range(0, len(texts), 256):
-                encoded = [encoder.encode(t) + end for t in texts.slice(first, 256).to_pylist()]
-                arrays = [np.frombuffer(e, encoder.dtype) for e in encoded]
+            for first in range(0, len(texts), ROWS):
+                arrays = [np.concatenate([a, end]) for a in encoder.encode(texts.slice(first, ROWS))]
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(first, 256), pa.array(encoded, pa.binary()), pa.array([len(a) for a in arrays], pa.int64()),
-                    pa.array(np.full(len(arrays), np.dtype(encoder.dtype).itemsize)), pa.array(curve_keys(arrays))],
+                    ids.slice(first, ROWS), pa.array([a.tobytes() for a in arrays], pa.binary()), pa.array([len(a) for a in arrays], pa.int64()),
+                    pa.array(np.full(len(arrays), encoder.dtype.itemsize)), pa.array(curve_keys(arrays))],
                     ["doc_id", "ids", "doc_tokens", "width", "curve"])
-    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("text"))
     return rows.mapInArrow(work, "doc_id bigint, ids binary, doc_tokens bigint, width bigint, curve bigint")
 
 
@@ -153,7 +257,8 @@ def packed(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
             pieces: list[tuple] = []
-            for doc_id, ids, width, place in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for i in range(batch.num_rows):
+                doc_id, ids, width, place = (batch.column(k)[i].as_py() for k in range(4))
                 array = np.frombuffer(ids, f"<u{width}").astype("<u4")
                 start = 0
                 while start < len(array):
