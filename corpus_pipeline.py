@@ -7,7 +7,7 @@ trained and the tokenizer is a program, so the whole has no SQL twin: tests hold
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpustag.llm import classifier, line_dedup, mixing, ngram_join, packing
@@ -30,38 +30,63 @@ def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scores.filter("predicted = 1").select(*[F.col(n).alias(c) for c, n in carried.items()])
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name`` with as many underscores as it takes to be no column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _own(columns: list[str]) -> list[Column]:
+    return [F.col(f"`{c}`") for c in columns]
+
+
+def _with_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a hash of the row, and its column's name. Nulls count by their place."""
+    name, columns = _free(docs, "_row"), _own(docs.columns)
+    return docs.withColumn(name, F.xxhash64(*columns, *[c.isNull() for c in columns])), name
+
+
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their source's boilerplate lines; all stay, and ``n_chars`` follows the text."""
     kind = docs.schema["n_chars"].dataType
-    return line_dedup.without_boilerplate(docs).withColumn(
-        "n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars"))).select(*docs.columns)
+    # the operator's counts take names that columns of the input may have
+    aside = {c: _free(docs, f"_aside{i}") for i, c in enumerate(docs.columns) if c.lower() in ("n_lines", "n_dropped")}
+    cleaned = line_dedup.without_boilerplate(docs.withColumnsRenamed(aside)).drop("n_lines", "n_dropped")
+    return cleaned.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars"))).withColumnsRenamed(
+        {n: c for c, n in aside.items()}).select(*_own(docs.columns))
 
 
-def _one_of_equal_rows(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` without repetitions, with a hash of the row as ``_row``."""
-    hashed = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c in docs.columns]))
-    same = Window.partitionBy("doc_id", "_row").orderBy("_row")
-    return hashed.withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").drop("_nth")
+def _one_of_equal_rows(hashed: DataFrame, row: str) -> DataFrame:
+    """Rows of ``hashed`` without repetitions."""
+    nth = _free(hashed, "_nth")
+    same = Window.partitionBy("doc_id", row).orderBy(row)
+    return hashed.withColumn(nth, F.row_number().over(same)).filter(F.col(nth) == 1).drop(nth)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the row with the least id, of rows that share it the one with the least hash; rows
     without an id stay."""
-    hashed = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c in docs.columns]))
-    groups = ngram_join.joined(hashed, id_column="_row", size=SHINGLE, percent=PERCENT).select("_row", F.col("component_id").alias("_group")).distinct()
-    rows = hashed.select("_row", F.col("doc_id").alias("_id")).distinct().join(groups, "_row")
-    first = rows.filter("_id IS NOT NULL").groupBy("_group").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_row"))
-    stay = first.select("_row").unionByName(rows.filter("_id IS NULL").select("_row")).distinct()
-    return _one_of_equal_rows(hashed.join(stay, "_row", "left_semi").drop("_row")).select(*docs.columns)
+    hashed, row = _with_row(docs)
+    groups = ngram_join.joined(hashed, id_column=row, size=SHINGLE, percent=PERCENT).select(
+        F.col(row).alias("_of"), F.col("component_id").alias("_group")).distinct()
+    rows = hashed.select(F.col(row).alias("_of"), F.col("doc_id").alias("_id")).distinct().join(groups, "_of")
+    first = rows.filter("_id IS NOT NULL").groupBy("_group").agg(F.min(F.struct("_id", "_of"))["_of"].alias("_of"))
+    stay = first.select("_of").unionByName(rows.filter("_id IS NULL").select("_of")).distinct().withColumnRenamed("_of", row)
+    return _one_of_equal_rows(hashed.join(stay, row, "left_semi"), row).select(*_own(docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    hashed = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c in docs.columns]))
-    copies = mixing.mixed(hashed, carry=["_row"]).groupBy("doc_id", "_row").agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
-    copies = copies.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_of"), "_copies")
-    taken = _one_of_equal_rows(docs).join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_of")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    hashed, row = _with_row(docs)
+    times, copy = _free(docs, "_copies"), _free(docs, "_copy")
+    copies = mixing.mixed(hashed.select("doc_id", "text", "source", row), carry=[row]).groupBy("doc_id", row).agg(
+        F.sum("copies").alias("_sum")).filter("_sum > 0").select(F.col("doc_id").alias("_id"), F.col(row).alias("_of"), F.col("_sum").alias(times))
+    one = _one_of_equal_rows(hashed, row).alias("d")
+    taken = one.join(copies.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c._id")) & (F.col(f"d.{row}") == F.col("c._of")))
+    out = taken.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col(f"c.{times}"))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*_own(docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
