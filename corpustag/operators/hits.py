@@ -61,9 +61,7 @@ def _is_positional(row: Row, entity_scope: str) -> bool:
     return filters["sentiment"] is not None or (entity_scope == "honor" and bool(_need(row)))
 
 
-def compile_inline(
-    rows: Sequence[Row], stem_terms: dict[int, list[str]], entity_scope: str = "document",
-) -> InlineSet:
+def compile_inline(rows: Sequence[Row], entity_scope: str = "document") -> InlineSet:
     """Turn rule rows (with ``lowered``, the lower-cased match) into keys per rule.
 
     Rules that need positions get no keys in the set; ``candidates`` holds them with the
@@ -76,14 +74,14 @@ def compile_inline(
     out = InlineSet(positional=[r["rule_no"] for r in positional])
     if positional:
         out.candidates = InlineSet()
-        _add_keys(out.candidates, positional, stem_terms)
+        _add_keys(out.candidates, positional)
         for spec in out.candidates.specs:
             spec["need"] = []
-    _add_keys(out, rows, stem_terms)
+    _add_keys(out, rows)
     return out
 
 
-def _add_keys(out: InlineSet, rows: Sequence[Row], stem_terms: dict[int, list[str]]) -> None:
+def _add_keys(out: InlineSet, rows: Sequence[Row]) -> None:
     for row in rows:
         pos = list(row["filters"]["pos"] or []) if row["filters"] else []
         keys: list[str] = []
@@ -95,14 +93,13 @@ def _add_keys(out: InlineSet, rows: Sequence[Row], stem_terms: dict[int, list[st
         if row["rule_no"] in out.positional:
             pass
         elif row["type"] == "keyword":
-            stemmed = row["stem"] and not row["lemma"]
-            base = "lemma" if row["lemma"] else "surface"
-            for term in stem_terms.get(row["rule_no"], []) if stemmed else [row["lowered"]]:
-                if pos:
-                    out.terms.setdefault(f"{base}_pos", set()).add(term)
-                    keys += [f"{base}_pos:{term} {label}" for label in pos]
-                else:
-                    key(base, term)
+            base = "lemma" if row["lemma"] else "stem" if row["stem"] else "surface"
+            term = row["lowered"]
+            if pos:
+                out.terms.setdefault(f"{base}_pos", set()).add(term)
+                keys += [f"{base}_pos:{term} {label}" for label in pos]
+            else:
+                key(base, term)
         elif row["type"] == "pattern":
             labels = re.split(LABEL_GAP, row["match"])
             if not pos or set(labels) & set(pos):
@@ -121,17 +118,13 @@ def prepare_inline(
     rows = bounded_rows(rules.withColumn("lowered", F.lower("match")), limit)
     if rows is None:
         return None
-    rows = sorted(rows, key=lambda r: r["rule_no"])
-    stem_terms: dict[int, list[str]] = {}
-    candidates = stem_candidates(docs, rules)
-    if candidates is not None:
-        stem_rules = of_type(rules, "keyword").where("coalesce(stem, false) and not coalesce(lemma, false)")
-        keys = bounded_rows(keyword_keys(stem_rules, candidates), 50 * limit)
-        if keys is None:
-            return None
-        for r in keys:
-            stem_terms.setdefault(r["rule_no"], []).append(r["key"])
-    return compile_inline(rows, stem_terms, entity_scope)
+    return compile_inline(sorted(rows, key=lambda r: r["rule_no"]), entity_scope)
+
+
+def _may_have_stem(term: Column, stems: Sequence[str]) -> Column:
+    """Whether a term can have one of the stems: a stem less its last character begins every term it stems from."""
+    heads = sorted({s[:-1] for s in stems})
+    return F.lit(True) if "" in heads else F.exists(F.lit(heads), lambda h: F.startswith(term, h))
 
 
 def _labelled(part: str, values: Column) -> Column:
@@ -141,13 +134,14 @@ def _labelled(part: str, values: Column) -> Column:
 def _token_keys(rules: InlineSet, text: Column) -> list[Column]:
     surface, lemma = rules.wants("surface"), rules.wants("lemma")
     surface_pos, lemma_pos = rules.wants("surface_pos"), rules.wants("lemma_pos")
+    stem, stem_pos = rules.wants("stem"), rules.wants("stem_pos")
     patterns = rules.wants("pattern")
-    if not (surface or lemma or surface_pos or lemma_pos or patterns):
+    if not (surface or lemma or stem or surface_pos or lemma_pos or stem_pos or patterns):
         return []
 
     def found(tokens: Column) -> Column:
         parts = []
-        if surface or lemma:
+        if surface or lemma or stem:
             def by_term(terms: Column) -> Column:
                 own = []
                 if surface:
@@ -155,6 +149,9 @@ def _token_keys(rules: InlineSet, text: Column) -> list[Column]:
                 if lemma:
                     own.append(_labelled("lemma", F.array_intersect(
                         F.transform(terms, lang.lemma_of), F.lit(lemma))))
+                if stem:  # the few terms that can have one of the stems are reduced, here in the row
+                    near = F.filter(terms, lambda t: _may_have_stem(t, stem))
+                    own.append(_labelled("stem", F.array_intersect(F.transform(near, lang.porter_stem), F.lit(stem))))
                 return F.concat(*own)
             parts.append(let(F.array_distinct(F.transform(tokens, F.lower)), by_term))
         for part, terms, reduce in (("surface_pos", surface_pos, F.lower), ("lemma_pos", lemma_pos, lang.lemma_of)):
@@ -162,6 +159,10 @@ def _token_keys(rules: InlineSet, text: Column) -> list[Column]:
                 named = F.filter(F.array_distinct(tokens), lambda s: reduce(s).isin(terms))
                 parts.append(F.transform(named, lambda s: F.concat(
                     F.lit(part + ":"), reduce(s), F.lit(" "), lang.pos_of(s))))
+        if stem_pos:
+            near = F.filter(F.array_distinct(tokens), lambda s: _may_have_stem(F.lower(s), stem_pos))
+            parts.append(F.transform(near, lambda s: F.concat(
+                F.lit("stem_pos:"), lang.porter_stem(F.lower(s)), F.lit(" "), lang.pos_of(s))))
         if patterns:
             # Labels hold no spaces, so a run of them is a substring of the joined labels.
             joined = F.concat(F.lit(" "), F.array_join(F.transform(tokens, lang.pos_of), " "), F.lit(" "))
