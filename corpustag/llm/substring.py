@@ -1,13 +1,15 @@
 """Substring deduplication: paragraphs by MinHash banding.
 
-Texts are cut where they say so themselves, whatever their lines: at words whose hash (with the next word's) is least
-among the ``RADIUS`` on either side. A passage is therefore cut alike wherever it stands, but for about ``RADIUS``
-words at its ends. Paragraphs that share a band are compared by the exact Jaccard similarity of their
-five-word shingles; components of linked paragraphs that lie in two documents or more are repeats.
-
-Cuts alone promise no length: a passage may hold few of them. So runs of ``MIN_SPAN`` words are taken whole besides, where
-their hash is the least of ``REACH`` neighbouring ones, and at both ends of texts and of lines; equal runs are repeats. Any
-repeat of ``MIN_SPAN + REACH - 1`` words (50) holds such a run. Repeats of a document that touch or overlap make one span.
+A paragraph ends at a blank line; a line of ``LINE`` words or more is one by itself, as text wrapped to a width has shorter
+lines. One of more than ``PIECE`` words is cut into pieces besides: at words whose hash (with the next word's) is least among
+the ``RADIUS`` on either side, so that what is copied into another paragraph is cut alike there, but for its ends. Paragraphs
+and pieces that share a band are compared by the exact Jaccard similarity of their five-word shingles; components of linked
+ones that lie in two documents or more are repeats.
+
+That promises nothing of a passage that lies across paragraphs. So, as a complement, runs of ``RUN`` words are taken whole
+where their hash is the least of ``REACH`` neighbouring ones, and at both ends of texts and of lines; equal runs are repeats. An
+exact repeat of ``RUN + REACH - 1`` words (29) or more is found, but for less than ``REACH`` words at each end. Repeats of a row that
+touch or overlap make one span.
 """
 
 from __future__ import annotations
@@ -28,38 +30,55 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE = 5
 PERCENT = 80
-RADIUS = 5
-#: Bands of rows: at similarity s a pair meets with chance 1 - (1 - s^ROWS)^BANDS: 95 % at 0.8, 99 % at 0.9, always at 1.
-BANDS, ROWS = 3, 2
+#: A line of so many words is a paragraph.
+LINE = 20
+#: Longer paragraphs are cut into pieces too, of 25 words at least and 49 on average; those of more than ``WHOLE`` words only so.
+PIECE, WHOLE, RADIUS = 80, 1000, 24
+#: Bands of rows: at similarity s a pair meets with chance 1 - (1 - s^ROWS)^BANDS: 98.6 % at 0.8, 99.9 % at 0.9, always at 1.
+BANDS, ROWS = 6, 3
+#: Words of a run taken whole; of so many neighbouring runs the one with the least hash is.
+RUN, REACH = 20, 10
 #: Shorter spans are not reported.
 MIN_SPAN = 15
-#: Of so many neighbouring runs of ``MIN_SPAN`` words the one with the least hash is taken.
-REACH = 36
 #: Contents of paragraphs that a task remembers, so as to pass on the bands of copies once.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
+#: A content with more than this part of all rows is joined by broadcast; there are at most so many of them.
+HOT = 10_000
 
 
 def paragraphs(data: np.ndarray, bounds: np.ndarray, powers: words.Powers) -> tuple:
-    """Of a slice of texts: words' hashes, rows and lines, first words of paragraphs and the end of each."""
+    """Of a slice of texts: words' hashes, rows and lines; and (first words, ends) of paragraphs and of the pieces of long ones."""
     starts, ends, row = words.spans(data, bounds)
     n = len(starts)
     if not n:
-        return np.empty(0, np.uint64), row, row, starts, ends
+        return np.empty(0, np.uint64), row, row, [(starts, ends), (starts, ends)]
     word = words.hashed(data, starts, ends, powers)
     feeds = np.r_[0, np.cumsum(data == 10)]
     line = row + feeds[starts]  # grows with each row and each line
+    new_line = np.r_[True, line[1:] != line[:-1]]
+    line_first = np.flatnonzero(new_line)
+    long_line = np.diff(np.r_[line_first, n]) >= LINE
+    breaks = np.r_[True, (row[1:] != row[:-1]) | (feeds[starts[1:]] - feeds[ends[:-1]] > 1)]
+    breaks[line_first] |= long_line | np.r_[False, long_line[:-1]]
+    first = np.flatnonzero(breaks)
+    end = np.r_[first[1:], n]
+
+    of = np.cumsum(breaks) - 1
+    size = end - first
     with_next = word.copy()
     with_next[:-1] = words.mix(word[:-1] * words.FACTOR + word[1:])
-    fresh = np.r_[True, row[1:] != row[:-1]]
-    with_next[np.r_[fresh[1:], True]] = np.iinfo(np.uint64).max  # a text's last word has no next one
-    # of equal ones the first is cut, so that paragraphs have more than RADIUS words, but for those at a text's ends
-    cut = with_next != np.iinfo(np.uint64).max
+    place = np.arange(n) - first[of]
+    # of equal ones the first is cut, and none near the paragraph's ends, so that pieces have RADIUS // 2 words at least
+    cut = (size[of] > PIECE) & (place >= RADIUS // 2) & (size[of] - place > RADIUS // 2)
     for k in range(1, min(RADIUS + 1, n)):
-        apart = row[k:] != row[:-k]
+        apart = of[k:] != of[:-k]
         cut[:-k] &= apart | (with_next[:-k] <= with_next[k:])
         cut[k:] &= apart | (with_next[k:] < with_next[:-k])
-    first = np.flatnonzero(fresh | cut)
-    return word, row, line, first, np.r_[first[1:], n]
+    piece = np.flatnonzero(breaks | cut)
+    piece_end = np.r_[piece[1:], n]
+    of_long = size[of[piece]] > PIECE
+    whole = (size >= SHINGLE) & (size <= WHOLE)
+    return word, row, line, [(first[whole], end[whole]), (piece[of_long], piece_end[of_long])]
 
 
 def _shingles(word: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -71,6 +90,20 @@ def _shingles(word: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return words.mix(total)
 
 
+def _edges(first: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Bounds of the shingles of each paragraph, alternating with those of the runs between paragraphs."""
+    edges = np.stack([first, end - SHINGLE + 1], axis=1).ravel()
+    return edges[:-1] if edges[-1] >= n else edges
+
+
+def _contents(shingle: np.ndarray, first: np.ndarray, end: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each paragraph: sums over its shingles, each mixed with its place."""
+    place = np.arange(len(shingle), dtype=np.uint64) - _first_of(first, end, len(shingle))
+    size = (end - first).astype(np.uint64)
+    sums = [np.add.reduceat(mixed, edges)[::2] for mixed in (words.mix(shingle ^ place), words.mix(shingle * words.FACTOR + place))]
+    return words.mix(sums[0] + size), words.mix(sums[1] + size)
+
+
 def _sliding(values: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
     """``pick`` of each run of ``size`` values."""
     out, done = values, 1
@@ -79,77 +112,82 @@ def _sliding(values: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
     return pick(out[:len(out) - size + done], out[size - done:]) if done < size else out
 
 
-def anchors(word: np.ndarray, row: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words of the runs of ``MIN_SPAN`` words that are taken whole, and a hash of each run."""
-    n = len(word) - MIN_SPAN + 1
+def anchors(word: np.ndarray, row: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words of the runs of ``RUN`` words that are taken whole, and two hashes of each run."""
+    n = len(word) - RUN + 1
     if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    value = _shingles(word, MIN_SPAN)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    value = _shingles(word, RUN)
     taken = np.zeros(n, bool)
     for of in (row, line):
         first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
         end = np.r_[first[1:], len(of)]
-        long_enough = end - first >= MIN_SPAN
+        long_enough = end - first >= RUN
         taken[first[long_enough]] = True
-        taken[end[long_enough] - MIN_SPAN] = True
+        taken[end[long_enough] - RUN] = True
     if n >= REACH:
         least = _sliding(value, REACH, np.minimum)
-        least[row[:len(least)] != row[MIN_SPAN + REACH - 2:]] = 0
+        least[row[:len(least)] != row[RUN + REACH - 2:]] = 0
         none = np.zeros(REACH - 1, np.uint64)
-        taken |= (value == _sliding(np.r_[none, least, none], REACH, np.maximum)) & (row[:n] == row[MIN_SPAN - 1:])
+        taken |= (value == _sliding(np.r_[none, least, none], REACH, np.maximum)) & (row[:n] == row[RUN - 1:])
     at = np.flatnonzero(taken)
-    return at, words.mix(value[at] + np.uint64(MIN_SPAN))
+    check = np.zeros(len(at), np.uint64)
+    for k in range(RUN):
+        check = words.mix(check + word[at + k])
+    return at, words.mix(value[at] + np.uint64(RUN)), check
 
 
 def _multipliers() -> np.ndarray:
     return np.random.default_rng(17).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _found(texts: DataFrame) -> DataFrame:
-    """(doc, row, start, words, content, bands) of each paragraph of ``SHINGLE`` words or more; bands are null once passed on.
+FOUND = ["doc", "row", "text_key", "start", "words", "content", "check", "bands"]
 
-    So too of each anchor, which has no bands.
-    """
+
+def _found(texts: DataFrame) -> DataFrame:
+    """``FOUND`` of each paragraph or piece of ``SHINGLE`` words or more; bands are null once passed on. So too of each
+    run taken whole, which has no bands."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, factors = words.Powers(), _multipliers()
         passed: set[int] = set()
         for batch in batches:
-            ids, numbers = batch.column(0), batch.column(2)
             for at, data, bounds in words.slices(batch.column(1)):
-                word, row, line, first, end = paragraphs(data, bounds, powers)
-                run, run_content = anchors(word, row, line)
+                word, row, line, levels = paragraphs(data, bounds, powers)
+
+                def found(first, size, content, check, bands):
+                    of = pa.array(at + row[first])
+                    return pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(of), batch.column(2).take(of), batch.column(3).take(of),
+                         pa.array((first - np.searchsorted(row, row[first])).astype(np.int64)), pa.array(size.astype(np.int32)),
+                         pa.array(content.view(np.int64)), pa.array(check.view(np.int64)), bands], FOUND)
+
+                run, content, check = anchors(word, row, line)
                 if len(run):
-                    yield pa.RecordBatch.from_arrays([
-                        ids.take(pa.array(at + row[run])), numbers.take(pa.array(at + row[run])), pa.array((run - np.searchsorted(row, row[run])).astype(np.int64)),
-                        pa.array(np.full(len(run), MIN_SPAN, np.int32)), pa.array(run_content.view(np.int64)),
-                        pa.nulls(len(run), pa.list_(pa.int64()))], ["doc", "row", "start", "words", "content", "bands"])
-                size = end - first
-                long_enough = size >= SHINGLE
-                first, end, size = first[long_enough], end[long_enough], size[long_enough]
-                if not len(first):
-                    continue
+                    yield found(run, np.full(len(run), RUN), content, check, pa.nulls(len(run), pa.list_(pa.int64())))
                 shingle = _shingles(word)
-                # runs of shingles of a paragraph, alternating with the runs between paragraphs
-                edges = np.stack([first, end - SHINGLE + 1], axis=1).ravel()
-                edges = edges[:-1] if edges[-1] >= len(shingle) else edges
-                content = words.mix(np.add.reduceat(words.mix(shingle ^ (np.arange(len(shingle), dtype=np.uint64) - _first_of(first, end, len(shingle)))), edges)[::2] + size.astype(np.uint64))
-                least = [np.minimum.reduceat(shingle * f, edges)[::2] for f in factors]
-                bands = np.stack([words.mix(sum((m * words.FACTOR + np.uint64(b) for m in least[b * ROWS: (b + 1) * ROWS]), start=np.uint64(0)) + words.mix(least[b * ROWS]))
-                                  for b in range(BANDS)], axis=1)
-                if len(passed) > REMEMBERED:
-                    passed.clear()
-                new = np.zeros(len(content), bool)
-                for i, c in enumerate(content.tolist()):
-                    if c not in passed:
-                        passed.add(c)
-                        new[i] = True
-                offsets = pa.array(np.r_[0, np.cumsum(new * BANDS)].astype(np.int32), mask=np.r_[~new, False])
-                first_word = np.searchsorted(row, row[first])
-                yield pa.RecordBatch.from_arrays([
-                    ids.take(pa.array(at + row[first])), numbers.take(pa.array(at + row[first])), pa.array((first - first_word).astype(np.int64)), pa.array(size.astype(np.int32)),
-                    pa.array(content.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(bands[new].ravel().view(np.int64)))],
-                    ["doc", "row", "start", "words", "content", "bands"])
-    return texts.mapInArrow(work, "doc bigint, row bigint, start bigint, words int, content bigint, bands array<bigint>")
+                for first, end in levels:
+                    if not len(first):
+                        continue
+                    edges = _edges(first, end, len(shingle))
+                    content, check = _contents(shingle, first, end, edges)
+                    least = [np.minimum.reduceat(shingle * f, edges)[::2] for f in factors]
+                    bands = []
+                    for b in range(BANDS):
+                        key = np.full(len(first), b, np.uint64)
+                        for m in least[b * ROWS: (b + 1) * ROWS]:
+                            key = words.mix(key * words.FACTOR + m)
+                        bands.append(key)
+                    if len(passed) > REMEMBERED:
+                        passed.clear()
+                    new = np.zeros(len(content), bool)
+                    for i, c in enumerate(content.tolist()):
+                        if c not in passed:
+                            passed.add(c)
+                            new[i] = True
+                    offsets = pa.array(np.r_[0, np.cumsum(new * BANDS)].astype(np.int32), mask=np.r_[~new, False])
+                    yield found(first, end - first, content, check, pa.ListArray.from_arrays(
+                        offsets, pa.array(np.stack(bands, axis=1)[new].ravel().view(np.int64))))
+    return texts.mapInArrow(work, "doc bigint, row bigint, text_key bigint, start bigint, words int, content bigint, check bigint, bands array<bigint>")
 
 
 def _first_of(first: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
@@ -160,29 +198,31 @@ def _first_of(first: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(out).astype(np.uint64)
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """(content, tokens) of all paragraphs of ``texts``, each content once a slice."""
+def _sets(holders: DataFrame) -> DataFrame:
+    """(content, check, tokens) of the paragraphs of ``holders`` (text, wanted) whose content is wanted of that text."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = words.Powers()
         for batch in batches:
-            for _, data, bounds in words.slices(batch.column(1)):
-                word, _, _, first, end = paragraphs(data, bounds, powers)
-                keep = end - first >= SHINGLE
-                first, end = first[keep], end[keep]
+            lists = batch.column(1)
+            for at, data, bounds in words.slices(batch.column(0)):
+                word, row, _, levels = paragraphs(data, bounds, powers)
                 shingle = _shingles(word)
-                if not len(first):
-                    continue
-                edges = np.stack([first, end - SHINGLE + 1], axis=1).ravel()
-                edges = edges[:-1] if edges[-1] >= len(shingle) else edges
-                place = np.arange(len(shingle), dtype=np.uint64) - _first_of(first, end, len(shingle))
-                content = words.mix(np.add.reduceat(words.mix(shingle ^ place), edges)[::2] + (end - first).astype(np.uint64))
-                _, once = np.unique(content, return_index=True)
-                sets = [np.unique(shingle[first[i]: end[i] - SHINGLE + 1]) for i in once]
-                offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(content[once].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))],
-                    ["content", "tokens"])
-    return texts.mapInArrow(work, "content bigint, tokens array<bigint>")
+                wanted = lists.slice(at, len(bounds) - 1).flatten().to_numpy().view(np.uint64)
+                for first, end in levels:
+                    if not len(first):
+                        continue
+                    content, check = _contents(shingle, first, end, _edges(first, end, len(shingle)))
+                    _, once = np.unique(content, return_index=True)
+                    once = once[np.isin(content[once], wanted)]
+                    if not len(once):
+                        continue
+                    sets = [np.unique(shingle[first[i]: end[i] - SHINGLE + 1]) for i in once]
+                    offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(content[once].view(np.int64)), pa.array(check[once].view(np.int64)),
+                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))],
+                        ["content", "check", "tokens"])
+    return holders.select("text", "wanted").mapInArrow(work, "content bigint, check bigint, tokens array<bigint>")
 
 
 def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT,
@@ -197,40 +237,55 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
-    texts = docs.select(F.col(id_column).cast("bigint").alias("doc"), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("text"))
-    found = scratch.keep(_found(texts.withColumn("row", F.monotonically_increasing_id())), "paragraphs")
-    banded = found.filter(F.col("bands").isNotNull()).select(
-        F.explode("bands").alias("key"), F.col("content").alias("node"))
-    whole = Window.partitionBy("key")
-    index = (banded.withColumn("_lo", F.min("node").over(whole)).withColumn("_hi", F.max("node").over(whole))
-             .filter("_lo < _hi").groupBy("key", "node").agg((-F.count(F.lit(1))).alias("rank")))
-    index = scratch.keep(index, "index")
-
-    # texts that hold a paragraph to be compared, one for each content
+    text = F.coalesce(F.col(text_column), F.lit("")).cast("binary")
+    texts = docs.select(F.col(id_column).cast("bigint").alias("doc"), text.alias("text"))
+    found = scratch.keep(_found(texts.withColumn("row", F.monotonically_increasing_id()).withColumn("text_key", F.xxhash64("text"))), "paragraphs")
+    banded = found.filter(F.col("bands").isNotNull()).select(F.explode("bands").alias("key"), F.col("content").alias("node"))
+    shared = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
+    index = scratch.keep(banded.join(shared, "key", "left_semi").groupBy("key", "node").agg((-F.count(F.lit(1))).alias("rank")), "index")
+
+    # for each content to be compared one text that holds it, with all that is wanted of it
     contents = index.select(F.col("node").alias("content")).distinct()
-    holders = scratch.keep(found.join(contents, "content").groupBy("content").agg(F.min("doc").alias("doc")), "holders")
-    again = texts.join(holders.select("doc").distinct().withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc")), "left_semi")
-    sets = scratch.keep(_sets(again).join(contents, "content", "left_semi").dropDuplicates(["content"]), "sets")
+    wanted = (found.filter(F.col("bands").isNotNull()).join(contents, "content", "left_semi")
+              .groupBy("content").agg(F.min(F.struct("text_key", "doc")).alias("at"))
+              .groupBy(F.col("at.text_key").alias("text_key"), F.col("at.doc").alias("_doc")).agg(F.collect_list("content").alias("wanted")))
+    holders = texts.withColumn("text_key", F.xxhash64("text")).alias("t").join(
+        wanted.alias("w"), (F.col("t.text_key") == F.col("w.text_key")) & F.col("doc").eqNullSafe(F.col("_doc")))
+    sets = scratch.keep(_sets(holders).dropDuplicates(["content"]), "sets")
 
     linked = graph.linked_components(index, sets.select(F.col("content").alias("node"), "tokens"), percent, scratch)
-    for name in ("index", "holders", "sets"):
+    # a link holds for the paragraph whose set was compared, not for another with the same first hash
+    linked = scratch.keep(linked.join(sets.select(F.col("content").alias("node"), "check"), "node"), "linked")
+    for name in ("index", "sets", "components"):
         scratch.drop(name)
 
     # groups of paragraphs: a component, or one content; those of one document are no repeats
-    per_content = found.groupBy("content").agg(
-        F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row", "start")).alias("first"), F.min("doc").alias("lo"), F.max("doc").alias("hi"),
-        F.min(F.col("doc").isNull()).alias("all_null"), F.max(F.col("doc").isNull()).alias("any_null"))
+    none = F.col("doc").isNull()
+    per_content = found.groupBy("content", "check").agg(
+        F.min(F.struct(none.alias("none"), "doc", "row", "start")).alias("first"), F.min("doc").alias("lo"), F.max("doc").alias("hi"),
+        F.min(none).alias("all_null"), F.max(none).alias("any_null"), F.count(F.lit(1)).alias("n"))
     spread_out = "lo < hi OR (any_null AND NOT all_null)"  # a null id is an id of its own
-    per_group = (
-        per_content.join(linked, F.col("content") == F.col("node"), "left").withColumn("group", F.coalesce("component", "content")))
-    per_group = scratch.keep(per_group.select("content", "group", "first", "lo", "hi", "all_null", "any_null", F.col("component").isNotNull().alias("_in")).filter(
-        f"_in OR {spread_out}"), "contents")
-    spread = per_group.groupBy("group").agg(F.min("first").alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-        F.min("all_null").alias("all_null"), F.max("any_null").alias("any_null")).filter(spread_out)
-    repeated = scratch.keep(per_group.select("content", "group").join(spread, "group").select("content", "first"), "repeated")
-    for name in ("components", "contents"):
+    grouped = per_content.alias("p").join(
+        linked.alias("l"), (F.col("p.content") == F.col("node")) & (F.col("p.check") == F.col("l.check")), "left")
+    per_group = scratch.keep(grouped.select(
+        "content", F.col("p.check").alias("check"), F.coalesce("component", "content").alias("group"),
+        F.when(F.col("component").isNull(), F.col("p.check")).alias("alone"), "first", "lo", "hi", "all_null", "any_null", "n").filter(
+        f"alone IS NULL OR {spread_out}"), "contents")
+    alone = per_group.filter("alone IS NOT NULL").select("content", "check", "first", "n")
+    spread = per_group.filter("alone IS NULL").groupBy("group").agg(F.min("first").alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.min("all_null").alias("all_null"), F.max("any_null").alias("any_null")).filter(spread_out).select("group", "first")
+    together = per_group.filter("alone IS NULL").select("content", "check", "group", "n").join(spread, "group").select("content", "check", "first", "n")
+    repeated = scratch.keep(alone.unionByName(together), "repeated")
+    for name in ("linked", "contents"):
         scratch.drop(name)
-    places = found.select("doc", "row", "start", "words", "content").join(repeated, "content")
+
+    total = found.count()
+    # at most HOT contents have more than their part of all rows: their rows stay where they are
+    hot = F.broadcast(repeated.filter(F.col("n") > total / HOT).drop("n"))
+    rest = repeated.filter(F.col("n") <= total / HOT).drop("n")
+    at = found.select("doc", "row", "start", "words", "content", "check")
+    same = ["content", "check"]
+    places = at.join(hot, same).unionByName(at.join(hot, same, "left_anti").join(rest, same))
 
     by_doc = Window.partitionBy("row").orderBy("start", "end", "_gone")
     before = by_doc.rowsBetween(Window.unboundedPreceding, -1)
