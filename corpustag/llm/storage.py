@@ -26,8 +26,9 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Named tables of one job, under one new subfolder of the shared folder."""
 
-    def __init__(self, spark: SparkSession, job: str):
+    def __init__(self, spark: SparkSession, job: str, compression: str = "snappy"):
         self.spark = spark
+        self.compression = compression
         self.folder = f"{shared_folder(spark)}/{job}-{uuid.uuid4().hex}"
         self.used: set[str] = set()
 
@@ -37,7 +38,7 @@ class Scratch:
             name += "_"
         self.used.add(name)
         path = f"{self.folder}/{name}"
-        df.write.parquet(path)
+        df.write.option("compression", self.compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -7,8 +7,8 @@ and pieces that share a band are compared by the exact Jaccard similarity of the
 ones that lie in two documents or more are repeats.
 
 That promises nothing of a passage that lies across paragraphs. So, as a complement, runs of ``RUN`` words are taken whole
-where their hash is the least of ``REACH`` neighbouring ones, and at both ends of texts and of lines; equal runs are repeats. An
-exact repeat of ``RUN + REACH - 1`` words (29) or more is found, but for less than ``REACH`` words at each end. Repeats of a row that
+where their hash is the least of ``REACH`` neighbouring ones, and at both ends of texts; equal runs are repeats. An
+exact repeat of ``RUN + REACH - 1`` words (30) or more is found, but for less than ``REACH`` words at each end. Repeats of a row that
 touch or overlap make one span.
 """
 
@@ -34,10 +34,10 @@ PERCENT = 80
 LINE = 20
 #: Longer paragraphs are cut into pieces too, of 25 words at least and 49 on average; those of more than ``WHOLE`` words only so.
 PIECE, WHOLE, RADIUS = 80, 1000, 24
-#: Bands of rows: at similarity s a pair meets with chance 1 - (1 - s^ROWS)^BANDS: 98.6 % at 0.8, 99.9 % at 0.9, always at 1.
-BANDS, ROWS = 6, 3
+#: Bands of rows: at similarity s a pair meets with chance 1 - (1 - s^ROWS)^BANDS: 98.3 % at 0.8, 99.9 % at 0.9, always at 1.
+BANDS, ROWS = 4, 2
 #: Words of a run taken whole; of so many neighbouring runs the one with the least hash is.
-RUN, REACH = 20, 10
+RUN, REACH = 20, 11
 #: Shorter spans are not reported.
 MIN_SPAN = 15
 #: Contents of paragraphs that a task remembers, so as to pass on the bands of copies once.
@@ -47,11 +47,11 @@ HOT = 10_000
 
 
 def paragraphs(data: np.ndarray, bounds: np.ndarray, powers: words.Powers) -> tuple:
-    """Of a slice of texts: words' hashes, rows and lines; and (first words, ends) of paragraphs and of the pieces of long ones."""
+    """Of a slice of texts: words' hashes and rows; and (first words, ends) of paragraphs and of the pieces of long ones."""
     starts, ends, row = words.spans(data, bounds)
     n = len(starts)
     if not n:
-        return np.empty(0, np.uint64), row, row, [(starts, ends), (starts, ends)]
+        return np.empty(0, np.uint64), row, [(starts, ends), (starts, ends)]
     word = words.hashed(data, starts, ends, powers)
     feeds = np.r_[0, np.cumsum(data == 10)]
     line = row + feeds[starts]  # grows with each row and each line
@@ -78,7 +78,7 @@ def paragraphs(data: np.ndarray, bounds: np.ndarray, powers: words.Powers) -> tu
     piece_end = np.r_[piece[1:], n]
     of_long = size[of[piece]] > PIECE
     whole = (size >= SHINGLE) & (size <= WHOLE)
-    return word, row, line, [(first[whole], end[whole]), (piece[of_long], piece_end[of_long])]
+    return word, row, [(first[whole], end[whole]), (piece[of_long], piece_end[of_long])]
 
 
 def _shingles(word: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -112,19 +112,18 @@ def _sliding(values: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
     return pick(out[:len(out) - size + done], out[size - done:]) if done < size else out
 
 
-def anchors(word: np.ndarray, row: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(word: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First words of the runs of ``RUN`` words that are taken whole, and two hashes of each run."""
     n = len(word) - RUN + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     value = _shingles(word, RUN)
     taken = np.zeros(n, bool)
-    for of in (row, line):
-        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        end = np.r_[first[1:], len(of)]
-        long_enough = end - first >= RUN
-        taken[first[long_enough]] = True
-        taken[end[long_enough] - RUN] = True
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    end = np.r_[first[1:], len(row)]
+    long_enough = end - first >= RUN
+    taken[first[long_enough]] = True
+    taken[end[long_enough] - RUN] = True
     if n >= REACH:
         least = _sliding(value, REACH, np.minimum)
         least[row[:len(least)] != row[RUN + REACH - 2:]] = 0
@@ -141,29 +140,30 @@ def _multipliers() -> np.ndarray:
     return np.random.default_rng(17).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-FOUND = ["doc", "row", "text_key", "start", "words", "content", "check", "bands"]
+PLACES = ["doc", "row", "start", "words", "content", "check"]
+TYPES = "doc bigint, row bigint, start bigint, words int, content bigint, check int"
+
+
+def _places(batch: pa.RecordBatch, at: int, row: np.ndarray, first: np.ndarray, size: np.ndarray, content: np.ndarray, check: np.ndarray) -> list[pa.Array]:
+    of = pa.array(at + row[first])
+    return [batch.column(0).take(of), batch.column(2).take(of), pa.array((first - np.searchsorted(row, row[first])).astype(np.int64)),
+            pa.array(size.astype(np.int32)), pa.array(content.view(np.int64)), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32))]
 
 
 def _found(texts: DataFrame) -> DataFrame:
-    """``FOUND`` of each paragraph or piece of ``SHINGLE`` words or more; bands are null once passed on. So too of each
-    run taken whole, which has no bands."""
+    """``PLACES``, ``text_key`` and ``bands`` of each paragraph or piece of ``SHINGLE`` words or more; bands are null once passed on.
+    So too of each run taken whole, which has neither key nor bands."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, factors = words.Powers(), _multipliers()
         passed: set[int] = set()
         for batch in batches:
             for at, data, bounds in words.slices(batch.column(1)):
-                word, row, line, levels = paragraphs(data, bounds, powers)
-
-                def found(first, size, content, check, bands):
-                    of = pa.array(at + row[first])
-                    return pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(of), batch.column(2).take(of), batch.column(3).take(of),
-                         pa.array((first - np.searchsorted(row, row[first])).astype(np.int64)), pa.array(size.astype(np.int32)),
-                         pa.array(content.view(np.int64)), pa.array(check.view(np.int64)), bands], FOUND)
-
-                run, content, check = anchors(word, row, line)
+                word, row, levels = paragraphs(data, bounds, powers)
+                run, content, check = anchors(word, row)
                 if len(run):
-                    yield found(run, np.full(len(run), RUN), content, check, pa.nulls(len(run), pa.list_(pa.int64())))
+                    yield pa.RecordBatch.from_arrays(
+                        [*_places(batch, at, row, run, np.full(len(run), RUN), content, check), pa.nulls(len(run), pa.int64()),
+                         pa.nulls(len(run), pa.list_(pa.int64()))], [*PLACES, "text_key", "bands"])
                 shingle = _shingles(word)
                 for first, end in levels:
                     if not len(first):
@@ -185,9 +185,11 @@ def _found(texts: DataFrame) -> DataFrame:
                             passed.add(c)
                             new[i] = True
                     offsets = pa.array(np.r_[0, np.cumsum(new * BANDS)].astype(np.int32), mask=np.r_[~new, False])
-                    yield found(first, end - first, content, check, pa.ListArray.from_arrays(
-                        offsets, pa.array(np.stack(bands, axis=1)[new].ravel().view(np.int64))))
-    return texts.mapInArrow(work, "doc bigint, row bigint, text_key bigint, start bigint, words int, content bigint, check bigint, bands array<bigint>")
+                    yield pa.RecordBatch.from_arrays(
+                        [*_places(batch, at, row, first, end - first, content, check), batch.column(3).take(pa.array(at + row[first])),
+                         pa.ListArray.from_arrays(offsets, pa.array(np.stack(bands, axis=1)[new].ravel().view(np.int64)))],
+                        [*PLACES, "text_key", "bands"])
+    return texts.mapInArrow(work, f"{TYPES}, text_key bigint, bands array<bigint>")
 
 
 def _first_of(first: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
@@ -205,7 +207,7 @@ def _sets(holders: DataFrame) -> DataFrame:
         for batch in batches:
             lists = batch.column(1)
             for at, data, bounds in words.slices(batch.column(0)):
-                word, row, _, levels = paragraphs(data, bounds, powers)
+                word, row, levels = paragraphs(data, bounds, powers)
                 shingle = _shingles(word)
                 wanted = lists.slice(at, len(bounds) - 1).flatten().to_numpy().view(np.uint64)
                 for first, end in levels:
@@ -219,10 +221,10 @@ def _sets(holders: DataFrame) -> DataFrame:
                     sets = [np.unique(shingle[first[i]: end[i] - SHINGLE + 1]) for i in once]
                     offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(content[once].view(np.int64)), pa.array(check[once].view(np.int64)),
+                        [pa.array(content[once].view(np.int64)), pa.array((check[once] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                          pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))],
                         ["content", "check", "tokens"])
-    return holders.select("text", "wanted").mapInArrow(work, "content bigint, check bigint, tokens array<bigint>")
+    return holders.select("text", "wanted").mapInArrow(work, "content bigint, check int, tokens array<bigint>")
 
 
 def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT,
@@ -236,10 +238,11 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     last; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "substrings")
+    scratch = Scratch(spark, "substrings", "zstd")
     text = F.coalesce(F.col(text_column), F.lit("")).cast("binary")
     texts = docs.select(F.col(id_column).cast("bigint").alias("doc"), text.alias("text"))
-    found = scratch.keep(_found(texts.withColumn("row", F.monotonically_increasing_id()).withColumn("text_key", F.xxhash64("text"))), "paragraphs")
+    numbered = texts.withColumn("row", F.monotonically_increasing_id())
+    found = scratch.keep(_found(numbered.withColumn("text_key", F.xxhash64("text"))), "paragraphs")
     banded = found.filter(F.col("bands").isNotNull()).select(F.explode("bands").alias("key"), F.col("content").alias("node"))
     shared = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
     index = scratch.keep(banded.join(shared, "key", "left_semi").groupBy("key", "node").agg((-F.count(F.lit(1))).alias("rank")), "index")
@@ -259,21 +262,22 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     for name in ("index", "sets", "components"):
         scratch.drop(name)
 
+    found = found.select(*PLACES)
     # groups of paragraphs: a component, or one content; those of one document are no repeats
     none = F.col("doc").isNull()
     per_content = found.groupBy("content", "check").agg(
-        F.min(F.struct(none.alias("none"), "doc", "row", "start")).alias("first"), F.min("doc").alias("lo"), F.max("doc").alias("hi"),
-        F.min(none).alias("all_null"), F.max(none).alias("any_null"), F.count(F.lit(1)).alias("n"))
-    spread_out = "lo < hi OR (any_null AND NOT all_null)"  # a null id is an id of its own
+        F.min(F.struct(none.alias("none"), "doc", "row", "start")).alias("first"), F.max("doc").alias("hi"),
+        F.max(none).alias("any_null"), F.count(F.lit(1)).alias("n"))
+    spread_out = "first.doc < hi OR (any_null AND NOT first.none)"  # a null id is an id of its own
     grouped = per_content.alias("p").join(
         linked.alias("l"), (F.col("p.content") == F.col("node")) & (F.col("p.check") == F.col("l.check")), "left")
     per_group = scratch.keep(grouped.select(
         "content", F.col("p.check").alias("check"), F.coalesce("component", "content").alias("group"),
-        F.when(F.col("component").isNull(), F.col("p.check")).alias("alone"), "first", "lo", "hi", "all_null", "any_null", "n").filter(
+        F.when(F.col("component").isNull(), F.col("p.check")).alias("alone"), "first", "hi", "any_null", "n").filter(
         f"alone IS NULL OR {spread_out}"), "contents")
     alone = per_group.filter("alone IS NOT NULL").select("content", "check", "first", "n")
-    spread = per_group.filter("alone IS NULL").groupBy("group").agg(F.min("first").alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-        F.min("all_null").alias("all_null"), F.max("any_null").alias("any_null")).filter(spread_out).select("group", "first")
+    spread = per_group.filter("alone IS NULL").groupBy("group").agg(F.min("first").alias("first"), F.max("hi").alias("hi"),
+        F.max("any_null").alias("any_null")).filter(spread_out).select("group", "first")
     together = per_group.filter("alone IS NULL").select("content", "check", "group", "n").join(spread, "group").select("content", "check", "first", "n")
     repeated = scratch.keep(alone.unionByName(together), "repeated")
     for name in ("linked", "contents"):
@@ -283,9 +287,8 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     # at most HOT contents have more than their part of all rows: their rows stay where they are
     hot = F.broadcast(repeated.filter(F.col("n") > total / HOT).drop("n"))
     rest = repeated.filter(F.col("n") <= total / HOT).drop("n")
-    at = found.select("doc", "row", "start", "words", "content", "check")
     same = ["content", "check"]
-    places = at.join(hot, same).unionByName(at.join(hot, same, "left_anti").join(rest, same))
+    places = found.join(hot, same).unionByName(found.join(hot, same, "left_anti").join(rest, same))
 
     by_doc = Window.partitionBy("row").orderBy("start", "end", "_gone")
     before = by_doc.rowsBetween(Window.unboundedPreceding, -1)
