@@ -33,7 +33,7 @@ PERCENT = 80
 #: A line of so many words is a paragraph.
 LINE = 20
 #: Longer paragraphs are cut into pieces too, of 25 words at least and 49 on average; those of more than ``WHOLE`` words only so.
-PIECE, WHOLE, RADIUS = 80, 1000, 24
+PIECE, WHOLE, RADIUS = 200, 1000, 24
 #: Bands of rows: at similarity s a pair meets with chance 1 - (1 - s^ROWS)^BANDS: 98.3 % at 0.8, 99.9 % at 0.9, always at 1.
 BANDS, ROWS = 4, 2
 #: Words of a run taken whole; of so many neighbouring runs the one with the least hash is.
@@ -76,7 +76,8 @@ def paragraphs(data: np.ndarray, bounds: np.ndarray, powers: words.Powers) -> tu
         cut[k:] &= apart | (with_next[k:] < with_next[:-k])
     piece = np.flatnonzero(breaks | cut)
     piece_end = np.r_[piece[1:], n]
-    of_long = size[of[piece]] > PIECE
+    # a long paragraph that is not cut is no piece besides
+    of_long = (size[of[piece]] > PIECE) & ((piece_end - piece < size[of[piece]]) | (size[of[piece]] > WHOLE))
     whole = (size >= SHINGLE) & (size <= WHOLE)
     return word, row, [(first[whole], end[whole]), (piece[of_long], piece_end[of_long])]
 
@@ -151,7 +152,7 @@ def _places(batch: pa.RecordBatch, at: int, row: np.ndarray, first: np.ndarray,
 
 
 def _found(texts: DataFrame) -> DataFrame:
-    """``PLACES``, ``text_key`` and ``bands`` of each paragraph or piece of ``SHINGLE`` words or more; bands are null once passed on.
+    """``PLACES``, ``who`` and ``bands`` of each paragraph or piece of ``SHINGLE`` words or more; bands are null once passed on.
     So too of each run taken whole, which has neither key nor bands."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, factors = words.Powers(), _multipliers()
@@ -163,7 +164,7 @@ def _found(texts: DataFrame) -> DataFrame:
                 if len(run):
                     yield pa.RecordBatch.from_arrays(
                         [*_places(batch, at, row, run, np.full(len(run), RUN), content, check), pa.nulls(len(run), pa.int64()),
-                         pa.nulls(len(run), pa.list_(pa.int64()))], [*PLACES, "text_key", "bands"])
+                         pa.nulls(len(run), pa.list_(pa.int64()))], [*PLACES, "who", "bands"])
                 shingle = _shingles(word)
                 for first, end in levels:
                     if not len(first):
@@ -188,8 +189,8 @@ def _found(texts: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [*_places(batch, at, row, first, end - first, content, check), batch.column(3).take(pa.array(at + row[first])),
                          pa.ListArray.from_arrays(offsets, pa.array(np.stack(bands, axis=1)[new].ravel().view(np.int64)))],
-                        [*PLACES, "text_key", "bands"])
-    return texts.mapInArrow(work, f"{TYPES}, text_key bigint, bands array<bigint>")
+                        [*PLACES, "who", "bands"])
+    return texts.mapInArrow(work, f"{TYPES}, who bigint, bands array<bigint>")
 
 
 def _first_of(first: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
@@ -242,19 +243,17 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     text = F.coalesce(F.col(text_column), F.lit("")).cast("binary")
     texts = docs.select(F.col(id_column).cast("bigint").alias("doc"), text.alias("text"))
     numbered = texts.withColumn("row", F.monotonically_increasing_id())
-    found = scratch.keep(_found(numbered.withColumn("text_key", F.xxhash64("text"))), "paragraphs")
+    found = scratch.keep(_found(numbered.withColumn("who", F.xxhash64("doc", "text"))), "paragraphs")
     banded = found.filter(F.col("bands").isNotNull()).select(F.explode("bands").alias("key"), F.col("content").alias("node"))
     shared = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
     index = scratch.keep(banded.join(shared, "key", "left_semi").groupBy("key", "node").agg((-F.count(F.lit(1))).alias("rank")), "index")
 
-    # for each content to be compared one text that holds it, with all that is wanted of it
+    # for each content to be compared one text that holds it, with all that is wanted of it; rows with the same id and text are one
     contents = index.select(F.col("node").alias("content")).distinct()
     wanted = (found.filter(F.col("bands").isNotNull()).join(contents, "content", "left_semi")
-              .groupBy("content").agg(F.min(F.struct("text_key", "doc")).alias("at"))
-              .groupBy(F.col("at.text_key").alias("text_key"), F.col("at.doc").alias("_doc")).agg(F.collect_list("content").alias("wanted")))
-    holders = texts.withColumn("text_key", F.xxhash64("text")).alias("t").join(
-        wanted.alias("w"), (F.col("t.text_key") == F.col("w.text_key")) & F.col("doc").eqNullSafe(F.col("_doc")))
-    sets = scratch.keep(_sets(holders).dropDuplicates(["content"]), "sets")
+              .groupBy("content").agg(F.min("who").alias("who")).groupBy("who").agg(F.collect_list("content").alias("wanted")))
+    distinct = texts.withColumn("who", F.xxhash64("doc", "text")).groupBy("who").agg(F.first("text").alias("text"))
+    sets = scratch.keep(_sets(distinct.join(wanted, "who")), "sets")
 
     linked = graph.linked_components(index, sets.select(F.col("content").alias("node"), "tokens"), percent, scratch)
     # a link holds for the paragraph whose set was compared, not for another with the same first hash
