@@ -33,12 +33,17 @@ class Scratch:
         self.used: set[str] = set()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` written and read again."""
+        """``df`` written and read again.
+
+        Executors hold the shuffle files of a finished write until the driver collects the garbage of its plan. A driver with
+        room may not do so for long; it is asked to after each table, so that disks hold one step's shuffles and not all.
+        """
         while name in self.used:
             name += "_"
         self.used.add(name)
         path = f"{self.folder}/{name}"
         df.write.option("compression", self.compression).parquet(path)
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
