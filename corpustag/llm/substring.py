@@ -65,15 +65,18 @@ def paragraphs(data: np.ndarray, bounds: np.ndarray, powers: words.Powers) -> tu
 
     of = np.cumsum(breaks) - 1
     size = end - first
-    with_next = word.copy()
-    with_next[:-1] = words.mix(word[:-1] * words.FACTOR + word[1:])
-    place = np.arange(n) - first[of]
     # of equal ones the first is cut, and none near the paragraph's ends, so that pieces have RADIUS // 2 words at least
-    cut = (size[of] > PIECE) & (place >= RADIUS // 2) & (size[of] - place > RADIUS // 2)
-    for k in range(1, min(RADIUS + 1, n)):
-        apart = of[k:] != of[:-k]
-        cut[:-k] &= apart | (with_next[:-k] <= with_next[k:])
-        cut[k:] &= apart | (with_next[k:] < with_next[:-k])
+    at = np.flatnonzero(size[of] > PIECE)
+    part, place = of[at], at - first[of[at]]
+    inside = place + 1 < size[part]
+    value = np.where(inside, words.mix(word[at] * words.FACTOR + word[np.minimum(at + 1, n - 1)]), word[at])
+    least = (place >= RADIUS // 2) & (size[part] - place > RADIUS // 2)
+    for k in range(1, min(RADIUS + 1, len(at))):
+        apart = part[k:] != part[:-k]
+        least[:-k] &= apart | (value[:-k] <= value[k:])
+        least[k:] &= apart | (value[k:] < value[:-k])
+    cut = np.zeros(n, bool)
+    cut[at[least]] = True
     piece = np.flatnonzero(breaks | cut)
     piece_end = np.r_[piece[1:], n]
     # a long paragraph that is not cut is no piece besides
@@ -84,10 +87,14 @@ def paragraphs(data: np.ndarray, bounds: np.ndarray, powers: words.Powers) -> tu
 
 def _shingles(word: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """Hashes of runs of ``size`` words, without regard to where texts end."""
-    n = len(word) - size + 1
-    total = np.zeros(max(n, 0), np.uint64)
-    for k in range(size):
-        total = total * words.FACTOR + word[k: k + len(total)]
+    n = max(len(word) - size + 1, 0)
+    total, done = word, 1  # hashes of runs of ``done`` words: doubled, and a word longer, as the bits of ``size`` say
+    for bit in bin(size)[3:]:
+        power = np.uint64(pow(int(words.FACTOR), done, 1 << 64))
+        total, done = total[:-done] * power + total[done:], 2 * done
+        if bit == "1":
+            total, done = total[:-1] * words.FACTOR + word[done:][:max(0, len(total) - 1)], done + 1
+    total = total[:n]
     return words.mix(total)
 
 
