@@ -68,7 +68,9 @@ def _across(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     Members are described by their differences from the leader. With e and f differences, sets of n and m differ from each other
     in e + f - 2 (shared differences) tokens, and link if those are at most h = (n + m) (100 - percent) / (100 + percent). So they share
     at least (e + f - h) / 2 differences. That is 1 or more, as two that link with the leader are in one part. Differences that only
-    one part has are left out, and of the others, rarest first, those that a prefix needs are compared, by classes of f.
+    one part has are left out, and of the others, rarest first, those that a prefix needs are compared, by classes of f. Two members
+    that meet at a difference share no more than what either has left from there on, if it is the first they share: they are a
+    pair only if that may do.
     """
     least = F.array(*[F.lit(x).cast("bigint") for x in DIFFERENCES])
     leader = sets.select(F.col("node").alias("lead"), F.col("tokens").alias("tl"))
@@ -95,13 +97,18 @@ def _across(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
                  slice_of(F.greatest(F.lit(1).cast("bigint"), F.col("e") - widest + 1), DIFFERENCES) - 1,
                  slice_of(F.col("e") + widest + 1, DIFFERENCES) - 1)))
              .withColumn("h", h).withColumn("length", (F.size("held") - wanted + 1).cast("int")).filter("length > 0"))
-    keys = dealt.select("lead", "node", "part", "of", "to", F.explode(F.slice("held", F.lit(1), F.col("length"))["token"]).alias("token"))
+    keys = dealt.select("lead", "node", "part", "n", "e", "of", "to", F.size("held").alias("size"),
+                        F.posexplode(F.slice("held", F.lit(1), F.col("length"))["token"]).alias("pos", "token"))
+    keys = keys.withColumn("left", F.col("size") - F.col("pos")).drop("size", "pos")
     keys = scratch.keep(keys, "difference_keys")
     parts = members.groupBy("lead", "part").agg(F.count(F.lit(1)).alias("m"))
     main = parts.groupBy("lead").agg(F.max(F.struct("m", "part"))["part"].alias("main"))
     aside = keys.join(main, "lead").filter("part <> main").select(
-        "lead", "token", F.col("node").alias("x"), F.col("part").alias("xp"), F.col("of").alias("to"), F.col("to").alias("of"))
-    return aside.join(keys, ["lead", "token", "of", "to"]).filter(F.col("xp") != F.col("part")).select("x", F.col("node").alias("y"))
+        F.col("node").alias("x"), F.col("part").alias("xp"), *[F.col(c).alias(f"x{c}") for c in ("lead", "token", "n", "e", "left", "of", "to")])
+    differ = F.col("e") + F.col("xe") - 2 * F.least("left", "xleft")
+    met = ((F.col("xlead") == F.col("lead")) & (F.col("xtoken") == F.col("token")) & (F.col("xof") == F.col("to")) & (F.col("xto") == F.col("of"))
+           & (F.col("xp") != F.col("part")) & ((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("xn"))))
+    return aside.join(keys, met).select("x", F.col("node").alias("y"))
 
 
 def linked_components(index: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
