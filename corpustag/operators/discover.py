@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import language as lang
 from ..functions.text import let
-from .scale import BROADCAST_ROWS, INLINE_RULES, bounded_rows, lookup_join, settled
+from .scale import BROADCAST_ROWS, INLINE_RULES, bounded_rows, lookup_join, one_by_one, settled
 
 # What counts as a content word, and the usual list length.
 CONTENT_POS = ["NOUN", "VERB", "ADJ", "PROPN"]
@@ -33,8 +33,7 @@ def keyword_counts(docs: DataFrame) -> DataFrame:
     Surface forms are counted first, so part of speech and lemma are worked out once per
     form of the vocabulary and not once per token.
     """
-    forms = docs.select(F.explode(lang.token_surfaces(F.col("text"))).alias("form")).groupBy("form").agg(
-        F.count("*").alias("n"))
+    forms = one_by_one(docs, [], lang.token_surfaces(F.col("text")), "form").groupBy("form").agg(F.count("*").alias("n"))
     lemma = F.lower(lang.lemma_of(F.col("form")))
     content = lang.pos_of(F.col("form")).isin(CONTENT_POS) & (F.length(lemma) > 2)
     return forms.where(content).groupBy(lemma.alias("keyword")).agg(F.sum("n").alias("n"))
@@ -46,8 +45,8 @@ def _holding(docs: DataFrame, keywords: DataFrame) -> DataFrame:
     wanted = bounded_rows(keywords.select("keyword"), INLINE_RULES)
     if wanted is not None:
         lemmas = F.array_intersect(lemmas, F.lit(sorted({r["keyword"] for r in wanted}) or [""]))
-        return docs.select("doc_id", F.explode(lemmas).alias("keyword"))
-    held = docs.select("doc_id", F.explode(F.array_distinct(lemmas)).alias("keyword"))
+        return one_by_one(docs, ["doc_id"], lemmas, "keyword")
+    held = one_by_one(docs, ["doc_id"], F.array_distinct(lemmas), "keyword")
     return lookup_join(held, keywords.select("keyword"), ["keyword"], "left_semi")
 
 
@@ -111,8 +110,7 @@ def top_phrases(docs: DataFrame, pattern: str, limit: int = DEFAULT_LIMIT) -> Da
             F.transform(F.array_distinct(found), lambda p: F.struct(
                 p.alias("phrase"), F.lit(0).alias("n"), F.lit(1).alias("d"))))
 
-    listed = docs.select(F.explode(let(let(
-        lang.token_surfaces(F.col("text")), phrases), counted)).alias("p"))
+    listed = one_by_one(docs, [], let(let(lang.token_surfaces(F.col("text")), phrases), counted), "p")
     return listed.groupBy(F.col("p.phrase").alias("phrase")).agg(
         F.sum("p.n").alias("n"), F.sum("p.d").alias("file_count")
     ).orderBy(F.desc("n"), "phrase").limit(limit)
@@ -146,10 +144,10 @@ def keyword_hits(docs: DataFrame, word: str, kind: str = "surface") -> DataFrame
     if kind != "stem":
         reduce = _key(kind)
         found = F.filter(numbered, lambda t: reduce(t["surface"]) == word.lower())
-        return docs.select("doc_id", F.inline(found))
+        return one_by_one(docs, ["doc_id"], found, "tok_no", "surface")
     from .annotate import stems, vocabulary
     terms = stems(vocabulary(docs)).where(F.col("stem") == word.lower()).select("term")
-    listed = docs.select("doc_id", F.inline(numbered)).withColumn("term", F.lower("surface"))
+    listed = one_by_one(docs, ["doc_id"], numbered, "tok_no", "surface").withColumn("term", F.lower("surface"))
     return lookup_join(listed, terms, ["term"], "left_semi").drop("term")
 
 
