@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import language as lang
 from ..functions.text import let
-from .scale import BROADCAST_ROWS, INLINE_RULES, bounded_rows, lookup_join, one_by_one, settled
+from .scale import BROADCAST_ROWS, INLINE_RULES, bounded_rows, held, lookup_join, one_by_one, settled
 
 # What counts as a content word, and the usual list length.
 CONTENT_POS = ["NOUN", "VERB", "ADJ", "PROPN"]
@@ -172,9 +172,10 @@ def concordance_per_document(docs: DataFrame, word: str, kind: str = "surface",
 def rule_preview(matches: DataFrame, docs: DataFrame, samples: int = 5) -> DataFrame:
     """Per rule its match count and first matches with line number and line.
 
-    At most ``samples`` matches per rule meet the texts again. ``docs`` may carry a
-    ``path``; the id stands in otherwise.
+    Matches are worked out once, where the session names a checkpoint folder: they are counted and ranked. At most
+    ``samples`` matches per rule meet the texts again. ``docs`` may carry a ``path``; the id stands in otherwise.
     """
+    matches = held(matches.select("rule_id", "doc_id", "begin", "end", "text"))
     counts = matches.groupBy("rule_id").agg(F.count("*").alias("match_count"))
     w = Window.partitionBy("rule_id").orderBy("doc_id", "begin", "end")
     first = matches.select("rule_id", "doc_id", "begin", "end", F.col("text").alias("match_text")).withColumn(
