@@ -205,15 +205,17 @@ def joined(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
     texts = _texts(docs, id_column, text_column)
-    rows = scratch.keep(_prefixes(texts, size, percent).withColumn("row", F.monotonically_increasing_id()), "rows")
+    whole = scratch.keep(_prefixes(texts, size, percent).withColumn("row", F.monotonically_increasing_id()), "prefixes")
+    rows = scratch.keep(whole.drop("prefix"), "rows")
 
     # documents with equal sets are one class, named by one of its rows
     classes = scratch.keep(rows.filter("n > 0").groupBy("set_key").agg(
         F.min("row").alias("cid"), F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_equal")), "classes")
-    chosen = rows.join(classes.select(F.col("cid").alias("row")), "row", "left_semi").withColumnRenamed("row", "cid")
+    chosen = whole.join(classes.select(F.col("cid").alias("row")), "row", "left_semi").withColumnRenamed("row", "cid")
     near = _held(chosen.select("cid", F.explode("prefix").alias("token"))).groupBy("cid").agg(F.count(F.lit(1)).alias("m"))
     meta = rows.select(F.col("row").alias("cid"), "id", "n", "set_key", "wanted")
     alive = scratch.keep(near.join(meta, "cid").filter("m >= wanted").select("cid", "id", "n", "set_key"), "alive")
+    scratch.drop("prefixes")  # rows without them stay to the end
 
     whose = alive.select(F.col("id").alias("wanted_id")).distinct()
     # the same join at every size, so that a small run tells what a large one costs
