@@ -79,6 +79,8 @@ def _lowers() -> list[int]:
 
 
 LOWERS = _lowers()
+#: More than there are classes of sizes.
+CLASSES = 1024
 
 
 def sets_of(column: pa.Array, size: int, powers: words.Powers) -> Iterator[np.ndarray]:
@@ -172,23 +174,34 @@ def _index_keys(held: DataFrame, percent: int, rare: int) -> DataFrame:
     return held.select("cid", "n", "a", "b", "held").mapInArrow(work, "node bigint, key bigint, rank double")
 
 
-def _by_class(held: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(cid, n, a, b, held) for each class b of sizes in which a set may have a partner, from (cid, n, token, df)."""
+def _by_class(sets: DataFrame, percent: int) -> DataFrame:
+    """(cid, n, a, b, held) for each class b of sizes in which a set may have a partner, from (cid, n, tokens).
+
+    ``held`` are (df, token), the tokens that other sets hold and how many do. Tokens are dealt out once: sizes and classes go in one
+    number and holders are told apart by ids, so that all readings ask for the same columns and are one shuffle.
+    """
     lowers = F.array(*[F.lit(x).cast("bigint") for x in LOWERS])
-    rows = scratch.keep(held.withColumn("a", slice_of(F.col("n") + 1, LOWERS) - 1), "held")
-    holders = rows.groupBy("token", F.col("a").alias("b")).agg(F.count(F.lit(1)).alias("of_class"))
+    # never null, or the planner asks for that in one reading and not in the other
+    sized = sets.withColumn("na", F.coalesce(F.col("n") * CLASSES + slice_of(F.col("n") + 1, LOWERS) - 1, F.lit(0).cast("bigint")))
+    dealt = sized.select("cid", "na", F.explode("tokens").alias("token")).repartition("token")
+    size, of = F.shiftright("na", 10), F.col("na").bitwiseAND(CLASSES - 1).cast("int")
+    holders = dealt.groupBy("token", of.alias("b")).agg(F.count(F.lit(1)).alias("of_class"), F.min("cid").alias("lo"), F.max("cid").alias("hi"))
+    counts = holders.groupBy("token").agg(F.sum("of_class").alias("df"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi")
+    rows = dealt.join(counts.select("token", "df"), "token").join(holders.select("token", "b", (F.col("lo") < F.col("hi")).alias("several")), "token")
+    rows = rows.select("cid", size.alias("n"), of.alias("a"), "b", "several", "df", "token")
     low, high = F.get(lowers, F.col("b")), F.get(lowers, F.col("b") + 1) - 1
-    possible = (100 * high >= percent * F.col("n")) & (percent * low <= 100 * F.col("n")) & ((F.col("a") != F.col("b")) | (F.col("of_class") > 1))
-    groups = rows.join(holders, "token").filter(possible).groupBy("cid", "n", "a", "b").agg(
-        F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
+    possible = (100 * high >= percent * F.col("n")) & (percent * low <= 100 * F.col("n")) & ((F.col("a") != F.col("b")) | F.col("several"))
+    groups = rows.filter(possible).groupBy("cid", "n", "a", "b").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
     least = F.greatest(low, F.ceil(F.col("n") * percent / 100))
     return groups.filter((100 + percent) * F.size("held") >= percent * (F.col("n") + least))
 
 
 def _held(tokens: DataFrame) -> DataFrame:
-    """Rows of ``tokens`` (cid, token, ...) whose token other documents hold, too, with their number ``df``."""
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    return tokens.join(counts, "token")
+    """Rows of ``tokens`` (cid, token) whose token other documents hold, too. They are dealt out once, for counting and looking up."""
+    dealt = tokens.select("cid", "token").repartition("token")
+    # by ids, not by their number, so that both readings ask for the same columns and are one shuffle
+    several = dealt.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo < hi").select("token")
+    return dealt.join(several, "token")
 
 
 def joined(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 4, percent: int = 85,
@@ -220,12 +233,11 @@ def joined(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     whose = alive.select(F.col("id").alias("wanted_id")).distinct()
     # the same join at every size, so that a small run tells what a large one costs
     again = texts.join(whose.hint("merge"), F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    sets = _whole_sets(again, size).join(alive.select("cid", "n", "set_key"), "set_key").dropDuplicates(["cid"])
+    # a key has one cid; they lie together by key, so that no set is moved again to drop its copies
+    sets = _whole_sets(again, size).join(alive.select("cid", "n", "set_key"), "set_key").dropDuplicates(["set_key"])
     sets = scratch.keep(sets.select("cid", "n", "tokens"), "sets")
     scratch.drop("alive")
-    held = _held(sets.select("cid", "n", F.explode("tokens").alias("token")))
-    index = scratch.keep(_index_keys(_by_class(held, percent, scratch), percent, rare), "index")
-    scratch.drop("held")
+    index = scratch.keep(_index_keys(_by_class(sets, percent), percent, rare), "index")
 
     grouped = graph.linked_components(index, sets.select(F.col("cid").alias("node"), "tokens"), percent, scratch)
     for name in ("index", "sets"):
