@@ -105,7 +105,11 @@ class Encoder:
     def whole(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.dtype)
 
-    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+    def encode(self, text: str) -> bytes:
+        """The ids of one text, as bytes."""
+        return next(self.encoded(pa.array([text.encode()]))).tobytes()
+
+    def encoded(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
         if not self.by_piece:
             yield from (self.whole(t.as_py()) for t in texts)
@@ -231,7 +235,7 @@ def tokenized(docs: DataFrame, path: str, id_column: str, text_column: str) -> D
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for first in range(0, len(texts), ROWS):
-                arrays = [np.concatenate([a, end]) for a in encoder.encode(texts.slice(first, ROWS))]
+                arrays = [np.concatenate([a, end]) for a in encoder.encoded(texts.slice(first, ROWS))]
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(first, ROWS), pa.array([a.tobytes() for a in arrays], pa.binary()), pa.array([len(a) for a in arrays], pa.int64()),
                     pa.array(np.full(len(arrays), encoder.dtype.itemsize)), pa.array(curve_keys(arrays))],
