@@ -6,6 +6,7 @@ file in the order of (modification time, path). A file that is edited gets a lat
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import sys
 import time
@@ -21,6 +22,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SCHEMA = "path string, version_ts timestamp, op string, text string, own boolean"
 #: Files read by one task.
 FILES = 256
+#: Rows of a batch are handed on from so many bytes of text.
+BATCH_BYTES = 8 << 20
 
 
 class Files(InputPartition):
@@ -34,14 +37,16 @@ class FolderReader(DataSourceStreamReader):
     """Versions of the markdown files under a root.
 
     A listing is compared with the offset, so no version that is there to be read is missed; one that is overwritten before it
-    is read is not seen, the newer one is. Hidden folders are skipped, as are folders and files that cannot be read.
-    Files changed within the last ``settle`` seconds wait for the next listing, as others of the same time may follow.
+    is read is not seen, the newer one is, and comes again with the next listing. Hidden folders are skipped, as are folders and files
+    that cannot be read. Files changed within the last ``settle`` seconds wait for the next listing, as others of the same time may follow.
+    The listing that gave an offset also gives the files up to it, so a trigger lists the folder once; it is held until the batch is over.
     """
 
     def __init__(self, options: dict):
         self.root = options["path"]
         self.settle = float(options.get("settle", "0"))
         self.files = int(options.get("filespertask", FILES))
+        self.found: list[tuple[int, str]] = []
 
     def initialOffset(self) -> dict:
         return {"mtime": -1, "path": ""}
@@ -64,12 +69,13 @@ class FolderReader(DataSourceStreamReader):
         return sorted(found)
 
     def latestOffset(self) -> dict:
-        listed = self._listed()
-        return {"mtime": listed[-1][0], "path": listed[-1][1]} if listed else self.initialOffset()
+        self.found = self._listed()
+        return {"mtime": self.found[-1][0], "path": self.found[-1][1]} if self.found else self.initialOffset()
 
     def partitions(self, start: dict, end: dict) -> list[Files]:
         first, last = (start["mtime"], start["path"]), (end["mtime"], end["path"])
-        new = [f for f in self._listed() if first < f <= last]
+        listed = self.found if self.found and self.found[-1] == last else self._listed()
+        new = listed[bisect.bisect_right(listed, first): bisect.bisect_right(listed, last)]
         op = "create" if start["mtime"] < 0 else "modify"
         return [Files(new[i: i + self.files], op) for i in range(0, len(new), self.files)] or [Files([], op)]
 
@@ -78,6 +84,7 @@ class FolderReader(DataSourceStreamReader):
         system, _ = fs.FileSystem.from_uri(self.root)
         kind = pa.schema([("path", pa.string()), ("version_ts", pa.timestamp("us", "UTC")), ("op", pa.string()), ("text", pa.string()),
                           ("own", pa.bool_())])
+        rows, size = [], 0
         for mtime, path in partition.files:
             try:
                 with system.open_input_stream(path) as file:
@@ -85,10 +92,16 @@ class FolderReader(DataSourceStreamReader):
             except OSError:
                 continue
             at = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(microseconds=mtime // 1000)
-            yield pa.RecordBatch.from_pylist([{"path": path, "version_ts": at, "op": partition.op, "text": text, "own": None}], kind)
+            rows.append({"path": path, "version_ts": at, "op": partition.op, "text": text, "own": None})
+            size += 200 + len(text)
+            if size > BATCH_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, kind)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, kind)
 
     def commit(self, end: dict) -> None:
-        pass
+        self.found = []
 
 
 class NoteFolder(DataSource):
