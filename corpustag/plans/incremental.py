@@ -61,7 +61,9 @@ def sync_changed(
     """
     number = state.next_run() if run is None else run
     version = f"{annotator}/{rules_version(rules)}"
-    done = reconcile(pending(docs, state.seen(number), version), rules, **options).persist()
+    # texts stay where they are if this version has left none
+    unknown = state.rows(number).where(F.col("version") == version).isEmpty()
+    done = reconcile(docs if unknown else pending(docs, state.seen(number), version), rules, **options).persist()
     try:
         sink(done, number)
         state.record(done.select("doc_id", content_hash(F.coalesce("text", F.lit(""))).alias("hash"), F.lit(version).alias("version")), number)
